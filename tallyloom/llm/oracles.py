@@ -15,6 +15,41 @@ SELECT s.doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, m.c AS component_id, s.d
 FROM s JOIN (SELECT id, min(c) AS c FROM r GROUP BY id) m ON m.id = s.doc_id
 """
 
+_FILL = """
+g{k} AS (SELECT sid, any_value(rest) - coalesce(sum(size) FILTER (got), 0) AS gap FROM d{j} GROUP BY sid),
+f{k} AS (SELECT d.*, NOT d.got AND d.size > 0 AND d.size <= g.gap AS fits, g.gap FROM d{j} d JOIN g{k} g USING (sid)),
+d{k} AS (
+  SELECT doc_id, sid, size, source_size, target, whole, rest, xi, got OR (fits AND
+    sum(CASE WHEN fits THEN size ELSE 0 END) OVER (PARTITION BY sid ORDER BY xi, doc_id, size ROWS UNBOUNDED PRECEDING) <= gap) AS got
+  FROM f{k})"""
+
+OP1 = r"""
+WITH z AS (
+  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents),
+s AS (
+  SELECT source, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS sid, CAST(sum(size) AS BIGINT) AS source_size,
+    CAST(sum(CAST(size AS HUGEINT) * size) AS DOUBLE) AS squares FROM z GROUP BY source),
+v AS (SELECT *, 1 + sid % 3 AS weight, 3 * source_size AS lim FROM s),
+l AS (
+  SELECT *, sum(source_size) OVER () - coalesce(sum(lim) OVER o, 0) AS remain, sum(weight) OVER () - coalesce(sum(weight) OVER o, 0) AS share
+  FROM v WINDOW o AS (ORDER BY CAST(lim AS DOUBLE) / weight, sid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+y AS (SELECT *, lim * share <= remain * weight AS is_full FROM l),
+t AS (
+  SELECT *, CASE WHEN is_full THEN CAST(lim AS DOUBLE)
+    ELSE (SELECT CAST(remain AS DOUBLE) / CAST(share AS DOUBLE) FROM y WHERE NOT is_full ORDER BY share DESC LIMIT 1) * weight END AS target FROM y),
+p AS (
+  SELECT z.doc_id, t.sid, z.size, t.source_size, t.target, t.squares,
+    CASE WHEN t.source_size > 0 THEN CAST(floor(t.target / t.source_size) AS BIGINT) ELSE 0 END AS whole,
+    (CAST('0x' || substr(md5('mix' || coalesce(CAST(z.doc_id AS VARCHAR), '')), 1, 12) AS BIGINT) + 0.5::DOUBLE) / 281474976710656.0::DOUBLE AS u
+  FROM z JOIN t ON z.source IS NOT DISTINCT FROM t.source),
+r AS (SELECT *, target - whole * source_size AS rest FROM p),
+i AS (SELECT *, CASE WHEN squares > 0 THEN rest * size / squares ELSE 0.0 END AS incl FROM r),
+d0 AS (
+  SELECT doc_id, sid, size, source_size, target, whole, rest, FALSE AS got,
+    CASE WHEN incl >= 1 THEN 0.0 WHEN incl > 0 THEN (u / (1 - u)) / (incl / (1 - incl)) ELSE 1e300 END AS xi FROM i),""" + ",".join(_FILL.format(k=k, j=k - 1) for k in (1, 2, 3)) + """
+SELECT doc_id, size, source_size, target, CAST((whole + CAST(got AS BIGINT)) * size AS BIGINT) AS taken FROM d3
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_minhash_near_dedup": OP7}
+    return {"op1_pareto_mixing": OP1, "op7_minhash_near_dedup": OP7}

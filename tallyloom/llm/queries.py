@@ -5,14 +5,37 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table
+from .license_scan import BASE, license_places
+from .mixing import mix
 from .near_dedup import near_duplicates
 
 
+def op1_pareto_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_places(table(spark, sf_dir, "documents"))
+    base = F.filter("places", lambda x: x["label"].isin(*BASE))
+    joined = lambda x: F.array_join(F.array_sort(F.array_distinct(F.transform(x, lambda y: y["label"]))), ",")
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size(base).cast("long").alias("n_base"),
+        F.array_min(F.transform(base, lambda x: x["start"])).alias("first_word"),
+        F.array_max(F.transform(base, lambda x: x["start"])).alias("last_word"),
+        joined(base).alias("base_labels"),
+        joined(F.col("places")).alias("labels"),
+        F.coalesce(F.array_max(F.transform("places", lambda x: x["coverage"])), F.lit(0.0)).alias("score"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
