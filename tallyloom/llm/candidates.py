@@ -35,7 +35,7 @@ def connect(members: DataFrame, verify: Callable[[DataFrame], DataFrame], rounds
     verify takes distinct pairs (a, b), a < b, and returns those that are links. members should hold
     no bucket of one member. An id without a link is absent from the result.
     """
-    comp, edges, tried = None, None, None
+    comp, tried = None, None
     for k in range(rounds):
         placed = _placed(members, comp)
         order = F.col("id") if k == 0 else F.xxhash64("key", "id", F.lit(k))
@@ -44,11 +44,20 @@ def connect(members: DataFrame, verify: Callable[[DataFrame], DataFrame], rounds
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = cut(pairs)
+        if tried is not None and pairs.isEmpty():
+            break
         tried = pairs if tried is None else tried.unionByName(pairs)
-        found = cut(verify(pairs))
-        edges = found if edges is None else edges.unionByName(found)
-        comp = components(edges)
-    placed = cut(_placed(members, comp).join(_unsettled(_placed(members, comp), F.col("id")).select("key"), "key", "left_semi"))
+        comp = _joined(comp, verify(pairs))
+    placed = _placed(members, comp)
+    placed = cut(placed.join(_unsettled(placed, F.col("id")).select("key"), "key", "left_semi"))
     one, two = (placed.select("key", F.col("id").alias(x), F.col("c").alias(f"c{x}")) for x in "ab")
     pairs = one.join(two, "key").filter("a < b and ca <> cb").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
-    return components(edges.unionByName(verify(pairs)))
+    pairs = cut(pairs)
+    return comp if pairs.isEmpty() else _joined(comp, verify(pairs))
+
+
+def _joined(comp: DataFrame | None, links: DataFrame) -> DataFrame:
+    """The components of comp once links (a, b) are added."""
+    if comp is not None:
+        links = links.unionByName(comp.filter("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b")))
+    return cut(components(links))

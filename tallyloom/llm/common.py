@@ -165,6 +165,24 @@ def shingles(hashes: np.ndarray, first: np.ndarray, width: int = 5) -> tuple[np.
     return out, out_first
 
 
+def char_shingles(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the runs of width UTF-8 characters in each piece of data (A-Z lower-cased), and per piece its first.
+
+    Every piece has at least one: a shorter piece is one shingle as a whole. Pieces are in order.
+    """
+    n = len(data)
+    sums = np.zeros(n + 1, dtype=np.uint64)
+    np.cumsum(_BYTE[LOWER[data]] * _powers(_BASE, n), out=sums[1:])
+    at = np.append(np.flatnonzero((data & 0xC0) != 0x80), n)
+    lo, hi = np.searchsorted(at, starts), np.searchsorted(at, ends)
+    many = np.maximum(hi - lo - width + 1, 1)
+    first = np.concatenate([[0], np.cumsum(many)])
+    i = np.arange(first[-1]) - np.repeat(first[:-1] - lo, many)
+    a = at[i]
+    b = np.minimum(at[np.minimum(i + width, len(at) - 1)], np.repeat(ends, many))
+    return mix64((sums[b] - sums[a]) * _powers(_INVERSE, n + 1)[a]), first
+
+
 def list_column(values: np.ndarray, offsets: np.ndarray, kind: pa.DataType) -> pa.Array:
     """An Arrow list column from flat values and row offsets."""
     return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values, type=kind))

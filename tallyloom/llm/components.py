@@ -1,7 +1,11 @@
-"""Distributed union-find: connected components by alternating large-star and small-star rounds."""
+"""Distributed union-find: connected components by local contraction and pointer jumping."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,33 +17,56 @@ def _print_of(edges: DataFrame) -> tuple:
     return row["n"], row["x"]
 
 
+def roots_of(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, smallest id reachable) of the ends of the links a[i] - b[i]."""
+    ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    root = np.arange(len(ids))
+    while True:
+        m = np.minimum(root[x], root[y])
+        new = root.copy()
+        np.minimum.at(new, root[x], m)
+        np.minimum.at(new, root[y], m)
+        new = np.minimum(new, new[new])
+        while not np.array_equal(new, new[new]):
+            new = new[new]
+        if np.array_equal(new, root):
+            return ids, ids[root]
+        root = new
+
+
+def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        u, r = roots_of(batch.column(0).to_numpy(), batch.column(1).to_numpy())
+        far = u != r
+        yield pa.RecordBatch.from_arrays([pa.array(u[far]), pa.array(r[far])], ["u", "v"])
+
+
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(id, component) of every vertex of edges (a, b); component is the smallest id reachable.
 
-    Each round joins the edges with the least neighbour of each vertex, an aggregate of one row a
-    vertex, so a hub with very many neighbours is only a skewed join side that adaptive execution
-    splits. Only a count and a checksum of the edges reach the driver. Null ends and loops
+    Each round contracts the links of each Arrow batch to stars, brings the stars of a vertex
+    together (at most one a batch), links their centres to the least of them, and lets every vertex point to the
+    centre of its centre. A hub with very many neighbours is only a skewed join side, which adaptive execution
+    splits. Only a count and a checksum of the links reach the driver. Null ends and loops
     are ignored; an empty input gives an empty result.
     """
-    e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-    e = cut(e.filter("a is not null and b is not null").filter("u > v").distinct())
-    last = _print_of(e)
+    e = edges.filter("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+    last = None
     for _ in range(most_rounds):
-        if last[0] == 0:
-            break
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.filter("u > v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(least, "u")
-        small = joined.filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = cut(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
-        now = _print_of(e)
-        if now == last:
+        stars = e.mapInArrow(_contract, "u long, v long").groupBy("u").agg(F.min("v").alias("m"), F.collect_set("v").alias("vs"))
+        links = stars.select("u", "m", F.explode("vs").alias("v"))
+        links = links.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+        links = cut(links)
+        now = _print_of(links)
+        if now == last or now[0] == 0:
+            e = links
             break
         last = now
+        up = links.groupBy("u").agg(F.min("v").alias("top")).withColumnRenamed("u", "c")
+        e = links.join(up, links["v"] == up["c"], "left").select("u", F.coalesce("top", "v").alias("v"))
     else:
         raise RuntimeError("components did not settle")
+    e = e.distinct()
     roots = e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
     return e.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots)

@@ -8,19 +8,65 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .decontaminate import contamination
+from .embedding_dedup import near_vectors
 from .license_scan import BASE, license_places
+from .line_dedup import near_lines
 from .mixing import mix
 from .near_dedup import near_duplicates
+from .preferences import preference_pairs, stale_answers
+from .token_counts import token_counts
+from .toxicity import fit, score
 
 
 def op1_pareto_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_crf_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = score(docs, fit(docs, table(spark, sf_dir, "labels")))
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
+    offsets = F.array_join(F.transform("spans", lambda x: F.concat_ws("-", x["start"], x["end"])), ",")
+    return scored.select("doc_id", held.alias("held_out"), "score", "predicted", F.size("spans").cast("long").alias("n_spans"), offsets.alias("offsets"))
+
+
+def op4_minhash_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    names = F.array_join(F.transform("items", lambda x: x["item_id"].cast("string")), ",")
+    best = F.coalesce(F.array_max(F.transform("items", lambda x: x["containment"])), F.lit(0.0))
+    return found.select("doc_id", F.size("items").cast("long").alias("n_items"), names.alias("items"), best.alias("containment"), "contaminated")
+
+
+def op5_token_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.split("text", "\n").alias("sections"))
+    found = token_counts(docs)
+    counts = F.array_join(F.transform("sections", lambda x: x["tokens"].cast("long").cast("string")), ",")
+    return found.select("doc_id", "n_tokens", "n_crossing", F.size("sections").cast("long").alias("n_sections"), counts.alias("section_tokens"))
+
+
+def op6_fuzzy_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_lines(table(spark, sf_dir, "documents"))
+    gone = F.filter("lines", lambda x: ~x["kept"])
+    return found.select("doc_id", "n_lines", F.size("lines").cast("long").alias("n_compared"), F.size(gone).cast("long").alias("n_removed"), F.array_join(F.transform(gone, lambda x: x["no"].cast("string")), ",").alias("removed"))
+
+
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op9_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    rejected = stale_answers(turns).withColumnRenamed("conv_id", "pair_id")
+    found = preference_pairs(turns.withColumnRenamed("conv_id", "pair_id"), rejected)
+    spans = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws("-", x["start"], x["end"])), ",").alias(c)
+    return found.select("pair_id", "n_prefix", "prompt", "chosen", "rejected", spans("chosen_mask"), spans("rejected_mask"))
+
+
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = license_places(table(spark, sf_dir, "documents"))
     base = F.filter("places", lambda x: x["label"].isin(*BASE))
