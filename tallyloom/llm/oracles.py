@@ -51,5 +51,63 @@ SELECT doc_id, size, source_size, target, CAST((whole + CAST(got AS BIGINT)) * s
 """
 
 
+OP4 = r"""
+WITH src AS (SELECT 0 AS side, doc_id AS id, text FROM documents WHERE doc_id IS NOT NULL UNION ALL SELECT 1, item_id, text FROM benchmark WHERE item_id IS NOT NULL),
+w AS (SELECT side, id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM src),
+s AS (
+  SELECT side, id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) END AS sh FROM w),
+d AS (SELECT id, unnest(sh) AS g FROM s WHERE side = 0),
+q AS (SELECT id, len(sh) AS n, unnest(sh) AS g FROM s WHERE side = 1),
+f AS (SELECT d.id AS doc_id, q.id AS item_id, count(*) / n AS share FROM d JOIN q USING (g) GROUP BY d.id, q.id, n HAVING count(*) * 100 >= 75 * n),
+p AS (SELECT doc_id, count(*) AS n_items, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY item_id) AS items, max(share) AS containment FROM f GROUP BY doc_id)
+SELECT doc_id, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, coalesce(items, '') AS items, CAST(coalesce(containment, 0) AS DOUBLE) AS containment, n_items IS NOT NULL AS contaminated
+FROM documents LEFT JOIN p USING (doc_id)
+"""
+
+OP8 = r"""
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+g AS (
+  SELECT vec_id, x FROM v WHERE x IS NOT NULL AND len(x) > 0 AND len(list_filter(x, lambda y: y IS NULL OR NOT isfinite(y))) = 0
+    AND list_dot_product(x, x) > 0),
+p AS MATERIALIZED (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM g a JOIN g b ON a.vec_id <> b.vec_id AND len(a.x) = len(b.x) WHERE list_cosine_similarity(a.x, b.x) >= 0.95),
+r AS (SELECT vec_id AS id, vec_id AS c FROM v UNION SELECT p.b, r.c FROM r JOIN p ON p.a = r.id),
+m AS (SELECT id, min(c) AS c FROM r GROUP BY id),
+n AS (SELECT a, count(*) AS n FROM p GROUP BY a)
+SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, c AS component_id, vec_id = c AS kept FROM v JOIN m ON m.id = vec_id LEFT JOIN n ON n.a = vec_id
+"""
+
+OP9 = r"""
+WITH t AS (
+  SELECT conv_id, role, text, row_number() OVER w AS i, count(*) OVER (PARTITION BY conv_id) AS n,
+    CASE WHEN role = 'assistant' THEN row_number() OVER (PARTITION BY conv_id, role ORDER BY turn, text) END AS k,
+    count(*) FILTER (role = 'assistant') OVER (PARTITION BY conv_id) AS ks
+  FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)),
+u AS (
+  SELECT t.*, CASE WHEN t.k = t.ks THEN coalesce(o.text, '') ELSE t.text END AS other
+  FROM t LEFT JOIN t o ON o.conv_id = t.conv_id AND o.k = t.ks - 1 AND t.k = t.ks),
+f AS (SELECT *, coalesce(min(i) FILTER (text IS DISTINCT FROM other) OVER (PARTITION BY conv_id), n + 1) AS cut FROM u),
+h AS (
+  SELECT *, '<|' || coalesce(role, '') || '|>' || chr(10) AS head, coalesce(text, '') || '<|end|>' || chr(10) AS one, coalesce(other, '') || '<|end|>' || chr(10) AS two FROM f),
+e AS (
+  SELECT *, sum(length(head) + length(one)) FILTER (i >= cut) OVER w AS e1, sum(length(head) + length(two)) FILTER (i >= cut) OVER w AS e2
+  FROM h WINDOW w AS (PARTITION BY conv_id ORDER BY i))
+SELECT conv_id AS pair_id, CAST(any_value(cut) - 1 AS BIGINT) AS n_prefix,
+  coalesce(string_agg(head || one, '' ORDER BY i) FILTER (i < cut), '') AS prompt,
+  coalesce(string_agg(head || one, '' ORDER BY i) FILTER (i >= cut), '') AS chosen,
+  coalesce(string_agg(head || two, '' ORDER BY i) FILTER (i >= cut), '') AS rejected,
+  coalesce(string_agg(CAST(e1 - length(one) AS BIGINT) || '-' || CAST(e1 AS BIGINT), ',' ORDER BY i) FILTER (i >= cut AND role = 'assistant'), '') AS chosen_mask,
+  coalesce(string_agg(CAST(e2 - length(two) AS BIGINT) || '-' || CAST(e2 AS BIGINT), ',' ORDER BY i) FILTER (i >= cut AND role = 'assistant'), '') AS rejected_mask
+FROM e GROUP BY conv_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_pareto_mixing": OP1, "op7_minhash_near_dedup": OP7}
+    return {
+        "op1_pareto_mixing": OP1,
+        "op4_minhash_containment": OP4,
+        "op7_minhash_near_dedup": OP7,
+        "op8_cross_polytope": OP8,
+        "op9_preference_format": OP9,
+    }
