@@ -15,6 +15,7 @@ from .line_dedup import near_lines
 from .mixing import mix
 from .near_dedup import near_duplicates
 from .preferences import preference_pairs, stale_answers
+from .repeats import remove_repeats
 from .token_counts import token_counts
 from .toxicity import fit, score
 
@@ -23,6 +24,10 @@ def op1_pareto_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op3_crf_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = score(docs, fit(docs, table(spark, sf_dir, "labels")))
