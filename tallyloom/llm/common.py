@@ -33,6 +33,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def small_batches(spark: SparkSession, rows: int = 512) -> None:
+    """Lowers the session's Arrow batches to rows rows, so that a batch of long texts fits beside the JVM's heap."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name)) not in range(1, rows + 1):
+        spark.conf.set(name, str(rows))
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit words with full avalanche (the splitmix64 finaliser)."""
     x = x ^ (x >> np.uint64(30))

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, list_column, mix64, seeded
+from .common import cut, list_column, mix64, seeded, small_batches
 from .components import components, roots_of
 
 TABLES, POLYTOPES, PROBES, LEAST, BLOCK = 14, 2, 3, 0.95, 1024
@@ -167,6 +167,7 @@ def near_vectors(vectors: DataFrame, least: float = LEAST, block: int = BLOCK) -
     and is linked with nothing; rows that repeat a vec_id are one vector, the one whose print is smallest; other columns are
     ignored; an empty table gives an empty result.
     """
+    small_batches(vectors.sparkSession)
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     hashed = rows.filter("vec_id is not null").mapInArrow(_hashed, "vec_id long, print long, x array<double>, keys array<long>")
     hashed = cut(hashed)

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_class, text_slices, words
+from .common import byte_class, small_batches, text_slices, words
 
 # Fixed values: (label, words of the template, mandatory key phrase).
 TEMPLATES = (
@@ -127,6 +127,7 @@ def license_places(docs: DataFrame, templates: Sequence[tuple[str, str, str]] =
     count; repeated rows and null doc_ids are scanned row by row; other columns are ignored; an empty
     table gives an empty result.
     """
+    small_batches(docs.sparkSession)
     index = Index(templates)
     counts = np.array(word_documents(docs, index), dtype=float)
     weights = np.log1p(max(counts.max(initial=0), 1) / (counts + 1))

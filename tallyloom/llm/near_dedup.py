@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .candidates import connect
-from .common import cut, list_column, mix64, seeded, shingles, text_slices, words
+from .common import cut, list_column, mix64, seeded, shingles, small_batches, text_slices, words
 
 CHUNKS, CHUNK, ERRORS, WIDTH, PERCENT = 12, 6, 1, 5, 75
 
@@ -109,6 +109,7 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     links are confirmed on one of them (the greatest list of hashes). Other columns are ignored
     whatever their names; an empty table gives an empty result.
     """
+    small_batches(docs.sparkSession)
     prof = cut(profiles(docs, width))
     known = prof.filter("doc_id is not null and n_shingles > 0")
     classes = known.groupBy("n_shingles", "p1", "p2").agg(F.min("doc_id").alias("rep"))

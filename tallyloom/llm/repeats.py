@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _BASE, _BYTE, _INVERSE, _powers, cut, list_column, mix64, seeded, text_slices
+from .common import _BASE, _BYTE, _INVERSE, _powers, cut, list_column, mix64, seeded, small_batches, text_slices
 
 LENGTH, GRAM, BUCKET_BYTES = 50, 24, 8 << 20
 LAST = (1 << 63) - 1
@@ -241,6 +241,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     that repeat a doc_id are not smaller than each other, so they take nothing from each other; other columns are ignored;
     an empty table gives an empty result.
     """
+    small_batches(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     texts = texts.select("doc_id", F.coalesce("doc_id", F.lit(LAST)).alias("doc"), (F.xxhash64("text") % (1 << 30)).cast("int").alias("t"), "text")
     runs = cut(repeated_runs(texts.select("doc", "t", "text"), length))

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_slices
+from .common import small_batches, text_slices
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: how the vocabulary above splits text.
@@ -71,6 +71,7 @@ def token_counts(docs: DataFrame, separator: str = "\n", rule: str = "majority",
     """
     if rule not in ("majority", "first", "split"):
         raise ValueError(rule)
+    small_batches(docs.sparkSession)
     with open(vocabulary, "rb") as f:
         ranks = f.read()  # a fixed file of about 1 MB
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import byte_class, cut, text_slices, words
+from .common import byte_class, cut, small_batches, text_slices, words
 
 #: Bytes between tokens: all ASCII but letters, digits and the apostrophe.
 GAP = byte_class((0x00, 0x26), (0x28, 0x2F), (0x3A, 0x40), (0x5B, 0x60), (0x7B, 0x7F))
@@ -111,14 +111,27 @@ def _fit_chain(ids: np.ndarray, gold: np.ndarray, real: np.ndarray, n: int, step
 
 
 def _fit_document(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    b = np.zeros(x.shape[1])
-    for _ in range(30):
-        p = 1 / (1 + np.exp(-np.clip(x @ b, -30, 30)))
-        h = (x * (weight * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ x + np.diag([1e-3, 0.1, 0.1])
-        step = np.linalg.solve(h, x.T @ (weight * (y - p)) - np.diag([1e-3, 0.1, 0.1]) @ b)
-        b += np.clip(step, -2, 2)
-        b[1:] = np.maximum(b[1:], 0.0)  # more toxic tokens never lower a score
-    return b
+    """Logistic weights by Newton's method with step halving; features that would lower a score are left out."""
+    use = list(range(x.shape[1]))
+    while True:
+        part, ridge = x[:, use], np.diag([1e-3] + [0.05] * (len(use) - 1))
+        value = lambda b, part=part, ridge=ridge: (weight * (y * (part @ b) - np.logaddexp(0, part @ b))).sum() - b @ ridge @ b / 2
+        b = np.zeros(len(use))
+        for _ in range(100):
+            p = 1 / (1 + np.exp(-np.clip(part @ b, -30, 30)))
+            h = (part * (weight * p * (1 - p))[:, None]).T @ part + ridge
+            step = np.linalg.solve(h, part.T @ (weight * (y - p)) - ridge @ b)
+            size = 1.0
+            while size > 1e-6 and value(b + size * step) < value(b):
+                size /= 2
+            b = b + size * step
+            if size <= 1e-6 or np.abs(size * step).max() < 1e-6:
+                break
+        if len(use) == 1 or b[1:].min() >= 0:
+            out = np.zeros(x.shape[1])
+            out[use] = b
+            return out
+        use.pop(1 + int(np.argmin(b[1:])))
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, lexicon: int = LEXICON) -> Model:
@@ -133,6 +146,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, lexicon:
     toxic or text is null are not learned from; several labels of one document count as toxic if any is.
     Without both classes the score is a constant, the share of toxic rows.
     """
+    small_batches(docs.sparkSession)
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     known = known.filter("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = known.filter(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0)
@@ -226,6 +240,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     toxic token; repeated rows and ties are scored row by row; of columns that docs already
     calls score, predicted or spans the old ones are dropped; an empty table gives an empty result.
     """
+    small_batches(docs.sparkSession)
     kept = [c for c in docs.columns if c.lower() not in ("score", "predicted", "spans")]
     docs = docs.select(*[F.col(f"`{c}`") for c in kept], F.col("text").cast("string").alias("__tagged"))
     at = len(kept)
