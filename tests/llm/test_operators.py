@@ -17,6 +17,7 @@ from tallyloom.llm.line_dedup import near_lines, remove_lines
 from tallyloom.llm.mixing import mix
 from tallyloom.llm.near_dedup import near_duplicates
 from tallyloom.llm.preferences import preference_pairs
+from tallyloom.llm.queries import op6_fuzzy_line_dedup
 from tallyloom.llm.repeats import remove_repeats
 from tallyloom.llm.token_counts import VOCABULARY, attribute, token_counts
 from tallyloom.llm.toxicity import fit, score
@@ -170,6 +171,20 @@ def test_op6_against_brute_force(docs, empty):
     assert near_lines(empty).count() == 0
 
 
+def test_op6_takes_every_line_that_is_not_blank(spark, docs, tmp_path):
+    short = ["Menu", "menu", "© 2024", "x", "eight ch", "nine char", "nine chars", "nineteen characters", "Nineteen characters", "  ", "\r", "", "\t", " " * 30]
+    texts = ["\n".join([*RNG.permutation(short), prose(9)]) for _ in range(5)] + ["Menu\n \nMenu", "x"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    lines = [(i, no, lower(x)) for i, t in enumerate(texts) for no, x in enumerate(t.split("\n")) if x.strip()]
+    sets = [{x[j : j + 9] for j in range(max(1, len(x) - 8))} for *_, x in lines]
+    root = reachable(range(len(lines)), [(a, b) for a, b in itertools.combinations(range(len(lines)), 2) if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])])
+    gone = {i: [no for a, (d, no, _) in enumerate(lines) if d == i and root[a] != a] for i in range(len(texts))}
+    got = {r["doc_id"]: (r["n_compared"], r["removed"]) for r in op6_fuzzy_line_dedup(spark, str(tmp_path)).collect()}
+    assert got == {i: (sum(d == i for d, *_ in lines), ",".join(map(str, gone[i]))) for i in range(len(texts))}
+    cleaned = corpus_pipeline.line_dedup(spark, common.table(spark, str(tmp_path), "documents"), str(tmp_path))
+    assert dict(map(tuple, cleaned.collect())) == {i: "\n".join(x for no, x in enumerate(t.split("\n")) if no not in gone[i]) for i, t in enumerate(texts)}
+
+
 def test_op7_against_brute_force(docs, empty):
     sets = {}
     for i, t, *_ in ROWS:
