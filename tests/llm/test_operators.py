@@ -185,6 +185,20 @@ def test_op6_takes_every_line_that_is_not_blank(spark, docs, tmp_path):
     assert dict(map(tuple, cleaned.collect())) == {i: "\n".join(x for no, x in enumerate(t.split("\n")) if no not in gone[i]) for i, t in enumerate(texts)}
 
 
+def test_op6_rows_are_documents_of_their_own(spark, docs):
+    a, b, c, d, e = (prose(12) for _ in range(5))
+    near = c[:-1] + "#"
+    texts = [(None, f"{a}\n{b}"), (None, f"{c}\n{b}"), (None, f"{a}\n{d}"), (None, f"{e}\n{d}"), (None, f"{e}\n{d}"), (None, f"{e}\n{d}"), (None, None)]
+    texts += [(7, prose(12)), (7, f"{near}\n{prose(12)}"), (7, f"{prose(12)}\n{a}"), (8, a), (9, "same line of two rows"), (9, "same line of two rows")]
+    table = spark.createDataFrame([(*x, k) for k, x in enumerate(texts)], "doc_id long, text string, row long")
+    cleaned = {r["row"]: r["text"] for r in remove_lines(table, near_lines(table, least=1)).collect()}
+    assert set(cleaned) == set(range(len(texts))) and cleaned[6] is None
+    left = [x for k in range(len(texts)) for x in (cleaned[k] or "").split("\n") if x]
+    # each group of near-equal lines stays once, by the smallest doc_id; only the two equal rows of document 9 both keep theirs
+    assert sorted(left) == sorted([*(x for k in (7, 8, 9) for x in texts[k][1].split("\n")), b, d, e, *[texts[11][1]] * 2])
+    assert [cleaned[k] for k in (7, 8, 9, 10, 11, 12)] == [texts[7][1], texts[8][1], texts[9][1], "", texts[11][1], texts[11][1]]
+
+
 def test_op7_against_brute_force(docs, empty):
     sets = {}
     for i, t, *_ in ROWS:
