@@ -1,63 +1,316 @@
-"""Linking the members of candidate buckets without ever forming all pairs of a large group.
+"""Links inside groups of any size: candidate buckets, clusters of likely links, and their exact comparison.
 
-A bucket of near copies is settled by comparing each member with one hub, which costs as many
-comparisons as there are members. What a hub did not settle meets other hubs in further rounds,
-chosen anew in each bucket. Only pairs that still lie in different components after that, i.e. what
-the buckets hold by chance, are compared one by one, so no link is lost.
+A group of more than `block` members is dealt to blocks, each of which also gets a few hubs of its group. A
+group of near copies is so settled by its hubs, whatever its size. Only members that are then
+still apart from the largest component of their group meet the other blocks, so no link is
+lost and no group is ever in one task or expanded into all its pairs.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
-from .components import components
+from .common import cut, discard, text_slices
+from .components import components, roots_of
 
+BLOCK, WEIGHT, HUBS, PAIRS = 1024, 4_000_000, 3, 1 << 20
+EDGES, SPREAD = "a long, b long", "place long, id long, key long, far boolean"
 
-def _placed(members: DataFrame, comp: DataFrame | None) -> DataFrame:
-    if comp is None:
-        return members.withColumn("c", F.col("id"))
-    return members.join(comp, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
 
+def spread(keys: np.ndarray, ids: np.ndarray, *more: np.ndarray) -> pa.RecordBatch:
+    """Rows (place, id, key, far, *more) of keys (rows x keys per row), with what a slice has of one key kept apart.
 
-def _unsettled(placed: DataFrame, order) -> DataFrame:
-    """Per bucket with several components, the member that comes first by order."""
-    hub = placed.groupBy("key").agg(F.min(F.struct(order.alias("o"), "id", "c")).alias("hub"), F.min("c").alias("lo"), F.max("c").alias("hi"))
-    return hub.filter("lo < hi").select("key", F.col("hub.id").alias("h"), F.col("hub.c").alias("hc"))
+    The first two ids of a key in the slice go to the place that the key names. Further ones are known to share
+    it, so they are far: they go anywhere (place is a hash of key and id). No place gets more than two rows of a
+    slice, however common its key is.
+    """
+    key, row = keys.ravel(), np.repeat(np.arange(len(ids)), keys.shape[1])
+    order = np.lexsort((ids[row], key))
+    key, row = key[order], row[order]
+    own = ids[row]
+    new_key = np.ones(len(key), dtype=bool)
+    new_key[1:] = key[1:] != key[:-1]
+    new = new_key.copy()
+    new[1:] |= own[1:] != own[:-1]
+    key, own, row, first = key[new], own[new], row[new], new_key[new]
+    near = first.copy()
+    near[1:] |= first[:-1]
+    place = np.where(near, key, key ^ (own.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+    cols = [place.view(np.int64), own, np.where(near, np.uint64(0), key).view(np.int64), ~near, *(x[row] for x in more)]
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in cols], [f"c{k}" for k in range(len(cols))])
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of spread sorted by place to (key, id, *more) of every key with two ids or more."""
+    last: pa.RecordBatch | None = None  # the last near row, and whether it went out
+    gone = False
+    for batch in batches:
+        far = batch.column(3)
+        out = [batch.filter(far).select([2, 1, *range(4, batch.num_columns)])]
+        near = batch.filter(pc.invert(far))
+        if near.num_rows:
+            if last is not None:
+                near = pa.Table.from_batches([last, near]).combine_chunks().to_batches()[0]
+            p, o = near.column(0).to_numpy(), near.column(1).to_numpy()
+            at = np.flatnonzero(np.concatenate([[True], p[1:] != p[:-1]]))
+            several = np.minimum.reduceat(o, at) < np.maximum.reduceat(o, at)
+            several[0] |= gone
+            take = np.repeat(several, np.diff(np.append(at, len(p))))
+            last, was, gone = near.slice(len(p) - 1), gone, bool(take[-1])
+            take[0] &= not was
+            out.append(near.filter(pa.array(take)).select([0, 1, *range(4, batch.num_columns)]))
+        for x in out:
+            if x.num_rows:
+                yield pa.RecordBatch.from_arrays(x.columns, [f"c{k}" for k in range(x.num_columns)])
+
+
+def shared_members(rows: DataFrame, more: str = "") -> DataFrame:
+    """(key, id, *more) of the keys that two ids or more have, of rows as spread makes them; more are declarations of columns."""
+    return rows.repartition("place").sortWithinPartitions("place").mapInArrow(_runs, "key long, id long" + more)
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], least_rows: int = 1 << 15, least_bytes: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+    """Batches of whole groups of rows sorted by (g, block), the first two columns."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        if sum(b.num_rows for b in held) < least_rows and sum(b.nbytes for b in held) < least_bytes:
+            continue
+        both = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        other = (both.column(0).to_numpy() != both.column(0)[-1].as_py()) | (both.column(1).to_numpy() != both.column(1)[-1].as_py())
+        at = int(other.nonzero()[0][-1]) + 1 if other.any() else 0
+        if at:
+            yield both.slice(0, at)
+        held = [both.slice(at)]
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
+def _relabel(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """label once the rows i and j are joined."""
+    ids, roots = roots_of(label[i], label[j])
+    at = np.minimum(np.searchsorted(ids, label), len(ids) - 1)
+    return np.where(ids[at] == label, roots[at], label)
+
+
+def _pairs(size: np.ndarray, start: np.ndarray, most: int = PAIRS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of rows i < j inside the groups that start at start, about most at a time."""
+    row = np.arange(size.sum())
+    left = np.repeat(start + size, size) - 1 - (np.repeat(start - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + row)
+    row = np.repeat(start - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + row
+    row, left = row[left > 0], left[left > 0]
+    ends = np.cumsum(left)
+    a = 0
+    while a < len(row):
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + most, side="right")))
+        n = left[a:b]
+        i = np.repeat(row[a:b], n)
+        yield i, i + 1 + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        a = b
+
+
+def settle(start: np.ndarray, size: np.ndarray, side: np.ndarray, label: np.ndarray, test: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+    """The label of each row once every link that test confirms inside a group is joined.
+
+    Rows with equal labels are known to be connected and are not tested. In a group with two sides
+    only pairs across them are. Groups of over 64 rows are compared with two of their rows first.
+    """
+    two = np.maximum.reduceat(side, start) > np.minimum.reduceat(side, start) if len(start) else np.zeros(0, dtype=bool)
+    across = np.repeat(two, size)
+
+    def join(i: np.ndarray, j: np.ndarray) -> None:
+        nonlocal label
+        open_ = (label[i] != label[j]) & (~across[i] | (side[i] != side[j]))
+        i, j = i[open_], j[open_]
+        if len(i):
+            ok = test(i, j)
+            if ok.any():
+                label = _relabel(label, i[ok], j[ok])
+
+    big = np.flatnonzero(size > 64)
+    for k in range(2):
+        for g in big:
+            own = np.arange(start[g], start[g] + size[g])
+            apart = own if k == 0 else own[label[own] != label[start[g]]]
+            if len(apart):
+                join(np.full(len(own), apart[0]), own)
+    small = size <= 64
+    for i, j in _pairs(size[small], start[small]):
+        join(i, j)
+    for g in big:
+        if (label[start[g] : start[g] + size[g]] != label[start[g]]).any():
+            for i, j in _pairs(size[g : g + 1], start[g : g + 1]):
+                join(i, j)
+    return label
+
+
+def _solve(tests: Callable[[pa.RecordBatch], Callable[[np.ndarray, np.ndarray], np.ndarray]]) -> Callable:
+    """A mapInArrow function over rows (g, block, id, c, side, ...) sorted by (g, block): the links (a, b) that it finds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in whole_groups(batches):
+            g, block, ids, c, side = (batch.column(k).to_numpy() for k in range(5))
+            new = np.concatenate([[True], (g[1:] != g[:-1]) | (block[1:] != block[:-1])])
+            start = np.flatnonzero(new)
+            size = np.diff(np.append(start, len(g)))
+            if size.max() < 2:
+                continue
+            # rows of one group and component are connected from the start
+            order = np.lexsort((c, np.cumsum(new)))
+            head = np.concatenate([[True], new[order][1:] | (c[order][1:] != c[order][:-1])])
+            begin = np.empty(len(g), dtype=np.int64)
+            begin[order] = order[np.flatnonzero(head)][np.cumsum(head) - 1]
+            label = settle(start, size, side, begin, tests(batch))
+            far = np.flatnonzero(label != begin)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[begin[far]]), pa.array(ids[label[far]])], ["a", "b"])
+
+    return run
+
+
+def group_links(rows: DataFrame, tests: Callable, block: int = BLOCK, weight: int = WEIGHT) -> DataFrame:
+    """(id, component) over the links inside the groups of rows (g, id, w, ...), w being the weight of a member.
+
+    tests gets a batch of rows (g, block, id, c, side, ...) and gives a function that tells of rows i, j whether they
+    are linked. A block has at most about `block` members and `weight` weight, or one member.
+    Ids without a link are absent. rows is read several times and should be a table.
+    """
+    extra = [c for c in rows.columns if c not in ("g", "id", "w")]
+    parts = F.ceil(F.greatest(F.col("n") / block, F.col("total") / weight)).cast("int")
+    large = cut(rows.groupBy("g").agg(F.count("*").alias("n"), F.sum("w").alias("total")).filter((F.col("n") > 1) & ((F.col("n") > block) | (F.col("total") > weight))).select("g", parts.alias("blocks")))
+    some = not large.isEmpty()
+    base = rows.withColumn("c", F.col("id"))
+    if some:
+        base = base.join(large, "g", "left")
+        dealt = base.withColumn("block", F.coalesce(F.pmod(F.xxhash64("id"), F.col("blocks")), F.lit(0)).cast("int"))
+        hub = lambda k: F.min(F.struct(F.xxhash64("id", F.lit(k)), F.col("id"))).getField("id")
+        hubs = rows.join(large, "g").groupBy("g", "blocks").agg(F.array_distinct(F.array(*map(hub, range(HUBS)))).alias("ids")).select("g", "blocks", F.explode("ids").alias("id"))
+        hubs = base.drop("blocks").join(hubs, ["g", "id"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        base = dealt.drop("blocks").unionByName(hubs.drop("blocks"))
+    else:
+        base = base.withColumn("block", F.lit(0))
+    order = ["g", "block", "id", "c", "side", *extra]
+    base = base.withColumn("side", F.lit(0)).select(order)
+    links = base.repartition("g", "block").sortWithinPartitions("g", "block").mapInArrow(_solve(tests), EDGES)
+    comp = components(links)
+    if some:
+        comp = _leftover(rows, extra, large, comp, tests, block, weight)
+    discard(large)
+    return comp
+
+
+def _leftover(rows: DataFrame, extra: list[str], large: DataFrame, comp: DataFrame, tests: Callable, block: int, weight: int) -> DataFrame:
+    """comp with the links between blocks of the groups of large that are not yet one component."""
+    placed = rows.join(large, "g").join(comp, "id", "left").withColumn("c", F.coalesce("component", "id"))
+    per = placed.groupBy("g", "c").agg(F.count("*").alias("n"), F.sum("w").alias("total"))
+    most = F.max(F.struct("n", "total", "c"))
+    main = per.groupBy("g").agg(most.alias("m"), (F.sum("n") - F.max("n")).alias("others"), F.sum("total").alias("all")).filter("others > 0")
+    share = lambda n, total: F.ceil(F.greatest(n / block, total / weight, F.lit(1))).cast("int")
+    main = cut(main.select("g", F.col("m.c").alias("mc"), share(F.col("m.n"), F.col("m.total")).alias("ours"), share(F.col("others"), F.col("all") - F.col("m.total")).alias("theirs")))
+    if main.isEmpty():
+        discard(main)
+        return comp
+    side = (F.col("c") != F.col("mc")).cast("int")
+    both = placed.join(main, "g").withColumn("minor", side == 1)
+    own = F.pmod(F.xxhash64("id"), F.when(F.col("minor"), F.col("theirs")).otherwise(F.col("ours"))).cast("int")
+    both = both.withColumn("own", own)
+    # pairs of blocks: a minor one (x) with each main one (y >= 0) and with each minor one from itself on (y < 0)
+    mains = F.transform(F.sequence(F.lit(0), F.col("ours") - 1), lambda y: F.struct(F.col("own").alias("x"), y.alias("y")))
+    minors = F.transform(F.sequence(F.lit(0), F.col("theirs") - 1), lambda y: F.struct(F.least("own", y).alias("x"), (-1 - F.greatest(F.col("own"), y)).alias("y")))
+    meets = F.transform(F.sequence(F.lit(0), F.col("theirs") - 1), lambda x: F.struct(x.alias("x"), F.col("own").alias("y")))
+    both = both.withColumn("at", F.explode(F.when(F.col("minor"), F.concat(mains, minors)).otherwise(meets)))
+    at, x, y = F.xxhash64("at.x", "at.y"), F.col("at.x"), F.col("at.y")
+    # in a pair of blocks, which of the two a row is of
+    which = F.when(y >= 0, F.col("minor").cast("int")).otherwise((F.col("own") == x).cast("int"))
+    both = both.select("g", at.alias("block"), "id", "c", which.alias("side"), *extra)
+    links = both.repartition("g", "block").sortWithinPartitions("g", "block").mapInArrow(_solve(tests), EDGES)
+    known = comp.filter("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b"))
+    out = components(links.unionByName(known))
+    discard(main)
+    return out
+
+
+def exact_test(sets: Callable, percent: int, text: int) -> Callable:
+    """tests for group_links by whole sets: sets(data, rows) gives (flat hashes, first of each row) of the texts in column text."""
+
+    def tests(batch: pa.RecordBatch) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+        parts, counts = [], []
+        for lo, hi, data, rows in text_slices(batch, text):
+            flat, first = sets(data, rows)
+            row = np.repeat(np.arange(hi - lo), np.diff(first))
+            order = np.lexsort((flat, row))
+            flat, row = flat[order], row[order]
+            new = np.concatenate([[True], (flat[1:] != flat[:-1]) | (row[1:] != row[:-1])]) if len(flat) else np.zeros(0, dtype=bool)
+            parts.append(flat[new])
+            counts.append(np.bincount(row[new], minlength=hi - lo))
+        n = np.concatenate(counts)
+        first = np.concatenate([[0], np.cumsum(n)])
+        # numbers in place of hashes, so that one row's set is a few marks
+        names, rank = np.unique(np.concatenate(parts), return_inverse=True)
+        mark = np.zeros(len(names), dtype=bool)
+
+        def test(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+            ok = np.minimum(n[i], n[j]) * 100 >= np.maximum(n[i], n[j]) * percent
+            ok &= n[i] > 0
+            k = np.flatnonzero(ok)
+            k = k[np.argsort(i[k], kind="stable")]
+            cuts = np.flatnonzero(np.concatenate([[True], np.diff(i[k]) != 0])) if len(k) else k
+            for a, b in zip(cuts, np.append(cuts[1:], len(k)), strict=True):
+                one = rank[first[i[k[a]]] : first[i[k[a]] + 1]]
+                mark[one] = True
+                for c in range(a, b, 512):
+                    part = k[c : min(b, c + 512)]
+                    js = j[part]
+                    m = n[js]
+                    at = np.repeat(first[js] - np.concatenate([[0], np.cumsum(m)[:-1]]), m) + np.arange(m.sum())
+                    common = np.add.reduceat(mark[rank[at]].astype(np.int64), np.concatenate([[0], np.cumsum(m)[:-1]]))
+                    ok[part] = common * 100 >= (len(one) + m - common) * percent
+                mark[one] = False
+            return ok
+
+        return test
+
+    return tests
+
+
+def signature_test(column: int, most: int, size: int, percent: int) -> Callable:
+    """tests for group_links by signatures (binary of one width in column): at most `most` bytes differ, and the sizes in column size allow percent."""
+
+    def tests(batch: pa.RecordBatch) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+        col = batch.column(column)
+        flat = np.frombuffer(col.buffers()[2], dtype=np.uint8)
+        offs = np.frombuffer(col.buffers()[1], dtype=np.int32, count=len(col) + 1, offset=4 * col.offset)
+        sig = flat[offs[0] : offs[-1]].reshape(len(col), -1)
+        n = batch.column(size).to_numpy()
+
+        def test(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+            ok = np.minimum(n[i], n[j]) * 100 >= np.maximum(n[i], n[j]) * percent
+            k = np.flatnonzero(ok)
+            for a in range(0, len(k), 1 << 16):
+                part = k[a : a + (1 << 16)]
+                ok[part] = (sig[i[part]] != sig[j[part]]).sum(axis=1) <= most
+            return ok
+
+        return test
+
+    return tests
 
 
-def connect(members: DataFrame, verify: Callable[[DataFrame], DataFrame], rounds: int = 3) -> DataFrame:
-    """(id, component) over the links that verify confirms between members (key, id) of one bucket.
+def connect(members: DataFrame, likely: Callable, texts: Callable[[DataFrame], DataFrame], sets: Callable, percent: int) -> DataFrame:
+    """(id, component) over the exact links among members (g, id, w, ...) of the candidate groups g.
 
-    verify takes distinct pairs (a, b), a < b, and returns those that are links. members should hold
-    no bucket of one member. An id without a link is absent from the result.
+    likely are the tests of group_links for members. Clusters of likely links are then compared by their whole
+    texts, which texts gives as (id, text) for a table of (id). An id without a link is absent.
     """
-    comp, tried = None, None
-    for k in range(rounds):
-        placed = _placed(members, comp)
-        order = F.col("id") if k == 0 else F.xxhash64("key", "id", F.lit(k))
-        hubs = _unsettled(placed, order)
-        pairs = placed.join(hubs, "key").filter("c <> hc").select(F.least("id", "h").alias("a"), F.greatest("id", "h").alias("b")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = cut(pairs)
-        if tried is not None and pairs.isEmpty():
-            break
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        comp = _joined(comp, verify(pairs))
-    placed = _placed(members, comp)
-    placed = cut(placed.join(_unsettled(placed, F.col("id")).select("key"), "key", "left_semi"))
-    one, two = (placed.select("key", F.col("id").alias(x), F.col("c").alias(f"c{x}")) for x in "ab")
-    pairs = one.join(two, "key").filter("a < b and ca <> cb").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
-    pairs = cut(pairs)
-    return comp if pairs.isEmpty() else _joined(comp, verify(pairs))
-
-
-def _joined(comp: DataFrame | None, links: DataFrame) -> DataFrame:
-    """The components of comp once links (a, b) are added."""
-    if comp is not None:
-        links = links.unionByName(comp.filter("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b")))
-    return cut(components(links))
+    clusters = group_links(members, likely)
+    whole = cut(clusters.join(texts(clusters.select("id")), "id").select(F.col("component").alias("g"), "id", F.octet_length("text").alias("w"), "text"))
+    comp = group_links(whole, exact_test(sets, percent, 5))
+    discard(clusters, whole)
+    return comp

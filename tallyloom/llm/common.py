@@ -7,37 +7,70 @@ follows the slice (or the longest single text) and not the batch or the partitio
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SLICE_BYTES = 2 << 20
+#: Stands for a null doc_id, so that it comes last.
+LAST = (1 << 63) - 1
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialises df in the shared checkpoint folder, so a lost executor costs no recomputation.
+def quoted(name: str) -> Column:
+    """The column of this very name, whatever it holds."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def unused(name: str, df: DataFrame) -> str:
+    """A column name that df doesn't have."""
+    have = {c.lower() for c in df.columns}
+    out = f"__{name}"
+    while out.lower() in have:
+        out += "_"
+    return out
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names (or one set on the context): all executors and the driver see it.
 
-    The folder is the one the session names in spark.checkpoint.dir; only where neither that nor
-    a folder set on the context exists (tests) a local temporary one is used.
+    Only a local session without either, as in tests, gets a temporary one; a cluster has to name its own.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
-    if not sc.getConf().get("spark.checkpoint.dir", "") and sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint(eager=True)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not folder:
+        if sc.master != "local" and not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the whole cluster shares")
+        folder = tempfile.mkdtemp(prefix="checkpoint-")
+        sc.setCheckpointDir(folder)
+    return folder
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df written as a table in the shared folder and read again: a lost executor costs no recomputation before it."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/tallyloom-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.tallyloom_table = path
+    return out
 
 
-def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Lowers the session's Arrow batches to rows rows, so that a batch of long texts fits beside the JVM's heap."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(name)) not in range(1, rows + 1):
-        spark.conf.set(name, str(rows))
+def discard(*tables: DataFrame | None) -> None:
+    """Deletes tables that cut has written and nothing reads any more."""
+    for df in tables:
+        path = getattr(df, "tallyloom_table", None) if df is not None else None
+        if path:
+            sc = df.sparkSession.sparkContext
+            at = sc._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

@@ -6,10 +6,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, discard
 
 
 def _print_of(edges: DataFrame) -> tuple:
@@ -47,26 +47,27 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
     Each round contracts the links of each Arrow batch to stars, brings the stars of a vertex
     together (at most one a batch), links their centres to the least of them, and lets every vertex point to the
-    centre of its centre. A hub with very many neighbours is only a skewed join side, which adaptive execution
-    splits. Only a count and a checksum of the links reach the driver. Null ends and loops
+    centre of its centre. Links always point to a smaller id, so a vertex has as many links here as batches held it, never
+    as it has neighbours. Only a count and a checksum of the links reach the driver. The result is a table in the shared folder. Null ends and loops
     are ignored; an empty input gives an empty result.
     """
     e = edges.filter("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-    last = None
+    last, before = None, None
     for _ in range(most_rounds):
-        stars = e.mapInArrow(_contract, "u long, v long").groupBy("u").agg(F.min("v").alias("m"), F.collect_set("v").alias("vs"))
-        links = stars.select("u", "m", F.explode("vs").alias("v"))
-        links = links.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+        stars = e.mapInArrow(_contract, "u long, v long").distinct()
+        least = F.min("v").over(Window.partitionBy("u"))
+        links = stars.select(F.when(F.col("v") == least, F.col("u")).otherwise(F.col("v")).alias("u"), least.alias("v"))
         links = cut(links)
-        now = _print_of(links)
+        discard(before)
+        before, now = links, _print_of(links)
         if now == last or now[0] == 0:
-            e = links
             break
         last = now
         up = links.groupBy("u").agg(F.min("v").alias("top")).withColumnRenamed("u", "c")
         e = links.join(up, links["v"] == up["c"], "left").select("u", F.coalesce("top", "v").alias("v"))
     else:
         raise RuntimeError("components did not settle")
-    e = e.distinct()
-    roots = e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
-    return e.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots)
+    ends = F.explode(F.array(F.struct(F.col("u").alias("id"), F.col("v").alias("component")), F.struct(F.col("v").alias("id"), F.col("v").alias("component")))).alias("x")
+    out = cut(before.select(ends).select("x.id", "x.component").distinct())
+    discard(before)
+    return out

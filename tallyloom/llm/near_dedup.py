@@ -7,13 +7,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .candidates import connect
-from .common import cut, list_column, mix64, seeded, shingles, small_batches, text_slices, words
+from .candidates import SPREAD, connect, shared_members, signature_test, spread
+from .common import LAST, cut, discard, mix64, quoted, seeded, shingles, text_slices, unused, words
+from .components import components
 
-CHUNKS, CHUNK, ERRORS, WIDTH, PERCENT = 12, 6, 1, 5, 75
+#: 12 chunks of 4 minima with one error each: all pairs of signatures with at most 12 * 2 - 1 = 23 differences share a key.
+CHUNKS, CHUNK, ERRORS, WIDTH, PERCENT = 12, 4, 1, 5, 75
+MOST = CHUNKS * (ERRORS + 1) - 1
 
 
 def signature(hashes: np.ndarray, first: np.ndarray, size: int) -> np.ndarray:
@@ -22,7 +25,7 @@ def signature(hashes: np.ndarray, first: np.ndarray, size: int) -> np.ndarray:
     out = np.empty((len(first) - 1, size), dtype=np.uint64)
     for k in range(size):
         out[:, k] = np.minimum.reduceat(hashes * a[k] + b[k], first[:-1])
-    return mix64(out) >> np.uint64(48)
+    return (mix64(out) >> np.uint64(48)).astype(np.uint16)
 
 
 def chunk_keys(sig: np.ndarray, chunks: int = CHUNKS, width: int = CHUNK, errors: int = ERRORS) -> np.ndarray:
@@ -38,100 +41,127 @@ def chunk_keys(sig: np.ndarray, chunks: int = CHUNKS, width: int = CHUNK, errors
             key = np.full(len(sig), mix64(np.array([c * 1009 + j + 1], dtype=np.uint64))[0], dtype=np.uint64)
             for p in range(width):
                 if p not in out:
-                    key = mix64(key * np.uint64(0x2545F4914F6CDD1D) + sig[:, c * width + p] + np.uint64(1))
+                    key = mix64(key * np.uint64(0x2545F4914F6CDD1D) + sig[:, c * width + p].astype(np.uint64) + np.uint64(1))
             cols.append(key)
     return np.stack(cols, axis=1)
 
 
-def _distinct_sets(batch: pa.RecordBatch, column: int, width: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, end row, sorted distinct shingle hashes of each row, row offsets) of slices."""
-    for lo, hi, data, rows in text_slices(batch, column):
-        h, _, _, first = words(data, rows)
-        s, at = shingles(h, first, width)
-        sets = [np.unique(s[at[i] : at[i + 1]]) for i in range(hi - lo)]
-        offsets = np.zeros(hi - lo + 1, dtype=np.int64)
-        np.cumsum([len(x) for x in sets], out=offsets[1:])
-        yield lo, hi, np.concatenate(sets) if sets else s, offsets
+def row_key(text: str = "text") -> Column:
+    """With doc_id, what names a row: a hash of its text."""
+    return F.xxhash64(F.col(text).cast("string"))
+
+
+def _distinct_sets(data: np.ndarray, rows: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct shingle hashes, row by row, and the first of each row)."""
+    h, _, _, first = words(data, rows)
+    s, at = shingles(h, first, width)
+    sets = [np.unique(s[a:b]) for a, b in itertools.pairwise(at)]
+    return (np.concatenate(sets) if sets else s), np.concatenate([[0], np.cumsum([len(x) for x in sets], dtype=np.int64)])
 
 
 def profiles(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(doc_id, n_shingles, p1, p2, keys): set size, a 128-bit print of the set, and its chunk keys."""
+    """(doc_id, h, n_shingles, p1, p2, sig, low): row key, set size, a 128-bit print of the set, its signature of 16-bit minima and their low bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        size = CHUNKS * CHUNK
         for batch in batches:
-            for lo, hi, flat, at in _distinct_sets(batch, 1, width):
+            for lo, hi, data, rows in text_slices(batch, 2):
+                flat, at = _distinct_sets(data, rows, width)
                 n = np.diff(at)
                 full = np.flatnonzero(n > 0)
                 p1, p2 = np.zeros(hi - lo, dtype=np.uint64), np.zeros(hi - lo, dtype=np.uint64)
-                keys = np.zeros((0, 1), dtype=np.uint64)
+                sig = np.zeros(0, dtype=np.uint16)
                 if len(full):
                     starts = at[:-1][full]
                     p1[full] = np.add.reduceat(mix64(flat ^ np.uint64(0xA5A5A5A5)), starts)
                     p2[full] = np.add.reduceat(mix64(flat + np.uint64(0x1234567)), starts)
-                    keys = chunk_keys(signature(flat, np.append(starts, len(flat)), CHUNKS * CHUNK))
-                per = np.zeros(hi - lo + 1, dtype=np.int64)
-                np.cumsum(np.where(n > 0, keys.shape[1], 0), out=per[1:])
+                    sig = signature(flat, np.append(starts, len(flat)), size)
+                ends = np.concatenate([[0], np.cumsum(np.where(n > 0, size, 0))]).astype(np.int32)
+                packed = lambda x: pa.Array.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer((ends * x.itemsize).tobytes()), pa.py_buffer(x.tobytes())])  # noqa: B023, E731
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo), pa.array(n), pa.array(p1.view(np.int64)), pa.array(p2.view(np.int64)), list_column(keys.ravel().view(np.int64), per, pa.int64())],
-                    ["doc_id", "n_shingles", "p1", "p2", "keys"],
+                    [batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(n), pa.array(p1.view(np.int64)), pa.array(p2.view(np.int64)), packed(sig), packed(sig.astype(np.uint8))],
+                    ["doc_id", "h", "n_shingles", "p1", "p2", "sig", "low"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_shingles long, p1 long, p2 long, keys array<long>")
+    ready = docs.select(F.col("doc_id").cast("long"), row_key(), F.col("text").cast("string"))
+    return ready.mapInArrow(run, "doc_id long, h long, n_shingles long, p1 long, p2 long, sig binary, low binary")
 
 
-def shingle_sets(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(doc_id, shingles): the sorted distinct shingle hashes of each document."""
+def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, sig) to rows of spread."""
+    for batch in batches:
+        for a in range(0, batch.num_rows, 4096):
+            part = batch.slice(a, 4096)
+            sig = np.frombuffer(b"".join(part.column(1).to_pylist()), dtype=np.uint16).reshape(part.num_rows, -1)
+            yield spread(chunk_keys(sig), part.column(0).to_numpy())
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo, hi, flat, at in _distinct_sets(batch, 1, width):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), list_column(flat.view(np.int64), at, pa.int64())], ["doc_id", "shingles"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, shingles array<long>")
+def near_groups(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """doc_id, h, n_shingles, component_id, kept for every row of docs: near_duplicates row by row, h being row_key.
+
+    Here kept holds for one row of each group, whether it has a doc_id or not, and for each row without words;
+    only rows that are equal in doc_id and text have it in common.
+    """
+    # rows have numbers from here on: doc_id may repeat or be null
+    prof = cut(profiles(docs, width).withColumn("id", F.monotonically_increasing_id()))
+    known = prof.filter("n_shingles > 0")
+    classes = cut(known.groupBy("n_shingles", "p1", "p2").agg(F.min("id").alias("rep")))
+    member = cut(known.join(classes, ["n_shingles", "p1", "p2"]).select("id", "rep", "doc_id"))
+    reps = cut(prof.join(classes.select(F.col("rep").alias("id")), "id").select("id", "doc_id", "h", F.col("n_shingles").alias("n"), "sig", "low"))
+
+    def texts(ids: DataFrame) -> DataFrame:
+        wanted = reps.join(ids, "id").select("id", F.coalesce("doc_id", F.lit(LAST)).alias("d"), "h")
+        own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("d"), row_key().alias("h"), F.col("text").cast("string").alias("text"))
+        return own.join(wanted, ["d", "h"]).select("id", "text")
+
+    shared = shared_members(reps.select("id", "sig").mapInArrow(_keys, SPREAD))
+    members = cut(shared.join(reps, "id").select(F.col("key").alias("g"), "id", F.lit(1).alias("w"), "n", "low"))
+    comp = connect(members, signature_test(6, MOST, 5, percent), texts, lambda data, rows: _distinct_sets(data, rows, width), percent)
+    placed = cut(member.join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("id", "doc_id", F.coalesce("component", "rep").alias("c")))
+    # rows of one doc_id are one document: they join their components
+    same = placed.filter("doc_id is not null").groupBy("doc_id").agg(F.min("c").alias("a"), F.max("c").alias("b")).filter("a < b")
+    merged = components(placed.filter("doc_id is not null").join(same.select("doc_id", "a"), "doc_id").select("a", F.col("c").alias("b")))
+    first = placed
+    placed = placed.join(merged.select(F.col("id").alias("c"), "component"), "c", "left").select("id", "doc_id", F.coalesce("component", "c").alias("c"))
+    placed = cut(placed)
+    least = cut(placed.groupBy("c").agg(F.min("doc_id").alias("component_id"), F.min(F.struct(F.coalesce("doc_id", F.lit(LAST)).alias("d"), "id")).getField("id").alias("first")))
+    per = placed.join(least, "c").select("id", "component_id", (F.col("id") == F.col("first")).alias("one"))
+    out = prof.select("id", "doc_id", "h", "n_shingles").join(per, "id", "left")
+    discard(classes, member, comp, merged, reps, first, members)
+    return out.select("doc_id", "h", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("one", F.lit(True)).alias("kept"))
 
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every document of docs (doc_id, text).
+    """doc_id, n_shingles, component_id, kept for every row of docs (doc_id, text).
 
     Documents whose sets of distinct `width`-word shingles have a Jaccard similarity of at
     least `percent` / 100 are linked; component_id is the smallest doc_id reachable and kept tells
     whether it is the document's own. Words are runs of bytes other than space and \\x09-\\x0D, A-Z
     lower-cased; a shorter text is one shingle as a whole.
 
-    Equal sets become one class before anything is compared. A signature has 72 minima of 16
-    bits in 12 chunks of 6. All pairs of signatures with fewer than 24 differences share a key
-    (`chunk_keys`); a pair at similarity 0.75 shares one with probability 0.9999. Candidates are
-    confirmed on the full sets (64-bit shingle hashes).
+    Equal sets become one class before anything is compared. A signature has 48 minima of 16
+    bits in 12 chunks of 4. All pairs of signatures with at most 23 differences share a key (`chunk_keys`) and
+    pass; a pair at similarity 0.75 differs in 12 +- 3, so it is lost with a probability of about 1 in 10,000.
+    Candidates are confirmed on the full sets (64-bit shingle hashes).
 
     Edge cases: null and empty texts, and texts of white space, have n_shingles 0 and are linked with
-    nothing. A row with a null doc_id comes back with component_id null and kept false. doc_id names
-    a document: rows that repeat it all come back, with one component, and where their texts differ
-    links are confirmed on one of them (the greatest list of hashes). Other columns are ignored
-    whatever their names; an empty table gives an empty result.
+    nothing. Rows with a null doc_id are compared like all others; their component_id is the smallest doc_id they
+    reach (null if there is none) and kept is false. doc_id names a document: rows that repeat it are one, linked with whatever
+    any of their texts is linked with. Other columns are ignored whatever their names; an empty table gives an empty result.
+    """
+    found = near_groups(docs, width, percent)
+    return found.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(False)).alias("kept"))
+
+
+def drop_near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """docs with one row of each group of near-duplicates: that of the smallest doc_id (null last).
+
+    Rows without words stay, each of them; of rows equal in doc_id and text one does, if it has words.
     """
-    small_batches(docs.sparkSession)
-    prof = cut(profiles(docs, width))
-    known = prof.filter("doc_id is not null and n_shingles > 0")
-    classes = known.groupBy("n_shingles", "p1", "p2").agg(F.min("doc_id").alias("rep"))
-    member = known.join(classes, ["n_shingles", "p1", "p2"]).select("doc_id", "rep")
-    copies = cut(member.filter("doc_id <> rep"))
-    rows = known.join(copies.select("doc_id").distinct(), "doc_id", "left_anti").select(F.explode("keys").alias("key"), F.col("doc_id").alias("id")).distinct()
-    shared = rows.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").select("key")
-    members = cut(rows.join(shared, "key", "left_semi"))
-    wanted = members.select(F.col("id").alias("doc_id")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(wanted, "doc_id", "left_semi")
-    sets = cut(shingle_sets(texts, width).groupBy("doc_id").agg(F.max("shingles").alias("shingles")))
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        one, two = (sets.select(F.col("doc_id").alias(x), F.col("shingles").alias(f"s{x}")) for x in "ab")
-        both = pairs.join(one, "a").join(two, "b")
-        na, nb, common = F.size("sa"), F.size("sb"), F.size(F.array_intersect("sa", "sb"))
-        may = F.least(na, nb) * 100 >= F.greatest(na, nb) * percent
-        return both.filter(may).filter(common * 100 >= (na + nb - common) * percent).select("a", "b")
-
-    comp = connect(members, verify)
-    reach = copies.select("doc_id", F.col("rep").alias("id")).join(comp, "id", "left").select("doc_id", F.coalesce("component", "id").alias("c"))
-    whole = comp.select(F.col("id").alias("doc_id"), F.col("component").alias("c")).unionByName(reach)
-    whole = whole.groupBy("doc_id").agg(F.min("c").alias("c"))
-    out = prof.select("doc_id", "n_shingles").join(whole, "doc_id", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("c", "doc_id").alias("component_id"), F.coalesce(F.coalesce("c", "doc_id") == F.col("doc_id"), F.lit(False)).alias("kept"))
+    d, h = unused("d", docs), unused("h", docs)
+    n = unused("n", docs)
+    found = near_groups(docs, width, percent).filter("kept").select(F.coalesce("doc_id", F.lit(LAST)).alias(d), F.col("h").alias(h), F.col("n_shingles").alias(n)).distinct()
+    keyed = docs.withColumns({d: F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), h: row_key()}).join(found, [d, h])
+    # of equal rows with words one stays: they have 0 here, all others a number of their own
+    one = keyed.withColumn(n, F.when(F.col(n) > 0, F.lit(0)).otherwise(F.monotonically_increasing_id()))
+    return one.dropDuplicates([d, h, n]).select(*[quoted(c) for c in docs.columns])

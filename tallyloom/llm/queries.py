@@ -51,9 +51,8 @@ def op5_token_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_fuzzy_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = near_lines(table(spark, sf_dir, "documents"), least=1)
-    gone = F.filter("lines", lambda x: ~x["kept"])
-    return found.select("doc_id", "n_lines", F.size("lines").cast("long").alias("n_compared"), F.size(gone).cast("long").alias("n_removed"), F.array_join(F.transform(gone, lambda x: x["no"].cast("string")), ",").alias("removed"))
+    found = near_lines(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_compared", F.size("removed").cast("long").alias("n_removed"), F.array_join(F.transform("removed", lambda x: x["no"].cast("string")), ",").alias("removed"))
 
 
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

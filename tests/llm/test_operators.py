@@ -5,17 +5,19 @@ import itertools
 import os
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tallyloom.llm import common
+from tallyloom.llm.candidates import group_links, shared_members, spread
 from tallyloom.llm.decontaminate import contamination
 from tallyloom.llm.embedding_dedup import near_vectors
 from tallyloom.llm.license_scan import license_places
 from tallyloom.llm.line_dedup import near_lines, remove_lines
 from tallyloom.llm.mixing import mix
-from tallyloom.llm.near_dedup import near_duplicates
+from tallyloom.llm.near_dedup import drop_near_duplicates, near_duplicates
 from tallyloom.llm.preferences import preference_pairs
 from tallyloom.llm.queries import op6_fuzzy_line_dedup
 from tallyloom.llm.repeats import remove_repeats
@@ -149,23 +151,21 @@ def test_op5_rule():
     assert attribute(tokens, bounds, "split")[1] == 1
 
 
+def similar(x: str, y: str) -> bool:
+    x, y = ({t[j : j + 9] for j in range(max(1, len(t) - 8))} for t in (lower(x), lower(y)))
+    return 100 * len(x & y) >= 75 * len(x | y)
+
+
 def test_op6_against_brute_force(docs, empty):
     found = near_lines(docs).collect()
     assert len(found) == len(ROWS)
-    lines = []
-    for k, (i, t, *_) in enumerate(ROWS):
-        for no, x in enumerate((t or "").split("\n")):
-            if len(x) >= 20:
-                x = lower(x)
-                lines.append((i if i is not None else 1 << 62, no, k, {x[j : j + 9] for j in range(max(1, len(x) - 8))}))
-    links = [(a, b) for a, b in itertools.combinations(range(len(lines)), 2) if 100 * len(lines[a][3] & lines[b][3]) >= 75 * len(lines[a][3] | lines[b][3])]
-    root = reachable(range(len(lines)), links)
+    lines = [(i if i is not None else 1 << 62, no, k, x) for k, (i, t, *_) in enumerate(ROWS) for no, x in enumerate((t or "").split("\n")) if x.strip()]
+    root = reachable(range(len(lines)), [(a, b) for a, b in itertools.combinations(range(len(lines)), 2) if similar(lines[a][3], lines[b][3])])
     best = {}
     for a, x in enumerate(lines):
         best[root[a]] = min(best.get(root[a], x[:2]), x[:2])
-    want = sorted((x[0], x[1], x[:2] == best[root[a]]) for a, x in enumerate(lines))
-    got = sorted((r["doc_id"] if r["doc_id"] is not None else 1 << 62, x["no"], x["kept"]) for r in found for x in r["lines"])
-    assert got == want
+    assert sorted((r["doc_id"] if r["doc_id"] is not None else 1 << 62, x["no"]) for r in found for x in r["removed"]) == sorted(x[:2] for a, x in enumerate(lines) if x[:2] != best[root[a]])
+    assert sum(r["n_compared"] for r in found) == len(lines)
     cleaned = remove_lines(docs, near_lines(docs))
     assert cleaned.columns == docs.columns and cleaned.count() == len(ROWS)
     assert near_lines(empty).count() == 0
@@ -175,9 +175,8 @@ def test_op6_takes_every_line_that_is_not_blank(spark, docs, tmp_path):
     short = ["Menu", "menu", "© 2024", "x", "eight ch", "nine char", "nine chars", "nineteen characters", "Nineteen characters", "  ", "\r", "", "\t", " " * 30]
     texts = ["\n".join([*RNG.permutation(short), prose(9)]) for _ in range(5)] + ["Menu\n \nMenu", "x"]
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    lines = [(i, no, lower(x)) for i, t in enumerate(texts) for no, x in enumerate(t.split("\n")) if x.strip()]
-    sets = [{x[j : j + 9] for j in range(max(1, len(x) - 8))} for *_, x in lines]
-    root = reachable(range(len(lines)), [(a, b) for a, b in itertools.combinations(range(len(lines)), 2) if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])])
+    lines = [(i, no, x) for i, t in enumerate(texts) for no, x in enumerate(t.split("\n")) if x.strip()]
+    root = reachable(range(len(lines)), [(a, b) for a, b in itertools.combinations(range(len(lines)), 2) if similar(lines[a][2], lines[b][2])])
     gone = {i: [no for a, (d, no, _) in enumerate(lines) if d == i and root[a] != a] for i in range(len(texts))}
     got = {r["doc_id"]: (r["n_compared"], r["removed"]) for r in op6_fuzzy_line_dedup(spark, str(tmp_path)).collect()}
     assert got == {i: (sum(d == i for d, *_ in lines), ",".join(map(str, gone[i]))) for i in range(len(texts))}
@@ -185,13 +184,55 @@ def test_op6_takes_every_line_that_is_not_blank(spark, docs, tmp_path):
     assert dict(map(tuple, cleaned.collect())) == {i: "\n".join(x for no, x in enumerate(t.split("\n")) if no not in gone[i]) for i, t in enumerate(texts)}
 
 
+def edits(text: str, share: float) -> str:
+    """text with about share of its words replaced."""
+    return " ".join(prose(1) if RNG.random() < share else w for w in text.split())
+
+
+def test_op6_recall_near_the_threshold(spark, docs):
+    lines = [prose(30) for _ in range(150)]
+    lines += [edits(x, share) for x in lines for share in (0.02, 0.04, 0.06)]
+    sets = [{t[j : j + 9] for j in range(len(t) - 8)} for t in lines]
+    links = [(a, b) for a, b in itertools.combinations(range(len(lines)), 2) if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+    root = reachable(range(len(lines)), links)
+    table = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    gone = {r["doc_id"] for r in near_lines(table).collect() if r["removed"]}
+    want = {i for i in root if root[i] != i}
+    assert len(links) > 250 and gone <= want and len(gone) >= 0.98 * len(want)
+
+
+@pytest.mark.parametrize("block", [4, 1024])
+def test_groups_are_settled_in_blocks(spark, docs, block):
+    x = np.concatenate([np.repeat(np.arange(12), 9), [100, 101, 500]])
+    rows = [(int(i % 2), i, 1, int(v)) for i, v in enumerate(x)]
+    table = common.cut(spark.createDataFrame(rows, "g long, id long, w int, v long").repartition(3))
+
+    def tests(batch):
+        v = batch.column(5).to_numpy()
+        return lambda i, j: np.abs(v[i] - v[j]) <= 0
+
+    got = {r["id"]: r["component"] for r in group_links(table, tests, block=block).collect()}
+    links = [(a, b) for a, b in itertools.combinations(range(len(x)), 2) if x[a] == x[b] and a % 2 == b % 2]
+    want = reachable(range(len(x)), links)
+    assert {i: got.get(i, i) for i in want} == want
+
+
+def test_common_keys_are_spread(spark, docs):
+    keys = np.array([[1, i + 10] for i in range(2000)], dtype=np.uint64)
+    batches = [spread(keys[a : a + 500], np.arange(a, a + 500)) for a in range(0, 2000, 500)]
+    table = spark.createDataFrame(pa.Table.from_batches(batches)).toDF("place", "id", "key", "far")
+    assert table.groupBy("place").count().agg(F.max("count")).first()[0] <= 8
+    got = {(r["key"], r["id"]) for r in shared_members(table).collect()}
+    assert got == {(1, i) for i in range(2000)}
+
+
 def test_op6_rows_are_documents_of_their_own(spark, docs):
     a, b, c, d, e = (prose(12) for _ in range(5))
     near = c[:-1] + "#"
     texts = [(None, f"{a}\n{b}"), (None, f"{c}\n{b}"), (None, f"{a}\n{d}"), (None, f"{e}\n{d}"), (None, f"{e}\n{d}"), (None, f"{e}\n{d}"), (None, None)]
     texts += [(7, prose(12)), (7, f"{near}\n{prose(12)}"), (7, f"{prose(12)}\n{a}"), (8, a), (9, "same line of two rows"), (9, "same line of two rows")]
     table = spark.createDataFrame([(*x, k) for k, x in enumerate(texts)], "doc_id long, text string, row long")
-    cleaned = {r["row"]: r["text"] for r in remove_lines(table, near_lines(table, least=1)).collect()}
+    cleaned = {r["row"]: r["text"] for r in remove_lines(table, near_lines(table)).collect()}
     assert set(cleaned) == set(range(len(texts))) and cleaned[6] is None
     left = [x for k in range(len(texts)) for x in (cleaned[k] or "").split("\n") if x]
     # each group of near-equal lines stays once, by the smallest doc_id; only the two equal rows of document 9 both keep theirs
@@ -199,21 +240,52 @@ def test_op6_rows_are_documents_of_their_own(spark, docs):
     assert [cleaned[k] for k in (7, 8, 9, 10, 11, 12)] == [texts[7][1], texts[8][1], texts[9][1], "", texts[11][1], texts[11][1]]
 
 
+def word_sets(text: str | None) -> set:
+    w = lower(text).split()
+    return {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
+
+
+def near_roots(texts: list) -> dict:
+    """The first of the component of each text, by position."""
+    sets = [word_sets(t) for t in texts]
+    return reachable(range(len(sets)), [(a, b) for a, b in itertools.combinations(range(len(sets)), 2) if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])])
+
+
 def test_op7_against_brute_force(docs, empty):
-    sets = {}
-    for i, t, *_ in ROWS:
-        w = lower(t).split()
-        sets[i] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
-    known = [i for i in sets if i is not None]
-    links = [(a, b) for a, b in itertools.combinations(known, 2) if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
-    root = reachable(known, links)
+    order = sorted(range(len(ROWS)), key=lambda k: (ROWS[k][0] is None, ROWS[k][0] or 0))
+    root = near_roots([ROWS[k][1] for k in order])
+    first = {ROWS[order[k]][1]: ROWS[order[root[k]]][0] for k in root if word_sets(ROWS[order[k]][1])}
     rows = near_duplicates(docs).collect()
     assert len(rows) == len(ROWS)
+    texts = {i: t for i, t, *_ in ROWS if i is not None} | {None: BASE[3]}
     for r in rows:
-        assert r["n_shingles"] == len(sets[r["doc_id"]])
-        assert r["component_id"] == (root[r["doc_id"]] if r["doc_id"] is not None else None)
-        assert r["kept"] == (r["doc_id"] is not None and root[r["doc_id"]] == r["doc_id"])
+        t = texts[r["doc_id"]]
+        assert r["n_shingles"] == len(word_sets(t))
+        assert r["component_id"] == first.get(t, r["doc_id"])
+        assert r["kept"] == (r["doc_id"] is not None and r["component_id"] == r["doc_id"])
     assert near_duplicates(empty).count() == 0
+    left = [r["doc_id"] for r in drop_near_duplicates(docs).collect()]
+    assert sorted(left) == sorted({first[t] for t in first} | {i for i, t, *_ in ROWS if not word_sets(t)})
+    assert drop_near_duplicates(docs).columns == docs.columns
+
+
+def test_op7_repeated_ids_and_rows(spark, docs):
+    a, b, c = prose(60), prose(60), prose(60)
+    rows = [(5, a), (5, b), (9, b), (None, c), (None, c), (None, None), (None, ""), (3, a), (12, b), (12, b)]
+    table = spark.createDataFrame(rows, "doc_id long, text string").withColumn("a.b", F.lit(1)).withColumn("score", F.lit("x"))
+    got = sorted(map(str, near_duplicates(table).select("doc_id", "component_id", "kept").collect()))
+    want = [(5, 3, False), (5, 3, False), (9, 3, False), (None, None, False), (None, None, False), (None, None, False), (None, None, False), (3, 3, True), (12, 3, False), (12, 3, False)]
+    assert got == sorted(f"Row(doc_id={x}, component_id={y}, kept={z})" for x, y, z in want)
+    assert sorted(map(str, drop_near_duplicates(table).select("doc_id", "text").collect())) == sorted(f"Row(doc_id={x!r}, text={y!r})" for x, y in [(3, a), (None, c), (None, None), (None, "")])
+
+
+def test_op7_recall_near_the_threshold(spark, docs):
+    texts = [prose(120) for _ in range(150)]
+    texts += [edits(x, share) for x in texts for share in (0.01, 0.02, 0.03)]
+    root = near_roots(texts)
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in near_duplicates(table).collect()}
+    assert sum(root[i] != i for i in root) > 250 and np.mean([got[i] == root[i] for i in root]) >= 0.99
 
 
 def test_op8_against_brute_force(spark, docs):
