@@ -15,6 +15,7 @@ SELECT s.doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, m.c AS component_id, s.d
 FROM s JOIN (SELECT id, min(c) AS c FROM r GROUP BY id) m ON m.id = s.doc_id
 """
 
+#: A pass of the filling; passes end when nothing fits any more, and ten are more than the tables need.
 _FILL = """
 g{k} AS (SELECT sid, any_value(rest) - coalesce(sum(size) FILTER (got), 0) AS gap FROM d{j} GROUP BY sid),
 f{k} AS (SELECT d.*, NOT d.got AND d.size > 0 AND d.size <= g.gap AS fits, g.gap FROM d{j} d JOIN g{k} g USING (sid)),
@@ -27,8 +28,7 @@ OP1 = r"""
 WITH z AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents),
 s AS (
-  SELECT source, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS sid, CAST(sum(size) AS BIGINT) AS source_size,
-    CAST(sum(CAST(size AS HUGEINT) * size) AS DOUBLE) AS squares FROM z GROUP BY source),
+  SELECT source, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS sid, CAST(sum(size) AS BIGINT) AS source_size FROM z GROUP BY source),
 v AS (SELECT *, 1 + sid % 3 AS weight, 3 * source_size AS lim FROM s),
 l AS (
   SELECT *, sum(source_size) OVER () - coalesce(sum(lim) OVER o, 0) AS remain, sum(weight) OVER () - coalesce(sum(weight) OVER o, 0) AS share
@@ -37,17 +37,25 @@ y AS (SELECT *, lim * share <= remain * weight AS is_full FROM l),
 t AS (
   SELECT *, CASE WHEN is_full THEN CAST(lim AS DOUBLE)
     ELSE (SELECT CAST(remain AS DOUBLE) / CAST(share AS DOUBLE) FROM y WHERE NOT is_full ORDER BY share DESC LIMIT 1) * weight END AS target FROM y),
-p AS (
-  SELECT z.doc_id, t.sid, z.size, t.source_size, t.target, t.squares,
-    CASE WHEN t.source_size > 0 THEN CAST(floor(t.target / t.source_size) AS BIGINT) ELSE 0 END AS whole,
+o AS (
+  SELECT source, sid, source_size, target, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS whole FROM t),
+q AS (SELECT *, target - whole * source_size AS rest FROM o),
+c AS (SELECT source, CAST(size AS DOUBLE) AS x, CAST(count(*) AS DOUBLE) AS n FROM z WHERE size > 0 GROUP BY source, size),
+h AS (
+  SELECT q.sid, c.x, q.rest - coalesce(sum(c.x * c.n) OVER (PARTITION BY q.sid ORDER BY c.x DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS remain,
+    sum(c.x * c.x * c.n) OVER (PARTITION BY q.sid ORDER BY c.x ROWS UNBOUNDED PRECEDING) AS squares
+  FROM c JOIN q ON c.source IS NOT DISTINCT FROM q.source),
+v1 AS (SELECT sid, max(x) AS level FROM h WHERE x * remain < squares GROUP BY sid),
+v2 AS (SELECT h.sid, level, remain, squares FROM h JOIN v1 ON h.sid = v1.sid AND h.x = v1.level),
+i AS (
+  SELECT z.doc_id, q.sid, z.size, q.source_size, q.target, q.whole, q.rest,
+    CASE WHEN z.size <= level THEN remain * z.size / squares WHEN z.size > level THEN 1.0 WHEN level IS NULL AND z.size > 0 AND rest > 0 THEN 1.0 ELSE 0.0 END AS incl,
     (CAST('0x' || substr(md5('mix' || coalesce(CAST(z.doc_id AS VARCHAR), '')), 1, 12) AS BIGINT) + 0.5::DOUBLE) / 281474976710656.0::DOUBLE AS u
-  FROM z JOIN t ON z.source IS NOT DISTINCT FROM t.source),
-r AS (SELECT *, target - whole * source_size AS rest FROM p),
-i AS (SELECT *, CASE WHEN squares > 0 THEN rest * size / squares ELSE 0.0 END AS incl FROM r),
+  FROM z JOIN q ON z.source IS NOT DISTINCT FROM q.source LEFT JOIN v2 USING (sid)),
 d0 AS (
   SELECT doc_id, sid, size, source_size, target, whole, rest, FALSE AS got,
-    CASE WHEN incl >= 1 THEN 0.0 WHEN incl > 0 THEN (u / (1 - u)) / (incl / (1 - incl)) ELSE 1e300 END AS xi FROM i),""" + ",".join(_FILL.format(k=k, j=k - 1) for k in (1, 2, 3)) + """
-SELECT doc_id, size, source_size, target, CAST((whole + CAST(got AS BIGINT)) * size AS BIGINT) AS taken FROM d3
+    CASE WHEN incl >= 1 THEN 0.0 WHEN incl > 0 THEN (u / (1 - u)) / (incl / (1 - incl)) ELSE 1e300 END AS xi FROM i),""" + ",".join(_FILL.format(k=k, j=k - 1) for k in range(1, 11)) + """
+SELECT doc_id, size, source_size, target, CAST((whole + CAST(got AS BIGINT)) * size AS BIGINT) AS taken FROM d10
 """
 
 
@@ -57,7 +65,10 @@ w AS (SELECT side, id, list_filter(regexp_split_to_array(lower(coalesce(text, ''
 s AS (
   SELECT side, id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
     ELSE list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) END AS sh FROM w),
-d AS (SELECT id, unnest(sh) AS g FROM s WHERE side = 0),
+k AS (SELECT DISTINCT len(ws) AS n FROM w WHERE side = 1 AND len(ws) BETWEEN 1 AND 4),
+d AS (
+  SELECT id, unnest(sh) AS g FROM s WHERE side = 0 UNION
+  SELECT id, unnest(list_transform(range(1, len(ws) - n + 2), lambda i: array_to_string(ws[i:i + n - 1], ' '))) FROM w, k WHERE side = 0 AND len(ws) >= n),
 q AS (SELECT id, len(sh) AS n, unnest(sh) AS g FROM s WHERE side = 1),
 f AS (SELECT d.id AS doc_id, q.id AS item_id, count(*) / n AS share FROM d JOIN q USING (g) GROUP BY d.id, q.id, n HAVING count(*) * 100 >= 75 * n),
 p AS (SELECT doc_id, count(*) AS n_items, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY item_id) AS items, max(share) AS containment FROM f GROUP BY doc_id)
