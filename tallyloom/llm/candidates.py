@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .common import cut, discard, text_slices
 from .components import components, roots_of
 
-BLOCK, WEIGHT, HUBS, PAIRS = 1024, 4_000_000, 3, 1 << 20
+BLOCK, WEIGHT, HUBS, PAIRS, SMALL = 1024, 4_000_000, 3, 1 << 20, 16
 EDGES, SPREAD = "a long, b long", "place long, id long, key long, far boolean"
 
 
@@ -121,7 +121,7 @@ def settle(start: np.ndarray, size: np.ndarray, side: np.ndarray, label: np.ndar
     """The label of each row once every link that test confirms inside a group is joined.
 
     Rows with equal labels are known to be connected and are not tested. In a group with two sides
-    only pairs across them are. Groups of over 64 rows are compared with two of their rows first.
+    only pairs across them are. Groups of over SMALL rows are compared with two of their rows first.
     """
     two = np.maximum.reduceat(side, start) > np.minimum.reduceat(side, start) if len(start) else np.zeros(0, dtype=bool)
     across = np.repeat(two, size)
@@ -135,14 +135,14 @@ def settle(start: np.ndarray, size: np.ndarray, side: np.ndarray, label: np.ndar
             if ok.any():
                 label = _relabel(label, i[ok], j[ok])
 
-    big = np.flatnonzero(size > 64)
+    big = np.flatnonzero(size > SMALL)
     for k in range(2):
         for g in big:
             own = np.arange(start[g], start[g] + size[g])
             apart = own if k == 0 else own[label[own] != label[start[g]]]
             if len(apart):
                 join(np.full(len(own), apart[0]), own)
-    small = size <= 64
+    small = size <= SMALL
     for i, j in _pairs(size[small], start[small]):
         join(i, j)
     for g in big:
@@ -242,19 +242,19 @@ def exact_test(sets: Callable, percent: int, text: int) -> Callable:
 
     def tests(batch: pa.RecordBatch) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
         parts, counts = [], []
-        for lo, hi, data, rows in text_slices(batch, text):
+        for _, _, data, rows in text_slices(batch, text):
             flat, first = sets(data, rows)
-            row = np.repeat(np.arange(hi - lo), np.diff(first))
-            order = np.lexsort((flat, row))
-            flat, row = flat[order], row[order]
-            new = np.concatenate([[True], (flat[1:] != flat[:-1]) | (row[1:] != row[:-1])]) if len(flat) else np.zeros(0, dtype=bool)
-            parts.append(flat[new])
-            counts.append(np.bincount(row[new], minlength=hi - lo))
-        n = np.concatenate(counts)
-        first = np.concatenate([[0], np.cumsum(n)])
+            parts.append(flat)
+            counts.append(np.diff(first))
+        counts = np.concatenate(counts)
         # numbers in place of hashes, so that one row's set is a few marks
         names, rank = np.unique(np.concatenate(parts), return_inverse=True)
         mark = np.zeros(len(names), dtype=bool)
+        each = np.sort(np.repeat(np.arange(len(counts)), counts) * len(names) + rank)
+        each = each[np.concatenate([[True], each[1:] != each[:-1]])] if len(each) else each
+        row, rank = np.divmod(each, max(1, len(names)))
+        n = np.bincount(row, minlength=len(counts))
+        first = np.concatenate([[0], np.cumsum(n)])
 
         def test(i: np.ndarray, j: np.ndarray) -> np.ndarray:
             ok = np.minimum(n[i], n[j]) * 100 >= np.maximum(n[i], n[j]) * percent
