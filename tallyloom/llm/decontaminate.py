@@ -2,22 +2,29 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, discard, quoted, unused
 
 WIDTH, PERCENT, BROADCAST_ROWS = 5, 75, 200_000
 
 
-def shingles_of(text: Column, width: int = WIDTH) -> Column:
-    """Distinct 64-bit hashes of the runs of width words, a shorter text being one run; empty without words."""
+def shingles_of(text: Column, width: int = WIDTH, shorter: Sequence[int] = ()) -> Column:
+    """Distinct 64-bit hashes of the runs of width words, a shorter text being one run; empty without words.
+
+    shorter are lengths below width whose runs are wanted too.
+    """
     ws = F.array_remove(F.split(F.lower(F.coalesce(text.cast("string"), F.lit(""))), r"[\x20\x09-\x0D]+"), "")
 
     def runs(w: Column) -> Column:
-        n = F.size(w)
-        many = F.transform(F.sequence(F.lit(1), n - (width - 1)), lambda i: F.xxhash64(F.slice(w, i, width)))
-        return F.when(n >= width, F.array_distinct(many)).when(n > 0, F.array(F.xxhash64(w))).otherwise(F.array().cast("array<bigint>"))
+        n, none = F.size(w), F.array().cast("array<bigint>")
+        of = lambda k: F.transform(F.sequence(F.lit(1), n - (k - 1)), lambda i: F.xxhash64(F.slice(w, i, k)))
+        whole = F.when(n >= width, of(width)).when(n > 0, F.array(F.xxhash64(w))).otherwise(none)
+        parts = [F.when(n >= k, of(k)).otherwise(none) for k in shorter]
+        return F.array_distinct(F.concat(whole, *parts) if parts else whole)
 
     # a one-element transform names the words once, so they aren't split again for each use
     return F.element_at(F.transform(F.array(ws), runs), 1)
@@ -37,28 +44,46 @@ def sketches(items: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 
 def contamination(docs: DataFrame, items: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> DataFrame:
-    """doc_id, items (item_id, containment), contaminated for every row of docs (doc_id, text).
+    """doc_id, items (item_id, containment), contaminated, h for every row of docs (doc_id, text).
 
     An item of items (item_id, text) is found in a document if the document holds at least percent / 100 of the item's
-    distinct width-word shingles. Its least MinHash values, as many as its size partition asks for, look up the
-    documents that hold any of them, which loses no such document; each candidate is then
-    confirmed on both whole sets. The sketches are broadcast only while they have at most 200000 rows.
+    distinct width-word shingles; an item of fewer words is one shingle, held where its words stand one after another. An
+    item's least MinHash values, as many as its size partition asks for, look up the documents that hold any of them, which
+    loses no such document; each candidate is then confirmed on both whole sets. The sketches are broadcast only while
+    they have at most 200000 rows.
 
-    Edge cases: null and empty texts hold nothing and are found nowhere; an item of fewer than width words is
-    one shingle, held only by a document of just these words; rows that repeat a doc_id (or item_id) share their finds;
-    a null doc_id is never contaminated, a null item_id never found; other columns are ignored; an empty table on either side gives no finds.
+    Edge cases: null and empty texts hold nothing and are found nowhere; h is a hash of the text, and rows that repeat a text share its
+    finds, whatever their doc_id, null included; rows that repeat an item_id are items of their own with one name, of which the larger
+    share counts; a null item_id is never found; other columns are ignored; an empty table on either side gives no finds.
     """
-    tests = cut(items.filter("item_id is not null").select("item_id", shingles_of(F.col("text"), width).alias("sh")).distinct())
+    tests = items.filter("item_id is not null").select("item_id", shingles_of(F.col("text"), width).alias("sh"), _words(F.col("text")).alias("n_words")).distinct()
+    tests = cut(tests)
     keys = cut(sketches(tests, percent).distinct())
     small = keys.count() <= BROADCAST_ROWS
-    texts = docs.filter("doc_id is not null and text is not null").select("doc_id", "text")
-    rows = texts.select("doc_id", F.explode(shingles_of(F.col("text"), width)).alias("key"))
-    pairs = cut(rows.join(F.broadcast(keys) if small else keys, "key").select("doc_id", "item_id").distinct())
-    near = texts.join(pairs.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", shingles_of(F.col("text"), width).alias("dsh"))
-    both = near.join(pairs, "doc_id").join(F.broadcast(tests) if small else tests, "item_id")
+    shorter = sorted(r["n_words"] for r in tests.filter(F.col("n_words").between(1, width - 1)).select("n_words").distinct().collect())
+    own = shingles_of(F.col("text"), width, shorter)
+    texts = docs.filter("text is not null").select(F.xxhash64(F.col("text").cast("string")).alias("h"), "text")
+    rows = texts.select("h", F.explode(own).alias("key"))
+    pairs = cut(rows.join(F.broadcast(keys) if small else keys, "key").select("h", "item_id").distinct())
+    near = texts.join(pairs.select("h").distinct(), "h", "left_semi").select("h", own.alias("dsh")).dropDuplicates(["h"])
+    both = near.join(pairs, "h").join(F.broadcast(tests) if small else tests, "item_id")
     share = F.size(F.array_intersect("sh", "dsh"))
     both = both.filter(share * 100 >= F.size("sh") * percent)
-    finds = both.groupBy("doc_id", "item_id").agg(F.max(share / F.size("sh")).alias("containment"))
-    per = finds.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("item_id", "containment"))).alias("items"))
+    finds = both.groupBy("h", "item_id").agg(F.max(share / F.size("sh")).alias("containment"))
+    per = cut(finds.groupBy("h").agg(F.array_sort(F.collect_list(F.struct("item_id", "containment"))).alias("items")))
+    discard(tests, keys, pairs)
     none = F.array().cast(per.schema["items"].dataType)
-    return docs.select("doc_id").join(per, "doc_id", "left").select("doc_id", F.coalesce("items", none).alias("items"), F.col("items").isNotNull().alias("contaminated"))
+    named = docs.select("doc_id", F.xxhash64(F.col("text").cast("string")).alias("h"))
+    return named.join(per, "h", "left").select("doc_id", F.coalesce("items", none).alias("items"), F.col("items").isNotNull().alias("contaminated"), "h")
+
+
+def drop_contaminated(docs: DataFrame, items: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> DataFrame:
+    """docs without the rows that hold an item; columns may have any names."""
+    h = unused("h", docs)
+    found = contamination(docs, items, percent, width).filter("contaminated").select(F.col("h").alias(h)).distinct()
+    keyed = docs.withColumn(h, F.xxhash64(F.col("text").cast("string")))
+    return keyed.join(found, h, "left_anti").select(*[quoted(c) for c in docs.columns])
+
+
+def _words(text: Column) -> Column:
+    return F.size(F.array_remove(F.split(F.coalesce(text.cast("string"), F.lit("")), r"[\x20\x09-\x0D]+"), ""))

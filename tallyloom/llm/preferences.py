@@ -31,10 +31,16 @@ def _mask(turns: Column, trained: str) -> Column:
     return F.aggregate(turns, start, step, lambda acc: acc["spans"])
 
 
+def _ordered(turn: Column, role: Column, text: Column) -> Column:
+    """What turns are sorted by: turn, role and text, nulls last."""
+    last = lambda c, name: (c.isNull().alias(f"no_{name}"), c.alias(name))
+    return F.struct(*last(turn.cast("long"), "turn"), *last(role.cast("string"), "role"), *last(text.cast("string"), "text"))
+
+
 def preference_pairs(chosen: DataFrame, rejected: DataFrame, trained: str = "assistant") -> DataFrame:
     """pair_id, n_prefix, prompt, chosen, rejected, chosen_mask, rejected_mask for each pair_id of either input.
 
-    Both inputs have rows (pair_id, turn, role, text). The turns of a side are taken by turn, then role and text. The
+    Both inputs have rows (pair_id, turn, role, text). The turns of a side are taken by turn, then role and text, nulls last. The
     longest common prefix of turns, equal in role and text, is rendered once as prompt; the remaining
     turns of each side are its completion. The masks list the character spans [start, end) of a completion that are learned, those
     of the trained role's texts with their end mark; the prompt is not learned.
@@ -43,7 +49,7 @@ def preference_pairs(chosen: DataFrame, rejected: DataFrame, trained: str = "ass
     empty; equal sides have two empty completions; repeated rows are repeated turns; rows without pair_id are left out;
     a null turn comes last; other columns are ignored; empty inputs give an empty result.
     """
-    part = lambda df, k: df.filter("pair_id is not null").select("pair_id", F.lit(k).alias("k"), F.struct(F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text")).alias("t"))
+    part = lambda df, k: df.filter("pair_id is not null").select("pair_id", F.lit(k).alias("k"), _ordered(F.col("turn"), F.col("role"), F.col("text")).alias("t"))
     rows = part(chosen, 0).unionByName(part(rejected, 1))
     side = lambda k: F.transform(F.array_sort(F.collect_list(F.when(F.col("k") == k, F.col("t")))), lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
     both = rows.groupBy("pair_id").agg(side(0).alias("c"), side(1).alias("r"))
@@ -65,7 +71,7 @@ def preference_pairs(chosen: DataFrame, rejected: DataFrame, trained: str = "ass
 
 def stale_answers(conversations: DataFrame, trained: str = "assistant") -> DataFrame:
     """Conversations with the last turn of the trained role answered by that role's turn before (or by nothing), as rejected sides."""
-    turn = F.struct("turn", "role", "text")
+    turn = _ordered(F.col("turn"), F.col("role"), F.col("text"))
     own = F.when(F.col("role") == trained, turn)
     last = conversations.groupBy("conv_id").agg(F.max(own).alias("last"), F.slice(F.reverse(F.array_sort(F.collect_list(own))), 2, 1).alias("two"))
     both = conversations.join(last, "conv_id", "left")

@@ -14,10 +14,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _BASE, _BYTE, _INVERSE, _powers, cut, list_column, mix64, seeded, text_slices
+from .common import _BASE, _BYTE, _INVERSE, LAST, _powers, cut, list_column, mix64, seeded, text_slices
 
-LENGTH, GRAM, BUCKET_BYTES = 50, 24, 8 << 20
-LAST = (1 << 63) - 1
+LENGTH, GRAM, BUCKET_BYTES, MOST_TASKS = 50, 24, 8 << 20, 20_000
 PACKED = "b int, key array<int>, ctx array<long>, doc array<long>, t array<int>, pos array<int>, len array<int>"
 SPOTS = "b int, kind int, doc array<long>, t array<int>, start array<int>, end array<int>"
 
@@ -48,12 +47,11 @@ def _anchors(data: np.ndarray, rows: np.ndarray, length: int, gram: int) -> np.n
     return np.flatnonzero(most == h)
 
 
-def _pack(bucket: np.ndarray, buckets: int, columns: list[tuple[np.ndarray, pa.DataType]], lead: list[pa.Array] | None = None) -> list[pa.Array]:
+def _pack(bucket: np.ndarray, columns: list[tuple[np.ndarray, pa.DataType]]) -> list[pa.Array]:
     """The columns as lists, one for each bucket that has any."""
     order = np.argsort(bucket, kind="stable")
-    at = np.searchsorted(bucket[order], np.arange(buckets + 1))
-    some = np.flatnonzero(np.diff(at))
-    offsets = np.append(at[some], at[-1]) if len(some) else np.zeros(1, dtype=np.int64)
+    some, at = np.unique(bucket[order], return_index=True)
+    offsets = np.append(at, len(bucket))
     return [pa.array(some.astype(np.int32)), *(list_column(c[order], offsets, k) for c, k in columns)]
 
 
@@ -79,7 +77,8 @@ def repeated_runs(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Da
     width = 2 * (length - gram) + gram
     side = length - gram
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(8, total // BUCKET_BYTES)
+    # a task takes several buckets, one after another, once there are more than MOST_TASKS
+    buckets = min(max(8, total // BUCKET_BYTES), (1 << 31) - 1)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -93,7 +92,7 @@ def repeated_runs(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Da
                 key = mix64((sums[pos + gram] - sums[pos]) * inv[pos])
                 ctx = mix64((sums[b] - sums[a]) * inv[a] + (pos - a).astype(np.uint64) * np.uint64(77) + (b - a).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
                 cols = [((key >> np.uint64(32)).astype(np.uint32).view(np.int32), pa.int32()), (ctx.view(np.int64), pa.int64()), (doc[lo + row], pa.int64()), (t[lo + row], pa.int32()), ((pos - rows[row]).astype(np.int32), pa.int32()), ((rows[row + 1] - rows[row]).astype(np.int32), pa.int32())]
-                yield pa.RecordBatch.from_arrays(_pack((key % np.uint64(buckets)).astype(np.int64), buckets, cols), ["b", "key", "ctx", "doc", "t", "pos", "len"])
+                yield pa.RecordBatch.from_arrays(_pack((key % np.uint64(buckets)).astype(np.int64), cols), ["b", "key", "ctx", "doc", "t", "pos", "len"])
 
     def settle(group: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, ctx, doc, t, pos, size = (_flat(group, c) for c in range(1, 7))
@@ -115,7 +114,7 @@ def repeated_runs(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Da
             i = np.flatnonzero(take)
             if len(i):
                 cols = [(doc[i], pa.int64()), (t[i], pa.int32()), (a[i].astype(np.int32), pa.int32()), (b[i].astype(np.int32), pa.int32())]
-                b_, *rest = _pack(_doc_bucket(doc[i], t[i], buckets), buckets, cols)
+                b_, *rest = _pack(_doc_bucket(doc[i], t[i], buckets), cols)
                 yield pa.RecordBatch.from_arrays([b_, pa.array(np.full(len(b_), kind, dtype=np.int32)), *rest], ["b", "kind", "doc", "t", "start", "end"])
 
     def merged(group: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,7 +157,7 @@ def repeated_runs(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Da
                     bucket = (key % np.uint64(buckets)).astype(np.int64)
                     order = np.argsort(bucket, kind="stable")
                     cols = [(key.view(np.int64), pa.int64()), (doc[lo + r], pa.int64()), (t[lo + r], pa.int32()), (p.astype(np.int32), pa.int32()), ((side - before).astype(np.int32), pa.int32()), ((side + after).astype(np.int32), pa.int32())]
-                    packed = _pack(bucket, buckets, cols)
+                    packed = _pack(bucket, cols)
                     some = np.asarray(packed[0])
                     n = np.asarray(packed[1].value_lengths())
                     bounds = np.concatenate([[0], np.cumsum(n)]) * width
@@ -198,7 +197,7 @@ def repeated_runs(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Da
         if not len(a):
             return
         cols = [(doc[a], pa.int64()), (t[a], pa.int32()), (start[a].astype(np.int32), pa.int32()), ((start[b] + length).astype(np.int32), pa.int32())]
-        b_, *rest = _pack(_doc_bucket(doc[a], t[a], buckets), buckets, cols)
+        b_, *rest = _pack(_doc_bucket(doc[a], t[a], buckets), cols)
         yield pa.RecordBatch.from_arrays([b_, pa.array(np.zeros(len(b_), dtype=np.int32)), *rest], ["b", "kind", "doc", "t", "start", "end"])
 
     def by_bucket(df: DataFrame, work, schema: str) -> DataFrame:
@@ -217,7 +216,7 @@ def repeated_runs(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Da
             if held:
                 yield from work(held)
 
-        return df.repartition(buckets, "b").sortWithinPartitions("b").mapInArrow(run, schema)
+        return df.repartition(min(buckets, MOST_TASKS), "b").sortWithinPartitions("b").mapInArrow(run, schema)
 
     packed = docs.select("doc", "t", "text").mapInArrow(find, PACKED)
     spots = cut(by_bucket(packed, settle, SPOTS))

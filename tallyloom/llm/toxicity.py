@@ -11,11 +11,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import byte_class, cut, text_slices, words
+from .common import byte_class, cut, mix64, quoted, text_slices, words
 
 #: Bytes between tokens: all ASCII but letters, digits and the apostrophe.
 GAP = byte_class((0x00, 0x26), (0x28, 0x2F), (0x3A, 0x40), (0x5B, 0x60), (0x7B, 0x7F))
-PER_CLASS, LEXICON, LEAST_DOCS, LEAST_G, REACH, WINDOWS = 4000, 2000, 3, 14.0, 5, 20_000
+PER_CLASS, LEXICON, LEAST_DOCS, LEAST_G, REACH, WINDOWS, CLEAN = 4000, 2000, 3, 14.0, 5, 20_000, 3
 
 
 @dataclasses.dataclass
@@ -74,17 +74,18 @@ def _features(p: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.stack([np.ones(n), np.log(top / (1 - top)), np.log1p(total[first[1:]] - total[first[:-1]])], axis=1)
 
 
-def _fit_chain(ids: np.ndarray, gold: np.ndarray, real: np.ndarray, n: int, steps: int = 150) -> tuple[np.ndarray, np.ndarray]:
+def _fit_chain(ids: np.ndarray, gold: np.ndarray, real: np.ndarray, times: np.ndarray, n: int, steps: int = 150) -> tuple[np.ndarray, np.ndarray]:
     """Weights per word and transition scores that maximise the penalised likelihood of gold.
 
-    ids, gold and real are windows x positions; real marks positions that exist.
+    ids, gold and real are windows x positions; real marks positions that exist, times says how often each window stands.
     """
+    each = np.broadcast_to(times[:, None], ids.shape)[real]
     w, t = np.zeros(n + 1), np.zeros((2, 2))
     g1, g2 = [np.zeros_like(w), np.zeros_like(t)], [np.zeros_like(w), np.zeros_like(t)]
     rows, width = ids.shape
     link = real[:, 1:] & real[:, :-1]
-    want = np.array([[(link & (gold[:, :-1] == a) & (gold[:, 1:] == b)).sum() for b in (0, 1)] for a in (0, 1)], dtype=float)
-    want_w = np.bincount(ids[real & (gold == 1)], minlength=n + 1).astype(float)
+    want = np.array([[((link & (gold[:, :-1] == a) & (gold[:, 1:] == b)) * times[:, None]).sum() for b in (0, 1)] for a in (0, 1)], dtype=float)
+    want_w = np.bincount(ids[real], each * (gold[real] == 1), minlength=n + 1)
     for k in range(1, steps + 1):
         emit = np.where(real, w[ids], 0.0)
         state = np.stack([np.zeros_like(emit), emit], axis=2)
@@ -101,8 +102,8 @@ def _fit_chain(ids: np.ndarray, gold: np.ndarray, real: np.ndarray, n: int, step
         p = np.exp(joint[:, :, 1] - np.logaddexp(joint[:, :, 0], joint[:, :, 1]))
         pair = fore[:, :-1, :, None] + t + (back + state)[:, 1:, None, :]
         pair = np.exp(pair - pair.max(axis=(2, 3), keepdims=True))
-        pair = pair / pair.sum(axis=(2, 3), keepdims=True) * link[:, :, None, None]
-        grads = (want_w - np.bincount(ids[real], p[real], minlength=n + 1) - 0.1 * w, want - pair.sum(axis=(0, 1)) - 0.1 * t)
+        pair = pair / pair.sum(axis=(2, 3), keepdims=True) * (link * times[:, None])[:, :, None, None]
+        grads = (want_w - np.bincount(ids[real], each * p[real], minlength=n + 1) - 0.1 * w, want - pair.sum(axis=(0, 1)) - 0.1 * t)
         for x, g, a, b in zip((w, t), grads, g1, g2, strict=True):
             a += 0.1 * (g - a)
             b += 0.01 * (g * g - b)
@@ -134,15 +135,16 @@ def _fit_document(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarra
         use.pop(1 + int(np.argmin(b[1:])))
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, lexicon: int = LEXICON) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, lexicon: int = LEXICON, windows: int = WINDOWS, clean: int = CLEAN) -> Model:
     """The model learned from docs (doc_id, text) and labels (doc_id, toxic in 0, 1).
 
     A row is for training if crc32 of its doc_id as text is not 0 modulo 5. The fit uses at most
     per_class rows of each label, those whose doc_id hashes lowest. Tokens are labelled by them: a
     word is suspect if toxic documents hold it more often (likelihood ratio G of 14 or
     more, at least 3 documents; at most `lexicon` words, the highest G first), and a suspect word in a toxic
-    document is tagged toxic. The chain learns from at most 20000 windows of 5 tokens around suspect words, its document
-    score from all sampled documents, weighted back to the true class shares. Rows whose doc_id,
+    document is tagged toxic. The chain learns from windows of 5 tokens on each side of every suspect word and of `clean`
+    other places of each text: at most `windows` different windows, those that hash lowest, each as often as it stands. The
+    document score learns from all sampled documents, weighted back to the true class shares. Rows whose doc_id,
     toxic or text is null are not learned from; several labels of one document count as toxic if any is.
     Without both classes the score is a constant, the share of toxic rows.
     """
@@ -185,17 +187,18 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, lexicon:
         return nothing
     width = 2 * REACH + 1
 
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             label = batch.column(1).to_numpy(zero_copy_only=False)
             for lo, hi, data, rows in text_slices(batch, 0):
                 h, _, _, first = words(data, rows, GAP)
                 ids = model.ids(h)
-                # at most 20 windows a document: a bound of the fit, which is a sample anyway
+                # every suspect word of the text, and the `clean` places of it whose words and numbers hash lowest
+                rank = mix64(h + np.arange(len(h), dtype=np.uint64))
                 for i in range(hi - lo):
                     own = ids[first[i] : first[i + 1]]
-                    hit = np.flatnonzero(own < len(lex))[:20]
-                    near = np.unique(np.concatenate([hit, np.arange(0, len(own), max(1, len(own) // 3))[:3]])).astype(np.int64)
+                    hit = np.flatnonzero(own < len(lex))
+                    near = np.unique(np.concatenate([hit, np.argsort(rank[first[i] : first[i + 1]], kind="stable")[:clean]])).astype(np.int64)
                     if not len(near):
                         continue
                     at = near[:, None] + np.arange(-REACH, REACH + 1)
@@ -205,13 +208,12 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, lexicon:
                     lists = pa.ListArray.from_arrays(pa.array(np.arange(len(near) + 1, dtype=np.int32) * width), pa.array(got.ravel().astype(np.int32)))
                     yield pa.RecordBatch.from_arrays([lists, pa.array(y)], ["ids", "y"])
 
-    got = sample.mapInArrow(windows, "ids array<int>, y long").groupBy("ids", "y").agg(F.count("*").alias("n")).orderBy(F.xxhash64("ids", "y")).limit(WINDOWS).toArrow()
+    got = sample.mapInArrow(around, "ids array<int>, y long").groupBy("ids", "y").agg(F.count("*").alias("n")).orderBy(F.xxhash64("ids", "y"), "ids", "y").limit(windows).toArrow()
     ids = np.asarray(got["ids"].combine_chunks().flatten()).reshape(-1, width).astype(np.int64)
-    times = np.minimum(np.asarray(got["n"]), 50)
-    ids, y = np.repeat(ids, times, axis=0)[:WINDOWS], np.repeat(np.asarray(got["y"]), times)[:WINDOWS]
+    y, times = np.asarray(got["y"]), np.asarray(got["n"]).astype(float)
     real = ids >= 0
     gold = ((ids >= 0) & (ids < len(lex)) & (y[:, None] == 1)).astype(np.int64)
-    w, t = _fit_chain(np.where(real, ids, len(lex)), gold, real, len(lex))
+    w, t = _fit_chain(np.where(real, ids, len(lex)), gold, real, times, len(lex))
     model = dataclasses.replace(model, weights=w, trans=t)
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,19 +230,20 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, lexicon:
     return dataclasses.replace(model, document=_fit_document(x, y, weight * len(y) / weight.sum()))
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """All columns of docs (which needs text), then score, predicted and spans (start, end, p).
+def score(docs: DataFrame, model: Model, names: tuple[str, str, str] = ("score", "predicted", "spans")) -> DataFrame:
+    """All columns of docs (which needs text), then score, predicted and spans (start, end, p), called by names.
 
     Documents are tokenised and tagged whole. spans are the maximal runs of tokens whose marginal is 0.5 or
     more, in characters from 0, end exclusive, with the largest marginal. score (0 to 1) comes from all marginals of
     the document; predicted is 1 if it is 0.5 or more.
 
     Edge cases: null and empty texts have no tokens, so no spans and the score of a text without any
-    toxic token; repeated rows and ties are scored row by row; of columns that docs already
-    calls score, predicted or spans the old ones are dropped; an empty table gives an empty result.
+    toxic token; repeated rows and ties are scored row by row; columns of docs may have any names, but
+    those that are called as one of names are dropped; an empty table gives an empty result.
     """
-    kept = [c for c in docs.columns if c.lower() not in ("score", "predicted", "spans")]
-    docs = docs.select(*[F.col(f"`{c}`") for c in kept], F.col("text").cast("string").alias("__tagged"))
+    kept = [c for c in docs.columns if c.lower() not in [x.lower() for x in names]]
+    # numbered names go in, as mapInArrow can't take columns with a dot in theirs
+    given = docs.select(*[quoted(c).alias(f"c{k}") for k, c in enumerate(kept)], F.col("text").cast("string").alias("tagged"))
     at = len(kept)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -265,8 +268,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 cells = pa.StructArray.from_arrays([pa.array(x, type=f.type) for x, f in zip(spans, kind, strict=True)], fields=list(kind))
                 per = np.searchsorted(row[a], np.arange(hi - lo + 1)).astype(np.int32)
                 cols = [c.slice(lo, hi - lo) for c in batch.columns[:at]]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(s), pa.array((s >= 0.5).astype(np.int32)), pa.ListArray.from_arrays(pa.array(per), cells)], [*kept, "score", "predicted", "spans"])
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(s), pa.array((s >= 0.5).astype(np.int32)), pa.ListArray.from_arrays(pa.array(per), cells)], [*kept, *names])
 
-    schema = docs.drop("__tagged").schema.add("score", "double").add("predicted", "integer")
-    schema = schema.add("spans", T.ArrayType(T.StructType().add("start", "long").add("end", "long").add("p", "double")))
-    return docs.mapInArrow(run, schema)
+    schema = T.StructType([docs.schema[c] for c in kept]).add(names[0], "double").add(names[1], "integer")
+    schema = schema.add(names[2], T.ArrayType(T.StructType().add("start", "long").add("end", "long").add("p", "double")))
+    return given.mapInArrow(run, schema)
