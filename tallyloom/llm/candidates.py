@@ -8,6 +8,7 @@ lost and no group is ever in one task or expanded into all its pairs.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 from .common import cut, discard, text_slices
 from .components import components, roots_of
 
-BLOCK, WEIGHT, HUBS, PAIRS, SMALL = 1024, 4_000_000, 3, 1 << 20, 16
+BLOCK, WEIGHT, HUBS, PAIRS = 1024, 2_000_000, 3, 1 << 20
 EDGES, SPREAD = "a long, b long", "place long, id long, key long, far boolean"
 
 
@@ -75,23 +76,25 @@ def shared_members(rows: DataFrame, more: str = "") -> DataFrame:
     return rows.repartition("place").sortWithinPartitions("place").mapInArrow(_runs, "key long, id long" + more)
 
 
-def whole_groups(batches: Iterator[pa.RecordBatch], least_rows: int = 1 << 15, least_bytes: int = 16 << 20) -> Iterator[pa.RecordBatch]:
-    """Batches of whole groups of rows sorted by (g, block), the first two columns."""
+def whole_groups(batches: Iterator[pa.RecordBatch], rows: int = 1 << 15, size: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+    """Batches of whole groups of rows sorted by (g, block), the first two columns: about so many rows or bytes, or one group."""
     held: list[pa.RecordBatch] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        held.append(batch)
-        if sum(b.num_rows for b in held) < least_rows and sum(b.nbytes for b in held) < least_bytes:
+    for batch in itertools.chain(batches, [None]):
+        if batch is not None and batch.num_rows:
+            held.append(batch)
+        full = sum(b.num_rows for b in held) >= rows or sum(b.nbytes for b in held) >= size
+        if not held or (batch is not None and not full):
             continue
         both = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-        other = (both.column(0).to_numpy() != both.column(0)[-1].as_py()) | (both.column(1).to_numpy() != both.column(1)[-1].as_py())
-        at = int(other.nonzero()[0][-1]) + 1 if other.any() else 0
-        if at:
-            yield both.slice(0, at)
-        held = [both.slice(at)]
-    if held:
-        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        g, block = both.column(0).to_numpy(), both.column(1).to_numpy()
+        starts = np.flatnonzero(np.concatenate([[True], (g[1:] != g[:-1]) | (block[1:] != block[:-1])]))
+        ends = np.append(starts[1:], len(g)) if batch is None else starts[1:]
+        step, at = max(1, min(rows, both.num_rows * size // max(1, both.nbytes))), 0
+        while len(ends) and at < ends[-1]:
+            to = int(ends[max(int(np.searchsorted(ends, at + step, side="right")) - 1, int(np.searchsorted(ends, at, side="right")))])
+            yield both.slice(at, to - at)
+            at = to
+        held = [both.slice(at)] if at < both.num_rows else []
 
 
 def _relabel(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -121,10 +124,10 @@ def settle(start: np.ndarray, size: np.ndarray, side: np.ndarray, label: np.ndar
     """The label of each row once every link that test confirms inside a group is joined.
 
     Rows with equal labels are known to be connected and are not tested. In a group with two sides
-    only pairs across them are. Groups of over SMALL rows are compared with two of their rows first.
+    only pairs across them are. Each group is first compared with up to three of its rows.
     """
-    two = np.maximum.reduceat(side, start) > np.minimum.reduceat(side, start) if len(start) else np.zeros(0, dtype=bool)
-    across = np.repeat(two, size)
+    row, group = np.arange(len(label)), np.repeat(np.arange(len(start)), size)
+    across = (np.maximum.reduceat(side, start) > np.minimum.reduceat(side, start))[group]
 
     def join(i: np.ndarray, j: np.ndarray) -> None:
         nonlocal label
@@ -135,20 +138,15 @@ def settle(start: np.ndarray, size: np.ndarray, side: np.ndarray, label: np.ndar
             if ok.any():
                 label = _relabel(label, i[ok], j[ok])
 
-    big = np.flatnonzero(size > SMALL)
-    for k in range(2):
-        for g in big:
-            own = np.arange(start[g], start[g] + size[g])
-            apart = own if k == 0 else own[label[own] != label[start[g]]]
-            if len(apart):
-                join(np.full(len(own), apart[0]), own)
-    small = size <= SMALL
-    for i, j in _pairs(size[small], start[small]):
+    join(start[group], row)
+    for last in (False, True):
+        apart = label != label[start][group]
+        hub = np.maximum.reduceat(np.where(apart, row, -1), start) if last else np.minimum.reduceat(np.where(apart, row, len(row)), start)
+        some = ((hub >= 0) & (hub < len(row)))[group]
+        join(hub[group][some], row[some])
+    left = np.maximum.reduceat(label, start) != np.minimum.reduceat(label, start)
+    for i, j in _pairs(size[left], start[left]):
         join(i, j)
-    for g in big:
-        if (label[start[g] : start[g] + size[g]] != label[start[g]]).any():
-            for i, j in _pairs(size[g : g + 1], start[g : g + 1]):
-                join(i, j)
     return label
 
 
@@ -244,35 +242,35 @@ def exact_test(sets: Callable, percent: int, text: int) -> Callable:
         parts, counts = [], []
         for _, _, data, rows in text_slices(batch, text):
             flat, first = sets(data, rows)
-            parts.append(flat)
-            counts.append(np.diff(first))
-        counts = np.concatenate(counts)
-        # numbers in place of hashes, so that one row's set is a few marks
-        names, rank = np.unique(np.concatenate(parts), return_inverse=True)
-        mark = np.zeros(len(names), dtype=bool)
-        each = np.sort(np.repeat(np.arange(len(counts)), counts) * len(names) + rank)
-        each = each[np.concatenate([[True], each[1:] != each[:-1]])] if len(each) else each
-        row, rank = np.divmod(each, max(1, len(names)))
-        n = np.bincount(row, minlength=len(counts))
+            for a, b in itertools.pairwise(first.tolist()):
+                flat[a:b].sort()
+            own = np.repeat(np.arange(len(first) - 1), np.diff(first))
+            new = np.ones(len(flat), dtype=bool)
+            new[1:] = (flat[1:] != flat[:-1]) | (own[1:] != own[:-1])
+            parts.append(flat[new])
+            counts.append(np.bincount(own[new], minlength=len(first) - 1))
+        flat, n = np.concatenate(parts), np.concatenate(counts)
         first = np.concatenate([[0], np.cumsum(n)])
 
         def test(i: np.ndarray, j: np.ndarray) -> np.ndarray:
             ok = np.minimum(n[i], n[j]) * 100 >= np.maximum(n[i], n[j]) * percent
             ok &= n[i] > 0
             k = np.flatnonzero(ok)
+            if not len(k):
+                return ok
             k = k[np.argsort(i[k], kind="stable")]
-            cuts = np.flatnonzero(np.concatenate([[True], np.diff(i[k]) != 0])) if len(k) else k
+            cuts = np.flatnonzero(np.concatenate([[True], np.diff(i[k]) != 0]))
             for a, b in zip(cuts, np.append(cuts[1:], len(k)), strict=True):
-                one = rank[first[i[k[a]]] : first[i[k[a]] + 1]]
-                mark[one] = True
+                one = flat[first[i[k[a]]] : first[i[k[a]] + 1]]
                 for c in range(a, b, 512):
                     part = k[c : min(b, c + 512)]
                     js = j[part]
                     m = n[js]
-                    at = np.repeat(first[js] - np.concatenate([[0], np.cumsum(m)[:-1]]), m) + np.arange(m.sum())
-                    common = np.add.reduceat(mark[rank[at]].astype(np.int64), np.concatenate([[0], np.cumsum(m)[:-1]]))
+                    starts = np.concatenate([[0], np.cumsum(m)[:-1]])
+                    other = flat[np.repeat(first[js] - starts, m) + np.arange(m.sum())]
+                    at = np.minimum(np.searchsorted(one, other), len(one) - 1)
+                    common = np.add.reduceat((one[at] == other).astype(np.int64), starts)
                     ok[part] = common * 100 >= (len(one) + m - common) * percent
-                mark[one] = False
             return ok
 
         return test

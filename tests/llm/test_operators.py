@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tallyloom.llm import common
-from tallyloom.llm.candidates import group_links, shared_members, spread
+from tallyloom.llm.common import words
+from tallyloom.llm.candidates import exact_test, group_links, shared_members, spread
 from tallyloom.llm.decontaminate import contamination, drop_contaminated
 from tallyloom.llm.embedding_dedup import near_vectors
 from tallyloom.llm.license_scan import license_places
@@ -301,6 +302,18 @@ def test_groups_are_settled_in_blocks(spark, docs, block):
     assert {i: got.get(i, i) for i in want} == want
 
 
+def test_exact_test_of_sets():
+    texts = ["a b c d", "", "d c b a x", "a a b c d", *[f"{'long ' * 9}{k}" for k in range(9)]]
+    sets = lambda data, rows: (h := words(data, rows))[0:4:3]
+    batch = pa.RecordBatch.from_pydict({"text": texts})
+    test = exact_test(sets, 75, 0)(batch)
+    i, j = np.array(list(itertools.combinations(range(len(texts)), 2))).T
+    own = [set(t.split()) for t in texts]
+    assert test(i, j).tolist() == [bool(own[a]) and 100 * len(own[a] & own[b]) >= 75 * len(own[a] | own[b]) for a, b in zip(i, j)]
+    # pairs whose sizes rule all of them out
+    assert test(np.array([0, 1]), np.array([4, 2])).tolist() == [False, False]
+
+
 def test_common_keys_are_spread(spark, docs):
     keys = np.array([[1, i + 10] for i in range(2000)], dtype=np.uint64)
     batches = [spread(keys[a : a + 500], np.arange(a, a + 500)) for a in range(0, 2000, 500)]
