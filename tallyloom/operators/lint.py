@@ -6,6 +6,9 @@ gives empty results.
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,9 +17,15 @@ from ..functions.paths import basename
 ENTRY = "SKILL.md"
 FRONT = r"\A\x{FEFF}?---[ \t]*\r?\n((?s:.*?\n)?)---[ \t]*(?:\r?\n|\z)"
 NAME = r"""(?m)^name:[ \t]*["']?([^"'\r\n]*?)["']?[ \t]*\r?$"""
-#: What a line of front matter may be: blank, a comment, a key, an item of a list, or indented under one.
-FRONT_LINE = r"^(\s*|#.*|[^\s:#][^:]*:(\s.*)?|-(\s.*)?|\s+\S.*)$"
-LINK = r"\]\(\s*<?([^)\s>#]+)[^)]*\)"
+#: What a line of front matter may be: blank, a comment, an item of a list, indented under one, or a key. A plain value, one that
+#: no quote, bracket or block mark begins, holds no colon before a space or the end.
+FRONT_LINE = r"""^(\s*|#.*|-(\s.*)?|\s+\S.*|[^\s:#][^:]*:(\s+(["'\[{|>&*!#].*|(?!.*:(\s|$)).*))?)$"""
+KEY = r"(?m)^([^\s:#-][^:\r\n]*):"
+DESCRIPTION = r"(?m)^description:[ \t]*((?:.*)(?:\n[ \t]+.*)*)"
+FENCED = r"(?ms)^ {0,3}(```|~~~).*?(?:^ {0,3}\1[`~]*[ \t]*\r?$|\z)"
+CODE = r"(?s)(?<!`)(`+)(?!`).+?(?<!`)\1(?!`)"
+#: A link's target, or that of a reference's definition: in angle brackets, or without spaces and with balanced brackets.
+LINK = r"(?:\]\(\s*|(?m:^) {0,3}\[[^\]\n]+\]:[ \t]*)(?:<([^<>\n]*)>|((?:[^\s()<>]|\([^\s()]*\))+))"
 SCHEME = r"^([A-Za-z][A-Za-z0-9+.-]*:|//)"
 
 
@@ -71,9 +80,13 @@ def _resolved(parts: Column) -> Column:
 def links(tree: DataFrame) -> DataFrame:
     """(rel, target): each Markdown link of a file to another file of the tree, resolved from the file's folder.
 
-    Links to other sites and to a place in the same file are left out; `#...` is cut off.
+    Inline links, in angle brackets or plain, and definitions of references count; code does not. `#...` is cut off and
+    percent signs are decoded. Links to other sites and to a place in the same file are left out.
     """
-    found = tree.select("rel", F.explode(F.regexp_extract_all(_text(), F.lit(LINK), F.lit(1))).alias("to")).filter(~F.regexp_like("to", F.lit(SCHEME)))
+    prose = F.regexp_replace(F.regexp_replace(_text(), FENCED, ""), CODE, "")
+    found = F.zip_with(F.regexp_extract_all(prose, F.lit(LINK), F.lit(1)), F.regexp_extract_all(prose, F.lit(LINK), F.lit(2)), lambda a, b: F.concat(a, b))
+    found = tree.select("rel", F.explode(found).alias("to")).filter(~F.regexp_like("to", F.lit(SCHEME))).select("rel", F.regexp_replace("to", "#.*$", "").alias("to")).filter("to <> ''")
+    found = found.select("rel", F.coalesce(F.try_url_decode(F.replace("to", F.lit("+"), F.lit("%2B"))), "to").alias("to"))
     parts = F.split("rel", "/")
     folder = F.when(F.startswith("to", F.lit("/")), F.array().cast("array<string>")).otherwise(F.slice(parts, 1, F.size(parts) - 1))
     return found.select("rel", _resolved(F.concat(folder, F.split("to", "/"))).alias("target"))
@@ -86,12 +99,48 @@ def broken_links(tree: DataFrame) -> DataFrame:
     return links(tree).filter("target <> ''").join(known, "target", "left_anti").select("rel", "target")
 
 
-def unlinked(tree: DataFrame, entry: str = ENTRY, suffix: str = ".md") -> DataFrame:
-    """(rel): documents other than entry files that no other file links to."""
-    used = links(tree).filter("rel <> target").select(F.col("target").alias("rel"))
+def unlinked(tree: DataFrame, entry: str = ENTRY, suffix: str = ".md", body_only: bool = True) -> DataFrame:
+    """(rel): documents other than entry files that no entry file links to; with body_only false, that no other file does."""
+    source = tree.filter(basename(F.col("rel")) == entry) if body_only else tree
+    used = links(source).filter("rel <> target").select(F.col("target").alias("rel"))
     return tree.filter(F.endswith("rel", F.lit(suffix)) & (basename(F.col("rel")) != entry)).select("rel").join(used, "rel", "left_anti")
 
 
+def description_lengths(tree: DataFrame, most: int, entry: str = ENTRY) -> DataFrame:
+    """(rel, length): entry files with readable fences whose description is missing (length 0) or has more than `most` characters.
+
+    Quotes and block marks around it don't count, and a description over several lines is one of single spaces.
+    """
+    said = F.regexp_replace(F.regexp_extract(_front(), DESCRIPTION, 1), r"""^[>|][+-]?\s*|^["']|["']\s*$""", "")
+    length = F.length(F.trim(F.regexp_replace(said, r"\s+", " "))).cast("long")
+    found = tree.filter(basename(F.col("rel")) == entry).select("rel", _front().alias("front"), length.alias("length"))
+    return found.filter(F.col("front").isNotNull() & ((F.col("length") == 0) | (F.col("length") > most))).select("rel", "length")
+
+
+def unknown_keys(tree: DataFrame, allowed: Sequence[str], entry: str = ENTRY) -> DataFrame:
+    """(rel, key): keys at the top of an entry file's front matter that are not allowed."""
+    keys = F.transform(F.regexp_extract_all(_front(), F.lit(KEY), F.lit(1)), F.trim)
+    other = F.array_except(keys, F.array(*map(F.lit, allowed)) if allowed else F.array().cast("array<string>"))
+    return tree.filter(basename(F.col("rel")) == entry).select("rel", F.explode(other).alias("key"))
+
+
+def long_bodies(tree: DataFrame, most: int = 5000, characters: float = 4.0, entry: str = ENTRY) -> DataFrame:
+    """(rel, tokens): entry files whose text after the front matter has more than `most` tokens, of so many characters each."""
+    body = F.regexp_replace(_text(), FRONT, "")
+    tokens = F.ceil(F.length(body) / characters).cast("long")
+    return tree.filter((basename(F.col("rel")) == entry) & _front().isNotNull()).select("rel", tokens.alias("tokens")).filter(F.col("tokens") > most)
+
+
+def doctor(tree: DataFrame, most: int | None = None, allowed: Sequence[str] | None = None, entry: str = ENTRY) -> DataFrame:
+    """(rel, cause): why an entry file may not load, all rules in one report; description and keys only where limits are given."""
+    found = [(byte_order_marks(tree), "byte-order mark"), (wrong_case(tree, entry), "wrong case"), (mismatched_names(tree, entry), "name is not its folder"), (unreadable_front_matter(tree, entry), "unreadable front matter")]
+    if most is not None:
+        found.append((description_lengths(tree, most, entry), "description"))
+    if allowed is not None:
+        found.append((unknown_keys(tree, allowed, entry).select("rel").distinct(), "unknown key"))
+    return functools.reduce(DataFrame.unionByName, [df.select("rel", F.lit(cause).alias("cause")) for df, cause in found])
+
+
 def trigger_sets(evals: DataFrame, least: int = 8, most: int = 10) -> DataFrame:
     """(name, positive, near_miss, enough) of each name in evals (name, triggers): whether both counts are in bounds."""
     out = evals.groupBy("name").agg(F.count_if("triggers").alias("positive"), F.count_if(~F.col("triggers")).alias("near_miss"))

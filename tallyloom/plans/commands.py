@@ -59,7 +59,9 @@ def install(spark: SparkSession, source: str, target: str, name: str, version: s
         if action == "copy":
             os.makedirs(os.path.dirname(to), exist_ok=True)
             shutil.copyfile(os.path.join(source, rel), f"{to}.new")
-            os.chmod(f"{to}.new", 0o755 if os.stat(os.path.join(source, rel)).st_mode & 0o111 else 0o644)
+            shutil.copymode(os.path.join(source, rel), f"{to}.new")
+            if os.stat(os.path.join(source, rel)).st_mode & 0o111:
+                os.chmod(f"{to}.new", 0o755)
             os.replace(f"{to}.new", to)
         elif os.path.exists(to):
             os.remove(to)
@@ -81,10 +83,32 @@ def uninstall(spark: SparkSession, target: str, most: int = 10) -> tuple[DataFra
 
 def parse_arguments(argv: list[str]) -> argparse.Namespace:
     p = argparse.ArgumentParser(prog="tallyloom", description="Check, install or uninstall a tree of files.")
-    p.add_argument("--check", action="store_true")
-    p.add_argument("--uninstall", action="store_true")
-    p.add_argument("--force", action="store_true")
-    p.add_argument("--project", action="store_true")
-    p.add_argument("--root")
-    p.add_argument("--path")
+    p.add_argument("--check", action="store_true", help="compare the installed tree with its manifest")
+    p.add_argument("--uninstall", action="store_true", help="remove the installed tree")
+    p.add_argument("--force", action="store_true", help="install over edited files")
+    p.add_argument("--project", action="store_true", help="install below the project's root")
+    p.add_argument("--root", help="the project's root")
+    p.add_argument("--path", help="the folder to install into")
+    p.add_argument("--name", default="tree", help="name of the tree")
+    p.add_argument("--version", default="0", help="version to record")
+    p.add_argument("--source", default=".", help="the folder to install from")
+    p.add_argument("--ship", nargs="*", default=[], help="top names of source that are installed")
     return p.parse_args(argv)
+
+
+def run(spark: SparkSession, argv: list[str], home: str | None = None) -> int:
+    """Does what argv asks for, help before check before uninstall before install; prints the verdict and returns its exit code."""
+    args = parse_arguments(argv)
+    target = resolve_target(args.name, args.path, args.project, args.root, home)
+    report = None
+    if args.check:
+        verdict, report = check(spark, target)
+    elif args.uninstall:
+        verdict, report = uninstall(spark, target)
+    else:
+        verdict = install(spark, args.source, target, args.name, args.version, args.ship, args.force)
+    said = verdict.first()
+    print(f"{said['state']}: {target}, {said['n']} differing")
+    for row in report.collect() if report is not None else []:  # a capped report
+        print(f"  {row['label']}")
+    return said["exit_code"]

@@ -23,7 +23,7 @@ def _entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     file = F.when(d % 3 == 0, "SKILL.md").when(d % 3 == 1, "skill.md").otherwise("notes.md")
     return _table(spark, sf_dir, "documents").select(
         F.concat(F.lit("p"), d.cast("string"), F.lit("/"), file).alias("rel"),
-        F.concat(mark, F.lit("---\nname: "), named, F.lit("\n"), fence, F.lit("Body.\n")).alias("content"),
+        F.concat(mark, F.lit("---\nname: "), named, F.lit("\n"), fence, F.col("text")).alias("content"),
     )
 
 
@@ -32,7 +32,7 @@ def _linked(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = lambda x: F.concat(F.lit("d"), (x % 50).cast("string"), F.lit("/"), x.cast("string"), F.lit(".md"))
     d = F.col("doc_id")
     text = F.when(d % 2 == 0, F.concat(F.lit("See [next](../"), path(d + 1), F.lit("#top) and [site](https://example.org/).")))
-    return _table(spark, sf_dir, "documents").filter("doc_id % 11 <> 0").select(path(d).alias("rel"), text.alias("content"))
+    return _table(spark, sf_dir, "documents").filter("doc_id % 11 <> 0").select(path(d).alias("rel"), F.concat_ws("\n", text, "text").alias("content"))
 
 
 def q19_byte_order_marks(spark, sf_dir):
@@ -56,7 +56,7 @@ def q23_broken_links(spark, sf_dir):
 
 
 def q24_unlinked(spark, sf_dir):
-    return lint.unlinked(_linked(spark, sf_dir))
+    return lint.unlinked(_linked(spark, sf_dir), body_only=False)
 
 
 def q25_trigger_sets(spark, sf_dir):
@@ -72,11 +72,37 @@ def q27_coverage(spark, sf_dir):
     return lint.coverage(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels").filter("quality = 1"), "doc_id")
 
 
+def q33_long_bodies(spark, sf_dir):
+    return lint.long_bodies(_entries(spark, sf_dir), most=500)
+
+
+def q34_descriptions(spark, sf_dir):
+    return lint.description_lengths(_entries(spark, sf_dir), most=1024)
+
+
+def q35_unknown_keys(spark, sf_dir):
+    return lint.unknown_keys(_entries(spark, sf_dir), ["description"])
+
+
+def q36_doctor(spark, sf_dir):
+    return lint.doctor(_entries(spark, sf_dir))
+
+
 _LINKED = """WITH tree AS (SELECT doc_id, 'd' || doc_id % 50 || '/' || doc_id || '.md' AS rel FROM documents WHERE doc_id % 11 <> 0),
 links AS (SELECT rel, doc_id + 1 AS to_id, 'd' || (doc_id + 1) % 50 || '/' || (doc_id + 1) || '.md' AS target FROM tree WHERE doc_id % 2 = 0)
 """
 
+_MARKED = "SELECT 'p' || doc_id || '/' || CASE doc_id % 3 WHEN 0 THEN 'SKILL.md' WHEN 1 THEN 'skill.md' ELSE 'notes.md' END AS rel FROM documents WHERE doc_id % 13 = 0"
+_NAMED = "FROM documents WHERE doc_id % 3 = 0 AND doc_id % 7 = 0 AND doc_id % 17 <> 0 AND lang <> 'p' || doc_id"
+
 SQL = {
+    "q33_long_bodies": "SELECT 'p' || doc_id || '/SKILL.md' AS rel, CAST(ceil(length(text) / 4.0) AS BIGINT) AS tokens FROM documents WHERE doc_id % 3 = 0 AND doc_id % 17 <> 0 AND ceil(length(text) / 4.0) > 500",
+    "q34_descriptions": "SELECT 'p' || doc_id || '/SKILL.md' AS rel, CAST(0 AS BIGINT) AS length FROM documents WHERE doc_id % 3 = 0 AND doc_id % 17 <> 0",
+    "q35_unknown_keys": "SELECT 'p' || doc_id || '/SKILL.md' AS rel, 'name' AS key FROM documents WHERE doc_id % 3 = 0 AND doc_id % 17 <> 0",
+    "q36_doctor": f"""SELECT rel, 'byte-order mark' AS cause FROM ({_MARKED})
+UNION ALL SELECT 'p' || doc_id || '/skill.md', 'wrong case' FROM documents WHERE doc_id % 3 = 1
+UNION ALL SELECT 'p' || doc_id || '/SKILL.md', 'name is not its folder' {_NAMED}
+UNION ALL SELECT 'p' || doc_id || '/SKILL.md', 'unreadable front matter' FROM documents WHERE doc_id % 3 = 0 AND doc_id % 17 = 0""",
     "q19_byte_order_marks": "SELECT 'p' || doc_id || '/' || CASE doc_id % 3 WHEN 0 THEN 'SKILL.md' WHEN 1 THEN 'skill.md' ELSE 'notes.md' END AS rel FROM documents WHERE doc_id % 13 = 0",
     "q20_wrong_case": "SELECT 'p' || doc_id || '/skill.md' AS rel FROM documents WHERE doc_id % 3 = 1",
     "q21_mismatched_names": "SELECT 'p' || doc_id || '/SKILL.md' AS rel, lang AS name, 'p' || doc_id AS folder FROM documents WHERE doc_id % 3 = 0 AND doc_id % 7 = 0 AND doc_id % 17 <> 0 AND lang <> 'p' || doc_id",

@@ -119,6 +119,27 @@ def q18_executable(spark, sf_dir):
     return parts.select("p_partkey", executable(F.col("p_size")).alias("runs"))
 
 
+def q28_capped_ten(spark, sf_dir):
+    return capped(_named(_drift(spark, sf_dir)), 10).select("rel", "kind", "label", "total", "more")
+
+
+def q29_blocked_verdict(spark, sf_dir):
+    return install_verdict(_tree(spark, sf_dir).select("rel").filter("rel is null"), _drift(spark, sf_dir))
+
+
+def q30_forced_verdict(spark, sf_dir):
+    return install_verdict(_tree(spark, sf_dir).select("rel"), _drift(spark, sf_dir), force=True)
+
+
+def q31_untracked_verdict(spark, sf_dir):
+    return check_verdict(_drift(spark, sf_dir), readable=False)
+
+
+def q32_clean_verdict(spark, sf_dir):
+    now = digests(_tree(spark, sf_dir))
+    return check_verdict(drift(now, now))
+
+
 _CTE = """WITH tree AS (SELECT doc_id AS rel, sha256(text) AS digest FROM documents WHERE doc_id % 11 <> 0),
 manifest AS (SELECT doc_id AS rel, sha256(CASE WHEN doc_id % 7 = 0 THEN lang ELSE text END) AS digest FROM documents WHERE doc_id % 5 <> 0),
 drift AS (
@@ -148,6 +169,12 @@ UNION ALL SELECT rel, 'delete' FROM manifest WHERE rel % 3 = 0 AND rel IN (SELEC
     "q15_install_verdict": _CTE + "SELECT CASE WHEN count(*) > 0 THEN 'refused' ELSE 'installed' END AS state, CAST(CASE WHEN count(*) > 0 THEN 2 ELSE 0 END AS INT) AS exit_code, count(*) AS n FROM drift",
     "q16_uninstall_verdict": _CTE + "SELECT 'removed' AS state, 0 AS exit_code, count(*) AS n FROM drift",
     "q17_labels": _CTE + "SELECT CAST(rel AS VARCHAR) || CASE WHEN kind = 'deleted' THEN ' (deleted)' ELSE '' END AS label FROM drift",
+    "q28_capped_ten": _CTE + """SELECT CAST(rel AS VARCHAR) AS rel, kind, CAST(rel AS VARCHAR) || CASE WHEN kind = 'deleted' THEN ' (deleted)' ELSE '' END AS label,
+  (SELECT count(*) FROM drift) AS total, (SELECT greatest(count(*) - 10, 0) FROM drift) AS more FROM drift ORDER BY CAST(rel AS VARCHAR) LIMIT 10""",
+    "q29_blocked_verdict": _CTE + "SELECT 'blocked' AS state, 2 AS exit_code, count(*) AS n FROM drift",
+    "q30_forced_verdict": _CTE + "SELECT 'installed' AS state, 0 AS exit_code, count(*) AS n FROM drift",
+    "q31_untracked_verdict": _CTE + "SELECT 'untracked' AS state, 0 AS exit_code, count(*) AS n FROM drift",
+    "q32_clean_verdict": _CTE + "SELECT 'clean' AS state, 0 AS exit_code, count(*) - count(*) AS n FROM tree",
     "q18_executable": "SELECT p_partkey, (p_size & 73) <> 0 AS runs FROM part",
 }
 

@@ -1,11 +1,12 @@
 import os
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from tallyloom.functions import paths
 from tallyloom.operators import integrity
-from tallyloom.plans import commands, verdicts
+from tallyloom.plans import commands, queries, verdicts
 from tallyloom.sources.manifest import manifest_rows, parse_manifest
 from tallyloom.sources.tree import read_tree
 from tallyloom.streaming.drift import arriving_edits
@@ -116,3 +117,40 @@ def test_stream_of_edits(spark, tmp_path):
     query = arriving_edits(stream, manifest).writeStream.format("memory").queryName("edits").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "ck")).start()
     query.awaitTermination(120)
     assert [r["rel"] for r in spark.table("edits").collect()] == ["a"]
+
+
+def test_dispatch(spark, tmp_path, capsys):
+    source = tmp_path / "from"
+    (source / "kit").mkdir(parents=True)
+    (source / "kit" / "a.md").write_text("one")
+    (source / "kit" / "run").write_text("two")
+    (source / "kit" / "run").chmod(0o700)
+    (source / "kit" / "a.md").chmod(0o600)
+    common = ["--name", "tree", "--path", str(tmp_path / "to")]
+    install = [*common, "--source", str(source), "--ship", "kit"]
+    assert commands.run(spark, install) == 0
+    target = tmp_path / "to" / "tree"
+    assert (target / "kit" / "a.md").read_text() == "one"
+    assert [(target / "kit" / x).stat().st_mode & 0o777 for x in ("a.md", "run")] == [0o600, 0o755]
+    assert commands.run(spark, [*common, "--check"]) == 0
+    (target / "kit" / "a.md").write_text("edited")
+    # check comes before uninstall and changes nothing
+    assert commands.run(spark, [*common, "--check", "--uninstall"]) == 1 and target.exists()
+    assert commands.run(spark, install) == 2 and commands.run(spark, [*install, "--force"]) == 0
+    assert commands.run(spark, [*common, "--uninstall"]) == 0 and not target.exists()
+    assert commands.run(spark, [*common, "--source", str(source), "--ship", "none"]) == 2 and not target.exists()
+    with pytest.raises(SystemExit) as e:
+        commands.run(spark, ["--help", "--uninstall"])
+    assert e.value.code == 0 and "uninstall" in capsys.readouterr().out
+
+
+@pytest.mark.parametrize("name", ["q28_capped_ten", "q29_blocked_verdict", "q30_forced_verdict", "q31_untracked_verdict", "q32_clean_verdict"])
+def test_verdict_queries_equal_their_sql(spark, name):
+    data = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{data}/documents.parquet/*.parquet')" if os.path.isdir(f"{data}/documents.parquet") else f"CREATE VIEW documents AS SELECT * FROM read_parquet('{data}/documents.parquet')")
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{data}/pages.parquet')")
+    cur = con.execute(queries.SQL[name])
+    cols = [c[0] for c in cur.description]
+    got = queries.queries()[name](spark, data).select(*cols).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, cur.fetchall()))

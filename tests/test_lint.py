@@ -34,6 +34,37 @@ def test_front_matter(tree):
     assert got(lint.unreadable_front_matter(tree)) == {("open/SKILL.md",), ("odd/SKILL.md",)}
 
 
+def test_front_matter_values(spark):
+    lines = {"description: does x: and y": False, "description: 'does x: and y'": True, 'd: "a: b"': True, "d: ends:": False, "url: http://a.b/c": True, "time: 10:30": True, "d: >\n  folded: text": True, "d: [a: b]": True, "d:": True, "d:x": False}
+    rows = [(f"{k}/SKILL.md", f"---\n{x}\n---\n") for k, x in enumerate(lines)]
+    assert got(lint.unreadable_front_matter(spark.createDataFrame(rows, "rel string, content string"))) == {(f"{k}/SKILL.md",) for k, ok in enumerate(lines.values()) if not ok}
+
+
+def test_limits(spark):
+    rows = [
+        ("a/SKILL.md", "---\nname: a\ndescription: >-\n  one two\n  three\nother: 1\n---\n" + "x" * 41),
+        ("b/SKILL.md", "---\nname: b\ndescription: 'short'\n---\nbody"),
+        ("c/SKILL.md", "---\nname: c\n---\n"),
+        ("d/SKILL.md", None),
+        ("e/notes.md", "---\nother: 1\n---\n" + "x" * 90),
+    ]
+    tree = spark.createDataFrame([(*r, 1) for r in rows], "rel string, content string, key int")
+    assert got(lint.description_lengths(tree, 12)) == {("a/SKILL.md", 13), ("c/SKILL.md", 0)}
+    assert got(lint.unknown_keys(tree, ["name", "description"])) == {("a/SKILL.md", "other")}
+    assert got(lint.long_bodies(tree, most=10)) == {("a/SKILL.md", 11)}
+    assert got(lint.doctor(tree, 12, ["name", "description"])) == {("a/SKILL.md", "description"), ("c/SKILL.md", "description"), ("a/SKILL.md", "unknown key")}
+    assert lint.doctor(tree.limit(0), 12, []).count() == 0
+
+
+def test_links_of_ordinary_markdown(spark):
+    body = "[x](b%20c.md) [y](<b c.md>) [z](e(1).md 'title') [r][ref] `[code](gone.md)` ``a ` [code](gone.md)`` [p](a+b.md)\n\n```\n[code](gone.md)\n```\n\n[ref]: docs/r.md\n"
+    rows = [("k/SKILL.md", body), *((f"k/{x}", None) for x in ("b c.md", "e(1).md", "a+b.md", "docs/r.md", "docs/s.md")), ("k/docs/t.md", "[s](s.md)")]
+    tree = spark.createDataFrame(rows, "rel string, content string")
+    assert lint.broken_links(tree).count() == 0
+    assert got(lint.unlinked(tree)) == {("k/docs/s.md",), ("k/docs/t.md",)}
+    assert got(lint.unlinked(tree, body_only=False)) == {("k/docs/t.md",)}
+
+
 def test_links(tree):
     assert got(lint.links(tree)) == {("kit/SKILL.md", x) for x in ("kit/docs/a.md", "other/SKILL.md", "kit/docs")} | {("kit/docs/a.md", x) for x in ("kit/docs/b.md", "kit/pic.png", "../x.md")}
     assert got(lint.broken_links(tree)) == {("kit/docs/a.md", "kit/docs/b.md"), ("kit/docs/a.md", "../x.md")}
