@@ -60,10 +60,12 @@ def capped(found: DataFrame, most: int = 20) -> DataFrame:
     return first.withColumn("label", labelled(F.col("rel"), F.col("kind"))).crossJoin(F.broadcast(total))
 
 
-def as_maps(manifest: DataFrame, shards: int = 64) -> DataFrame:
-    """(shard, files): the map rel to digest in shards by a hash of rel, so no row holds a whole manifest."""
-    shard = F.pmod(F.xxhash64("rel"), F.lit(shards)).alias("shard")
-    return manifest.groupBy(shard).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("rel", "digest")))).alias("files"))
+def as_maps(manifest: DataFrame, most: int = 10_000) -> DataFrame:
+    """(shard, files): the map rel to digest in shards of about `most` entries by a hash of rel, so no row holds a whole manifest."""
+    shards = manifest.agg(F.greatest(F.ceil(F.count("*") / most), F.lit(1)).alias("shards"))
+    shard = F.pmod(F.xxhash64("rel"), F.col("shards")).alias("shard")
+    dealt = manifest.select("rel", "digest").crossJoin(F.broadcast(shards))
+    return dealt.groupBy(shard).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("rel", "digest")))).alias("files"))
 
 
 def rows_of(files: DataFrame) -> DataFrame:

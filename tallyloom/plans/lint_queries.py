@@ -15,24 +15,28 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each document in a folder of its own with front matter, some with a byte-order mark, another name, an open fence or another file name."""
+    """Each document in a folder of its own with front matter, some with a byte-order mark, another name, a long or no
+    description, a further key, an open fence or another file name."""
     d = F.col("doc_id")
-    mark = F.when(d % 13 == 0, "﻿").otherwise("")
+    mark = F.when(d % 13 == 0, "\ufeff").otherwise("")
     named = F.when(d % 7 == 0, F.col("lang")).otherwise(F.concat(F.lit("p"), d.cast("string")))
+    said = F.repeat(F.concat("source", F.lit(" ")), (d % 200).cast("int"))
+    further = F.when(d % 19 == 0, "license: mit\n").otherwise("")
     fence = F.when(d % 17 == 0, "").otherwise("---\n")
     file = F.when(d % 3 == 0, "SKILL.md").when(d % 3 == 1, "skill.md").otherwise("notes.md")
     return _table(spark, sf_dir, "documents").select(
         F.concat(F.lit("p"), d.cast("string"), F.lit("/"), file).alias("rel"),
-        F.concat(mark, F.lit("---\nname: "), named, F.lit("\n"), fence, F.col("text")).alias("content"),
+        F.concat(mark, F.lit("---\nname: "), named, F.lit("\ndescription: "), said, F.lit("\n"), further, fence, F.col("text")).alias("content"),
     )
 
 
 def _linked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents but every eleventh; every other one links to the document after it, in a folder beside its own."""
-    path = lambda x: F.concat(F.lit("d"), (x % 50).cast("string"), F.lit("/"), x.cast("string"), F.lit(".md"))
+    """All documents, every eleventh under another name; every other one links to the document after it, in a folder beside its own."""
+    path = lambda x, before="": F.concat(F.lit("d"), (x % 50).cast("string"), F.lit(f"/{before}"), x.cast("string"), F.lit(".md"))
     d = F.col("doc_id")
     text = F.when(d % 2 == 0, F.concat(F.lit("See [next](../"), path(d + 1), F.lit("#top) and [site](https://example.org/).")))
-    return _table(spark, sf_dir, "documents").filter("doc_id % 11 <> 0").select(path(d).alias("rel"), F.concat_ws("\n", text, "text").alias("content"))
+    rel = F.when(d % 11 == 0, path(d, "old")).otherwise(path(d))
+    return _table(spark, sf_dir, "documents").select(rel.alias("rel"), F.concat_ws("\n", text, "text").alias("content"))
 
 
 def q19_byte_order_marks(spark, sf_dir):
@@ -81,34 +85,57 @@ def q34_descriptions(spark, sf_dir):
 
 
 def q35_unknown_keys(spark, sf_dir):
-    return lint.unknown_keys(_entries(spark, sf_dir), ["description"])
+    return lint.unknown_keys(_entries(spark, sf_dir), ["name", "description"])
 
 
 def q36_doctor(spark, sf_dir):
-    return lint.doctor(_entries(spark, sf_dir))
-
+    return lint.doctor(_entries(spark, sf_dir), most=1024, allowed=["name", "description"])
+
+
+# the SQL makes the same files and then reads them line by line
+_ENTRIES = """WITH made AS (
+  SELECT 'p' || doc_id || '/' || CASE doc_id % 3 WHEN 0 THEN 'SKILL.md' WHEN 1 THEN 'skill.md' ELSE 'notes.md' END AS rel,
+    CASE WHEN doc_id % 13 = 0 THEN chr(65279) ELSE '' END || '---' || chr(10) || 'name: ' || CASE WHEN doc_id % 7 = 0 THEN lang ELSE 'p' || doc_id END || chr(10)
+    || 'description: ' || repeat(source || ' ', doc_id % 200) || chr(10) || CASE WHEN doc_id % 19 = 0 THEN 'license: mit' || chr(10) ELSE '' END
+    || CASE WHEN doc_id % 17 = 0 THEN '' ELSE '---' || chr(10) END || text AS content
+  FROM documents),
+lined AS (
+  SELECT rel, split_part(rel, '/', 1) AS folder, split_part(rel, '/', 2) AS base, starts_with(content, chr(65279)) AS marked, string_split(ltrim(content, chr(65279)), chr(10)) AS lines FROM made),
+closed AS (SELECT *, coalesce(list_position([rtrim(x, ' ' || chr(9) || chr(13)) for x in lines[2:]], '---'), 0) AS fence FROM lined),
+skills AS (
+  SELECT rel, folder, fence > 0 AND lines[1] = '---' AS fenced, lines[2:fence] AS front, array_to_string(lines[fence + 2:], chr(10)) AS body FROM closed WHERE base = 'SKILL.md'),
+keys AS (SELECT rel, folder, split_part(x, ':', 1) AS key, trim(substr(x, strpos(x, ':') + 1)) AS said FROM (SELECT rel, folder, unnest(front) AS x FROM skills WHERE fenced) WHERE contains(x, ':')),
+described AS (SELECT rel, coalesce(max(length(said)) FILTER (key = 'description'), 0) AS length FROM keys GROUP BY rel)
+"""
 
-_LINKED = """WITH tree AS (SELECT doc_id, 'd' || doc_id % 50 || '/' || doc_id || '.md' AS rel FROM documents WHERE doc_id % 11 <> 0),
-links AS (SELECT rel, doc_id + 1 AS to_id, 'd' || (doc_id + 1) % 50 || '/' || (doc_id + 1) || '.md' AS target FROM tree WHERE doc_id % 2 = 0)
+_LINKED = r"""WITH made AS (
+  SELECT 'd' || doc_id % 50 || CASE WHEN doc_id % 11 = 0 THEN '/old' ELSE '/' END || doc_id || '.md' AS rel,
+    CASE WHEN doc_id % 2 = 0 THEN 'See [next](../d' || (doc_id + 1) % 50 || '/' || (doc_id + 1) || '.md#top) and [site](https://example.org/).' || chr(10) ELSE '' END || text AS content
+  FROM documents),
+links AS (SELECT rel, unnest(regexp_extract_all(content, '\]\(\.\./([^()\s#]+)', 1)) AS target FROM made)
 """
 
-_MARKED = "SELECT 'p' || doc_id || '/' || CASE doc_id % 3 WHEN 0 THEN 'SKILL.md' WHEN 1 THEN 'skill.md' ELSE 'notes.md' END AS rel FROM documents WHERE doc_id % 13 = 0"
-_NAMED = "FROM documents WHERE doc_id % 3 = 0 AND doc_id % 7 = 0 AND doc_id % 17 <> 0 AND lang <> 'p' || doc_id"
+_MARKED = "SELECT rel FROM closed WHERE marked"
+_CASED = "SELECT rel FROM closed WHERE lower(base) = 'skill.md' AND base <> 'SKILL.md'"
+_NAMED = "SELECT rel, said AS name, folder FROM keys WHERE key = 'name' AND said <> '' AND said <> folder"
+_UNREAD = "SELECT rel FROM skills WHERE NOT fenced"
+_SHORT = "SELECT rel, length FROM described WHERE length = 0 OR length > 1024"
+_OTHER = "SELECT rel, key FROM keys WHERE key NOT IN ('name', 'description')"
 
 SQL = {
-    "q33_long_bodies": "SELECT 'p' || doc_id || '/SKILL.md' AS rel, CAST(ceil(length(text) / 4.0) AS BIGINT) AS tokens FROM documents WHERE doc_id % 3 = 0 AND doc_id % 17 <> 0 AND ceil(length(text) / 4.0) > 500",
-    "q34_descriptions": "SELECT 'p' || doc_id || '/SKILL.md' AS rel, CAST(0 AS BIGINT) AS length FROM documents WHERE doc_id % 3 = 0 AND doc_id % 17 <> 0",
-    "q35_unknown_keys": "SELECT 'p' || doc_id || '/SKILL.md' AS rel, 'name' AS key FROM documents WHERE doc_id % 3 = 0 AND doc_id % 17 <> 0",
-    "q36_doctor": f"""SELECT rel, 'byte-order mark' AS cause FROM ({_MARKED})
-UNION ALL SELECT 'p' || doc_id || '/skill.md', 'wrong case' FROM documents WHERE doc_id % 3 = 1
-UNION ALL SELECT 'p' || doc_id || '/SKILL.md', 'name is not its folder' {_NAMED}
-UNION ALL SELECT 'p' || doc_id || '/SKILL.md', 'unreadable front matter' FROM documents WHERE doc_id % 3 = 0 AND doc_id % 17 = 0""",
-    "q19_byte_order_marks": "SELECT 'p' || doc_id || '/' || CASE doc_id % 3 WHEN 0 THEN 'SKILL.md' WHEN 1 THEN 'skill.md' ELSE 'notes.md' END AS rel FROM documents WHERE doc_id % 13 = 0",
-    "q20_wrong_case": "SELECT 'p' || doc_id || '/skill.md' AS rel FROM documents WHERE doc_id % 3 = 1",
-    "q21_mismatched_names": "SELECT 'p' || doc_id || '/SKILL.md' AS rel, lang AS name, 'p' || doc_id AS folder FROM documents WHERE doc_id % 3 = 0 AND doc_id % 7 = 0 AND doc_id % 17 <> 0 AND lang <> 'p' || doc_id",
-    "q22_unreadable_front_matter": "SELECT 'p' || doc_id || '/SKILL.md' AS rel FROM documents WHERE doc_id % 3 = 0 AND doc_id % 17 = 0",
-    "q23_broken_links": _LINKED + "SELECT rel, target FROM links WHERE to_id NOT IN (SELECT doc_id FROM tree)",
-    "q24_unlinked": _LINKED + "SELECT rel FROM tree WHERE doc_id NOT IN (SELECT to_id FROM links)",
+    "q33_long_bodies": _ENTRIES + "SELECT rel, CAST(ceil(length(body) / 4.0) AS BIGINT) AS tokens FROM skills WHERE fenced AND ceil(length(body) / 4.0) > 500",
+    "q34_descriptions": _ENTRIES + _SHORT,
+    "q35_unknown_keys": _ENTRIES + _OTHER,
+    "q36_doctor": _ENTRIES
+    + f"""SELECT rel, 'byte-order mark' AS cause FROM ({_MARKED}) UNION ALL SELECT rel, 'wrong case' FROM ({_CASED})
+UNION ALL SELECT rel, 'name is not its folder' FROM ({_NAMED}) UNION ALL SELECT rel, 'unreadable front matter' FROM ({_UNREAD})
+UNION ALL SELECT rel, 'description' FROM ({_SHORT}) UNION ALL SELECT DISTINCT rel, 'unknown key' FROM ({_OTHER})""",
+    "q19_byte_order_marks": _ENTRIES + _MARKED,
+    "q20_wrong_case": _ENTRIES + _CASED,
+    "q21_mismatched_names": _ENTRIES + _NAMED,
+    "q22_unreadable_front_matter": _ENTRIES + _UNREAD,
+    "q23_broken_links": _LINKED + "SELECT rel, target FROM links WHERE target NOT IN (SELECT rel FROM made)",
+    "q24_unlinked": _LINKED + "SELECT rel FROM made WHERE rel NOT IN (SELECT target FROM links WHERE rel <> target)",
     "q25_trigger_sets": """SELECT *, positive BETWEEN 8 AND 10 AND near_miss BETWEEN 8 AND 10 AS enough FROM (
   SELECT CAST(doc_id % 20 AS VARCHAR) AS name, count(*) FILTER (quality = 1) AS positive, count(*) FILTER (quality <> 1) AS near_miss FROM labels GROUP BY 1)""",
     "q26_untraced": "SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.paths import basename, executable, in_list, labelled, top_name, utf16_order
@@ -16,15 +16,20 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def _renamed(every: int) -> Column:
+    """The number of a document as its path, another path for those that the number divides."""
+    return F.when(F.col("doc_id") % every == 0, -1 - F.col("doc_id")).otherwise(F.col("doc_id")).alias("rel")
+
+
 def _tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents but every eleventh: what is found."""
-    return _docs(spark, sf_dir).filter("doc_id % 11 <> 0").select(F.col("doc_id").alias("rel"), F.col("text").alias("content"))
+    """All documents, every eleventh under another path: what is found."""
+    return _docs(spark, sf_dir).select(_renamed(11), F.col("text").alias("content"))
 
 
 def _manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents but every fifth, every seventh with another digest: what was recorded."""
+    """All documents, every fifth under another path and every seventh with another digest: what was recorded."""
     said = F.when(F.col("doc_id") % 7 == 0, F.col("lang")).otherwise(F.col("text"))
-    return _docs(spark, sf_dir).filter("doc_id % 5 <> 0").select(F.col("doc_id").alias("rel"), F.sha2(said, 256).alias("digest"))
+    return _docs(spark, sf_dir).select(_renamed(5), F.sha2(said, 256).alias("digest"))
 
 
 def _drift(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,8 +103,7 @@ def q13_shadowed(spark, sf_dir):
 
 
 def q14_install_actions(spark, sf_dir):
-    files = _docs(spark, sf_dir).filter("doc_id % 3 <> 0").select(F.col("doc_id").alias("rel"))
-    return install_actions(_manifest(spark, sf_dir), digests(_tree(spark, sf_dir)), files, force=True)
+    return install_actions(_manifest(spark, sf_dir), digests(_tree(spark, sf_dir)), _docs(spark, sf_dir).select(_renamed(3)), force=True)
 
 
 def q15_install_verdict(spark, sf_dir):
@@ -124,7 +128,8 @@ def q28_capped_ten(spark, sf_dir):
 
 
 def q29_blocked_verdict(spark, sf_dir):
-    return install_verdict(_tree(spark, sf_dir).select("rel").filter("rel is null"), _drift(spark, sf_dir))
+    files = _named(_tree(spark, sf_dir)).select("rel").filter(in_list(F.col("rel"), []))
+    return install_verdict(files, _drift(spark, sf_dir))
 
 
 def q30_forced_verdict(spark, sf_dir):
@@ -140,8 +145,10 @@ def q32_clean_verdict(spark, sf_dir):
     return check_verdict(drift(now, now))
 
 
-_CTE = """WITH tree AS (SELECT doc_id AS rel, sha256(text) AS digest FROM documents WHERE doc_id % 11 <> 0),
-manifest AS (SELECT doc_id AS rel, sha256(CASE WHEN doc_id % 7 = 0 THEN lang ELSE text END) AS digest FROM documents WHERE doc_id % 5 <> 0),
+_CTE = """WITH tree AS (SELECT CASE WHEN doc_id % 11 = 0 THEN -1 - doc_id ELSE doc_id END AS rel, sha256(text) AS digest FROM documents),
+manifest AS (
+  SELECT CASE WHEN doc_id % 5 = 0 THEN -1 - doc_id ELSE doc_id END AS rel, sha256(CASE WHEN doc_id % 7 = 0 THEN lang ELSE text END) AS digest FROM documents),
+files AS (SELECT CASE WHEN doc_id % 3 = 0 THEN -1 - doc_id ELSE doc_id END AS rel FROM documents),
 drift AS (
   SELECT m.rel, CASE WHEN t.rel IS NULL THEN 'deleted' ELSE 'edited' END AS kind
   FROM manifest m LEFT JOIN tree t ON t.rel = m.rel WHERE t.rel IS NULL OR t.digest IS DISTINCT FROM m.digest),
@@ -164,8 +171,8 @@ SQL = {
     "q11_digests_of": _CTE + "SELECT rel, digest FROM tree WHERE rel IN (SELECT rel FROM manifest)",
     "q12_presence": _CTE + "SELECT rel, rel IN (SELECT rel FROM tree) AS present FROM manifest",
     "q13_shadowed": _CTE + "SELECT p.name, p.scope, p.path, g.path AS winner FROM targets p JOIN targets g ON g.name = p.name AND g.scope = 'global' AND p.scope = 'project' AND g.path <> p.path",
-    "q14_install_actions": _CTE + """SELECT doc_id AS rel, 'copy' AS action FROM documents WHERE doc_id % 3 <> 0
-UNION ALL SELECT rel, 'delete' FROM manifest WHERE rel % 3 = 0 AND rel IN (SELECT rel FROM tree)""",
+    "q14_install_actions": _CTE + """SELECT rel, 'copy' AS action FROM files
+UNION ALL SELECT rel, 'delete' FROM manifest WHERE rel NOT IN (SELECT rel FROM files) AND rel IN (SELECT rel FROM tree)""",
     "q15_install_verdict": _CTE + "SELECT CASE WHEN count(*) > 0 THEN 'refused' ELSE 'installed' END AS state, CAST(CASE WHEN count(*) > 0 THEN 2 ELSE 0 END AS INT) AS exit_code, count(*) AS n FROM drift",
     "q16_uninstall_verdict": _CTE + "SELECT 'removed' AS state, 0 AS exit_code, count(*) AS n FROM drift",
     "q17_labels": _CTE + "SELECT CAST(rel AS VARCHAR) || CASE WHEN kind = 'deleted' THEN ' (deleted)' ELSE '' END AS label FROM drift",

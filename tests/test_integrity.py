@@ -107,6 +107,7 @@ def test_targets_and_maps(spark):
     assert [r["path"] for r in integrity.shadowed(t).collect()] == ["/p"]
     m = manifest_rows(spark, parse_manifest('{"files": {"a": "1", "b": "2"}}'))
     assert {tuple(r) for r in integrity.rows_of(integrity.as_maps(m)).collect()} == {("a", "1"), ("b", "2")}
+    assert {tuple(r) for r in integrity.rows_of(integrity.as_maps(m, 1)).collect()} == {("a", "1"), ("b", "2")}
 
 
 def test_stream_of_edits(spark, tmp_path):
