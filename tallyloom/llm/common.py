@@ -102,6 +102,8 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 _BYTE = seeded(11, 256) | np.uint64(1)
+#: The same with the factors of a-z for A-Z.
+_FOLDED = _BYTE[LOWER]
 _BASE = 0x5851F42D4C957F2D
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _POWERS: dict[str, np.ndarray] = {}
@@ -174,7 +176,7 @@ def words(data: np.ndarray, rows: np.ndarray, gap: np.ndarray = SPACE) -> tuple[
     after[inner - 1] = True
     ends = np.flatnonzero(after & ~out) + 1
     sums = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum(_BYTE[LOWER[data]] * _powers(_BASE, n), out=sums[1:])
+    np.cumsum(_FOLDED[data] * _powers(_BASE, n), out=sums[1:])
     hashes = (sums[ends] - sums[starts]) * _powers(_INVERSE, n)[starts]
     hashes = mix64(hashes + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
     return hashes, starts, ends, np.searchsorted(starts, rows)
@@ -212,15 +214,24 @@ def char_shingles(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, width:
     """
     n = len(data)
     sums = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum(_BYTE[LOWER[data]] * _powers(_BASE, n), out=sums[1:])
-    at = np.append(np.flatnonzero((data & 0xC0) != 0x80), n)
-    lo, hi = np.searchsorted(at, starts), np.searchsorted(at, ends)
+    np.cumsum(_FOLDED[data] * _powers(_BASE, n), out=sums[1:])
+    inverse = _powers(_INVERSE, n + 1)
+    if n and data.max() >= 0x80:
+        at = np.append(np.flatnonzero((data & 0xC0) != 0x80), n)
+        lo, hi = np.searchsorted(at, starts), np.searchsorted(at, ends)
+        at_sums, at_inverse = sums[at], inverse[at]
+    else:
+        lo, hi, at_sums, at_inverse = starts, ends, sums, inverse
+    # one hash for each character of data that width - 1 others follow, of which the pieces take theirs
+    run = at_sums[width:] - at_sums[:-width]
+    run *= at_inverse[: len(run)]
     many = np.maximum(hi - lo - width + 1, 1)
     first = np.concatenate([[0], np.cumsum(many)])
-    i = np.arange(first[-1]) - np.repeat(first[:-1] - lo, many)
-    a = at[i]
-    b = np.minimum(at[np.minimum(i + width, len(at) - 1)], np.repeat(ends, many))
-    return mix64((sums[b] - sums[a]) * _powers(_INVERSE, n + 1)[a]), first
+    at = np.arange(first[-1]) - np.repeat(first[:-1] - lo, many)
+    short = np.flatnonzero(hi - lo < width)
+    out = run.take(at, mode="clip") if len(run) else np.zeros(len(at), dtype=np.uint64)
+    out[first[short]] = (sums[ends[short]] - sums[starts[short]]) * inverse[starts[short]]
+    return mix64(out), first
 
 
 def list_column(values: np.ndarray, offsets: np.ndarray, kind: pa.DataType) -> pa.Array:
