@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,10 +12,8 @@ from pyspark.sql import functions as F
 
 from .common import cut, discard
 
-
-def _print_of(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
-    return row["n"], row["x"]
+#: Links that a task contracts at a time.
+LINKS = 1 << 19
 
 
 def roots_of(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -36,35 +35,42 @@ def roots_of(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        u, r = roots_of(batch.column(0).to_numpy(), batch.column(1).to_numpy())
-        far = u != r
-        yield pa.RecordBatch.from_arrays([pa.array(u[far]), pa.array(r[far])], ["u", "v"])
+    held, n = [], 0
+    for batch in itertools.chain(batches, [None]):
+        if batch is not None:
+            held.append(batch)
+            n += batch.num_rows
+        if n >= LINKS or (batch is None and n):
+            a, b = (np.concatenate([x.column(k).to_numpy() for x in held]) for k in range(2))
+            held, n = [], 0
+            u, r = roots_of(a, b)
+            far = u != r
+            yield pa.RecordBatch.from_arrays([pa.array(u[far]), pa.array(r[far])], ["u", "v"])
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(id, component) of every vertex of edges (a, b); component is the smallest id reachable.
 
-    Each round contracts the links of each Arrow batch to stars, brings the stars of a vertex
-    together (at most one a batch), links their centres to the least of them, and lets every vertex point to the
-    centre of its centre. Links always point to a smaller id, so a vertex has as many links here as batches held it, never
-    as it has neighbours. Only a count and a checksum of the links reach the driver. The result is a table in the shared folder. Null ends and loops
-    are ignored; an empty input gives an empty result.
+    Each round contracts LINKS links of a task at a time to stars, brings the stars of a vertex
+    together (at most one of each such lot), links their centres to the least of them, and lets every vertex point to the
+    centre of its centre. Links always point to a smaller id, so a vertex has as many links here as lots held it, never
+    as it has neighbours. It ends once every vertex has one centre and no centre has another. Only that answer reaches
+    the driver. The result is a table in the shared folder. Null ends and loops are ignored; an empty input gives an empty result.
     """
     e = edges.filter("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-    last, before = None, None
+    before = None
     for _ in range(most_rounds):
         stars = e.mapInArrow(_contract, "u long, v long").distinct()
-        least = F.min("v").over(Window.partitionBy("u"))
-        links = stars.select(F.when(F.col("v") == least, F.col("u")).otherwise(F.col("v")).alias("u"), least.alias("v"))
-        links = cut(links)
-        discard(before)
-        before, now = links, _print_of(links)
-        if now == last or now[0] == 0:
-            break
-        last = now
+        own = Window.partitionBy("u")
+        least = F.min("v").over(own)
+        links = cut(stars.select(F.when(F.col("v") == least, F.col("u")).otherwise(F.col("v")).alias("u"), least.alias("v"), (F.max("v").over(own) > least).alias("several")))
         up = links.groupBy("u").agg(F.min("v").alias("top")).withColumnRenamed("u", "c")
-        e = links.join(up, links["v"] == up["c"], "left").select("u", F.coalesce("top", "v").alias("v"))
+        jumped = links.join(up, links["v"] == up["c"], "left")
+        now = cut(jumped.select("u", F.coalesce("top", "v").alias("v"), (F.col("several") | F.col("top").isNotNull()).alias("open")))
+        discard(before, links)
+        before, e = now, now.select("u", "v")
+        if now.filter("open").isEmpty():
+            break
     else:
         raise RuntimeError("components did not settle")
     ends = F.explode(F.array(F.struct(F.col("u").alias("id"), F.col("v").alias("component")), F.struct(F.col("v").alias("id"), F.col("v").alias("component")))).alias("x")
