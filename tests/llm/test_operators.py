@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import os
+import random
 import re
 
 import numpy as np
@@ -14,6 +15,7 @@ import corpus_pipeline
 from tallyloom.llm import common
 from tallyloom.llm.common import words
 from tallyloom.llm.candidates import exact_test, group_links, shared_members, spread
+from tallyloom.llm.components import components
 from tallyloom.llm.decontaminate import contamination, drop_contaminated
 from tallyloom.llm.embedding_dedup import near_vectors
 from tallyloom.llm.license_scan import license_places
@@ -483,3 +485,25 @@ def test_pipeline_against_brute_force(spark, docs, tmp_path):
     for name in ("labels", "benchmark"):
         common.table(spark, d, name).write.parquet(f"{empty}/{name}.parquet")
     assert corpus_pipeline.run(spark, empty).count() == 0
+
+
+@pytest.mark.parametrize("lots", [1, 24])
+def test_components_against_union_find(spark, lots):
+    random.seed(lots)
+    links = [(k, k + 1) for k in range(100, 140)] + [(500, 500 + k) for k in range(60)] + [(random.randrange(1000, 1400), random.randrange(1000, 1400)) for _ in range(250)]
+    links += links[:20] + [(None, 7), (8, None), (9, 9)]
+    random.shuffle(links)
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        if a is not None and b is not None and a != b:
+            a, b = sorted((find(a), find(b)))
+            root[b] = a
+    got = components(spark.createDataFrame(links, "a long, b long").repartition(lots)).collect()
+    assert sorted(map(tuple, got)) == sorted((x, find(x)) for x in root)
+    assert components(spark.createDataFrame([], "a long, b long")).collect() == []
