@@ -152,10 +152,10 @@ def text_slices(batch: pa.RecordBatch, column: int, limit: int = SLICE_BYTES) ->
         a = b
 
 
-def words(data: np.ndarray, rows: np.ndarray, gap: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def words(data: np.ndarray, rows: np.ndarray, gap: np.ndarray = SPACE, fold: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(64-bit hash, first byte, end byte) of every word and, per row, the index of its first word.
 
-    Words are maximal runs of bytes outside gap, A-Z lower-cased; they never cross rows. The hash
+    Words are maximal runs of bytes outside gap, A-Z lower-cased if fold; they never cross rows. The hash
     is a polynomial over random byte values, read off one running sum, so no word is looked at twice.
     """
     n = len(data)
@@ -176,7 +176,7 @@ def words(data: np.ndarray, rows: np.ndarray, gap: np.ndarray = SPACE) -> tuple[
     after[inner - 1] = True
     ends = np.flatnonzero(after & ~out) + 1
     sums = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum(_FOLDED[data] * _powers(_BASE, n), out=sums[1:])
+    np.cumsum((_FOLDED if fold else _BYTE)[data] * _powers(_BASE, n), out=sums[1:])
     hashes = (sums[ends] - sums[starts]) * _powers(_INVERSE, n)[starts]
     hashes = mix64(hashes + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
     return hashes, starts, ends, np.searchsorted(starts, rows)

@@ -114,6 +114,27 @@ FROM e GROUP BY conv_id
 """
 
 
+OP12 = r"""
+WITH u AS (
+  SELECT page_id, url, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+h AS (
+  SELECT page_id, strpos(url, '://') > 0 AS whole, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path, string_split(regexp_extract(rest, '^[^?#]*[?]([^#]*)', 1), '&') AS given FROM u),
+c AS (
+  SELECT page_id, host, path, row_number() OVER () AS r,
+    CASE WHEN whole THEN regexp_replace(regexp_replace(regexp_replace(host, '^.*@', ''), '[.]*(:80|:443)?$', ''), '^www[.]', '') || regexp_replace(path, '/+(index[.]html?)?$', '')
+      || coalesce('?' || nullif(array_to_string(list_sort(list_filter(given, lambda x: x <> '' AND NOT starts_with(x, 'utm_'))), '&'), ''), '') END AS canonical
+  FROM h),
+listed AS (SELECT DISTINCT canonical AS name FROM c WHERE canonical IS NOT NULL AND regexp_matches(host, '(^|[.-])(ads|adult|bets|casino|pills|spam)([.-]|$)')),
+rules(h, p, v) AS (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
+best AS (
+  SELECT c.r, h || p AS rule, v FROM c JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)
+  QUALIFY row_number() OVER (PARTITION BY c.r ORDER BY length(h) + length(p) DESC) = 1)
+SELECT page_id, host, path, canonical, rule, coalesce(v, CASE WHEN name IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict
+FROM c LEFT JOIN best USING (r) LEFT JOIN listed ON name = canonical
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_pareto_mixing": OP1,
@@ -121,4 +142,5 @@ def oracle_sql() -> dict[str, str]:
         "op7_minhash_near_dedup": OP7,
         "op8_cross_polytope": OP8,
         "op9_preference_format": OP9,
+        "op12_url_filter": OP12,
     }
