@@ -7,35 +7,61 @@ gives empty results.
 from __future__ import annotations
 
 import functools
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.front_matter import read_front, split_front
+from ..functions.markdown import resolved, targets
 from ..functions.paths import basename
 
 ENTRY = "SKILL.md"
-FRONT = r"\A\x{FEFF}?---[ \t]*\r?\n((?s:.*?\n)?)---[ \t]*(?:\r?\n|\z)"
-NAME = r"""(?m)^name:[ \t]*["']?([^"'\r\n]*?)["']?[ \t]*\r?$"""
-#: What a line of front matter may be: blank, a comment, an item of a list, indented under one, or a key. A plain value, one that
-#: no quote, bracket or block mark begins, holds no colon before a space or the end.
-FRONT_LINE = r"""^(\s*|#.*|-(\s.*)?|\s+\S.*|[^\s:#][^:]*:(\s+(["'\[{|>&*!#].*|(?!.*:(\s|$)).*))?)$"""
-KEY = r"(?m)^([^\s:#-][^:\r\n]*):"
-DESCRIPTION = r"(?m)^description:[ \t]*((?:.*)(?:\n[ \t]+.*)*)"
-FENCED = r"(?ms)^ {0,3}(```|~~~).*?(?:^ {0,3}\1[`~]*[ \t]*\r?$|\z)"
-CODE = r"(?s)(?<!`)(`+)(?!`).+?(?<!`)\1(?!`)"
-#: A link's target, or that of a reference's definition: in angle brackets, or without spaces and with balanced brackets.
-LINK = r"(?:\]\(\s*|(?m:^) {0,3}\[[^\]\n]+\]:[ \t]*)(?:<([^<>\n]*)>|((?:[^\s()<>]|\([^\s()]*\))+))"
-SCHEME = r"^([A-Za-z][A-Za-z0-9+.-]*:|//)"
 
 
-def _text() -> Column:
-    return F.col("content").cast("string")
+def _text(cell: bytes | None) -> str:
+    return (cell or b"").decode(errors="replace")
 
 
-def _front() -> Column:
-    """The lines between the fences at the start of the text; null without both fences."""
-    return F.when(F.regexp_like(_text(), F.lit(FRONT)), F.regexp_extract(_text(), FRONT, 1))
+_CELLS = pa.list_(pa.struct([("key", pa.string()), ("value", pa.string())]))
+
+
+def _with_front(files: DataFrame) -> DataFrame:
+    """files with fenced, reason, entries and body in place of content, whose place is last."""
+    kept = len(files.columns) - 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fenced, reasons, cells, bodies = [], [], [], []
+            for content in batch.column(kept):
+                front, body = split_front(_text(content.as_py()))
+                entries, reason = read_front(front) if front is not None else ([], "no front matter between two fences")
+                fenced.append(front is not None)
+                reasons.append(reason)
+                cells.append([{"key": key, "value": " ".join(value.split())} for key, value in entries])
+                bodies.append(body)
+            made = [pa.array(fenced, pa.bool_()), pa.array(reasons, pa.string()), pa.array(cells, _CELLS), pa.array(bodies, pa.large_string())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(kept)), *made], [*batch.schema.names[:kept], "fenced", "reason", "entries", "body"])
+
+    had = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in files.schema.fields[:kept])
+    return files.mapInArrow(run, f"{had}, fenced boolean, reason string, entries array<struct<key:string,value:string>>, body string")
+
+
+def front_matter(tree: DataFrame, entry: str = ENTRY) -> DataFrame:
+    """(rel, fenced, reason, entries (key, value), body) of the entry files that have a content.
+
+    fenced: front matter stands between two fences at the start, after a byte-order mark or not. entries are its keys at the top, as
+    far as they can be read, with their scalars in one line (empty for lists and the like); reason says why the rest can't be
+    read, or is null. body is what follows, or the whole text without fences.
+    """
+    found = tree.filter((basename(F.col("rel")) == entry) & F.col("content").isNotNull())
+    return _with_front(found.select(F.col("rel").cast("string"), F.col("content").cast("binary").alias("content")))
+
+
+def _value(key: str) -> Column:
+    """The scalar of a key at the top; null without that key."""
+    return F.get(F.filter("entries", lambda x: x["key"] == key), F.lit(0)).getField("value")
 
 
 def byte_order_marks(tree: DataFrame) -> DataFrame:
@@ -54,42 +80,38 @@ def mismatched_names(tree: DataFrame, entry: str = ENTRY) -> DataFrame:
 
     Files at the top have no folder to compare with, and files without a name are left to other rules.
     """
-    parts = F.split("rel", "/")
-    found = tree.filter(basename(F.col("rel")) == entry).select("rel", F.regexp_extract(_front(), NAME, 1).alias("name"), F.get(parts, F.size(parts) - 2).alias("folder"))
-    return found.filter("name <> '' and name <> folder")
+    return _named(front_matter(tree, entry))
 
 
-def unreadable_front_matter(tree: DataFrame, entry: str = ENTRY) -> DataFrame:
-    """(rel): entry files without both fences, or with a line between them that is no key, item, comment or continuation."""
-    found = tree.filter((basename(F.col("rel")) == entry) & F.col("content").isNotNull())
-    odd = F.exists(F.split(_front(), r"\r?\n"), lambda x: ~F.regexp_like(x, F.lit(FRONT_LINE)))
-    return found.filter(F.coalesce(odd, F.lit(True))).select("rel")
+def _named(parsed: DataFrame) -> DataFrame:
+    parts = F.split("rel", "/")
+    return parsed.select("rel", _value("name").alias("name"), F.get(parts, F.size(parts) - 2).alias("folder")).filter("name <> '' and name <> folder")
 
 
-def _resolved(parts: Column) -> Column:
-    """The path of parts without `.` and `..`; a `..` above the root stays, so it names no file."""
-    climbs = lambda seen: (F.size(seen) > 0) & (F.element_at(F.concat(F.array(F.lit("")), seen), -1) != "..")
+def unreadable_front_matter(tree: DataFrame, entry: str = ENTRY) -> DataFrame:
+    """(rel): entry files without both fences, or whose front matter is beyond the YAML subset of `functions.front_matter`."""
+    return front_matter(tree, entry).filter("reason is not null").select("rel")
 
-    def step(seen: Column, x: Column) -> Column:
-        back = F.when(climbs(seen), F.slice(seen, 1, F.greatest(F.size(seen) - 1, F.lit(0)))).otherwise(F.concat(seen, F.array(x)))
-        return F.when(x.isin("", "."), seen).when(x == "..", back).otherwise(F.concat(seen, F.array(x)))
 
-    return F.array_join(F.aggregate(parts, F.array().cast("array<string>"), step), "/")
+def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for k in range(batch.num_rows):
+            rel = batch.column(0)[k].as_py()
+            found = [y for x in targets(_text(batch.column(1)[k].as_py())) if (y := resolved(rel or "", x)) is not None]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([rel] * len(found), pa.string()), pa.array(found, pa.string())], ["rel", "target"])
 
 
 def links(tree: DataFrame) -> DataFrame:
     """(rel, target): each Markdown link of a file to another file of the tree, resolved from the file's folder.
 
     Inline links, in angle brackets or plain, and definitions of references count; code does not. `#...` is cut off and
-    percent signs are decoded. Links to other sites and to a place in the same file are left out.
+    percent signs are decoded. Links to other sites and to a place in the same file are left out. Texts without `](` and `]:` are passed
+    over before they reach the scanner; the others are read in one pass, in time that follows their length.
     """
-    prose = F.regexp_replace(F.regexp_replace(_text(), FENCED, ""), CODE, "")
-    found = F.zip_with(F.regexp_extract_all(prose, F.lit(LINK), F.lit(1)), F.regexp_extract_all(prose, F.lit(LINK), F.lit(2)), lambda a, b: F.concat(a, b))
-    found = tree.select("rel", F.explode(found).alias("to")).filter(~F.regexp_like("to", F.lit(SCHEME))).select("rel", F.regexp_replace("to", "#.*$", "").alias("to")).filter("to <> ''")
-    found = found.select("rel", F.coalesce(F.try_url_decode(F.replace("to", F.lit("+"), F.lit("%2B"))), "to").alias("to"))
-    parts = F.split("rel", "/")
-    folder = F.when(F.startswith("to", F.lit("/")), F.array().cast("array<string>")).otherwise(F.slice(parts, 1, F.size(parts) - 1))
-    return found.select("rel", _resolved(F.concat(folder, F.split("to", "/"))).alias("target"))
+    text = F.col("content").cast("binary")
+    some = tree.filter(F.contains(text, F.lit(b"](")) | F.contains(text, F.lit(b"]:")))
+    return some.select(F.col("rel").cast("string"), text).mapInArrow(_linked, "rel string, target string")
 
 
 def broken_links(tree: DataFrame) -> DataFrame:
@@ -111,36 +133,74 @@ def description_lengths(tree: DataFrame, most: int, entry: str = ENTRY) -> DataF
 
     Quotes and block marks around it don't count, and a description over several lines is one of single spaces.
     """
-    said = F.regexp_replace(F.regexp_extract(_front(), DESCRIPTION, 1), r"""^[>|][+-]?\s*|^["']|["']\s*$""", "")
-    length = F.length(F.trim(F.regexp_replace(said, r"\s+", " "))).cast("long")
-    found = tree.filter(basename(F.col("rel")) == entry).select("rel", _front().alias("front"), length.alias("length"))
-    return found.filter(F.col("front").isNotNull() & ((F.col("length") == 0) | (F.col("length") > most))).select("rel", "length")
+    return _described(front_matter(tree, entry), most)
+
+
+def _described(parsed: DataFrame, most: int) -> DataFrame:
+    length = F.coalesce(F.length(_value("description")), F.lit(0)).cast("long")
+    return parsed.filter("fenced").select("rel", length.alias("length")).filter((F.col("length") == 0) | (F.col("length") > most))
 
 
 def unknown_keys(tree: DataFrame, allowed: Sequence[str], entry: str = ENTRY) -> DataFrame:
     """(rel, key): keys at the top of an entry file's front matter that are not allowed."""
-    keys = F.transform(F.regexp_extract_all(_front(), F.lit(KEY), F.lit(1)), F.trim)
-    other = F.array_except(keys, F.array(*map(F.lit, allowed)) if allowed else F.array().cast("array<string>"))
-    return tree.filter(basename(F.col("rel")) == entry).select("rel", F.explode(other).alias("key"))
+    return _unknown(front_matter(tree, entry), allowed)
+
+
+def _unknown(parsed: DataFrame, allowed: Sequence[str]) -> DataFrame:
+    other = F.array_except(F.transform("entries", lambda x: x["key"]), F.array(*map(F.lit, allowed)) if allowed else F.array().cast("array<string>"))
+    return parsed.select("rel", F.explode(other).alias("key"))
 
 
 def long_bodies(tree: DataFrame, most: int = 5000, characters: float = 4.0, entry: str = ENTRY) -> DataFrame:
     """(rel, tokens): entry files whose text after the front matter has more than `most` tokens, of so many characters each."""
-    body = F.regexp_replace(_text(), FRONT, "")
-    tokens = F.ceil(F.length(body) / characters).cast("long")
-    return tree.filter((basename(F.col("rel")) == entry) & _front().isNotNull()).select("rel", tokens.alias("tokens")).filter(F.col("tokens") > most)
+    tokens = F.ceil(F.length("body") / characters).cast("long")
+    return front_matter(tree, entry).filter("fenced").select("rel", tokens.alias("tokens")).filter(F.col("tokens") > most)
 
 
 def doctor(tree: DataFrame, most: int | None = None, allowed: Sequence[str] | None = None, entry: str = ENTRY) -> DataFrame:
     """(rel, cause): why an entry file may not load, all rules in one report; description and keys only where limits are given."""
-    found = [(byte_order_marks(tree), "byte-order mark"), (wrong_case(tree, entry), "wrong case"), (mismatched_names(tree, entry), "name is not its folder"), (unreadable_front_matter(tree, entry), "unreadable front matter")]
+    parsed = front_matter(tree, entry)
+    found = [(byte_order_marks(tree), "byte-order mark"), (wrong_case(tree, entry), "wrong case"), (_named(parsed), "name is not its folder"), (parsed.filter("reason is not null"), "unreadable front matter")]
     if most is not None:
-        found.append((description_lengths(tree, most, entry), "description"))
+        found.append((_described(parsed, most), "description"))
     if allowed is not None:
-        found.append((unknown_keys(tree, allowed, entry).select("rel").distinct(), "unknown key"))
+        found.append((_unknown(parsed, allowed).select("rel").distinct(), "unknown key"))
     return functools.reduce(DataFrame.unionByName, [df.select("rel", F.lit(cause).alias("cause")) for df, cause in found])
 
 
+def doctor_roots(trees: DataFrame, roots: DataFrame, most: int, allowed: Sequence[str], entry: str = ENTRY) -> DataFrame:
+    """(root, rank, name, rel, cause, loads, winner): every discovery root, what is in it, why it may not load and which copy wins.
+
+    trees (root, rel, content) is the union of the scans of all roots, roots (root, rank) names them; a smaller rank comes first.
+    A package is a folder at the top of a root, its entry file the one directly in it that is called like `entry` but for
+    upper and lower case. A copy has a row for each cause (rel is null where there is no entry file) or one with a null cause; it
+    loads without any. winner is the root of the first copy of its name that loads, null where none does, so a copy that is
+    skipped hides no other. A root without packages has one row of nulls; files at the top are no packages. Names and causes of each
+    file are found in one pass over the texts.
+    """
+    parts = F.split("rel", "/")
+    inside = trees.filter(F.size(parts) > 1).select("root", F.get(parts, F.lit(0)).alias("name"), "rel", "content")
+    base = F.lower(F.substring("rel", F.length("name") + 2, F.length("rel")))
+    entries = inside.filter(base == entry.lower())
+    copies = inside.select("root", "name").distinct()
+    text = F.col("content").cast("binary")
+    marked = F.coalesce(F.substring(text, 1, 3) == F.lit(b"\xef\xbb\xbf"), F.lit(False))
+    judged = _with_front(entries.select("root", "name", "rel", basename(F.col("rel")).alias("base"), marked.alias("marked"), text.alias("content")))
+    length = F.coalesce(F.length(_value("description")), F.lit(0))
+    other = F.array_except(F.transform("entries", lambda x: x["key"]), F.array(*map(F.lit, allowed)) if allowed else F.array().cast("array<string>"))
+    rules = [
+        (F.col("base") != entry, "wrong case"), (F.col("marked"), "byte-order mark"), (F.col("reason").isNotNull(), "unreadable front matter"),
+        ((_value("name") != "") & (_value("name") != F.col("name")), "name is not its folder"), (F.col("fenced") & ((length == 0) | (length > most)), "description"), (F.size(other) > 0, "unknown key"),
+    ]
+    causes = F.array_compact(F.array(*[F.when(rule, F.lit(cause)) for rule, cause in rules]))
+    known = copies.join(judged.select("root", "name", "rel", causes.alias("causes")), ["root", "name"], "left")
+    known = known.withColumn("causes", F.coalesce("causes", F.array(F.lit("no entry file"))))
+    every = roots.select("root", "rank").join(known, "root", "left").withColumn("loads", F.size("causes") == 0)
+    first = Window.partitionBy("name").orderBy("rank", "root", "rel")
+    best = every.filter("loads").withColumn("r", F.row_number().over(first)).filter("r = 1").select("name", F.col("root").alias("winner"))
+    return every.join(best, "name", "left").select("root", "rank", "name", "rel", F.explode_outer("causes").alias("cause"), "loads", "winner")
+
+
 def trigger_sets(evals: DataFrame, least: int = 8, most: int = 10) -> DataFrame:
     """(name, positive, near_miss, enough) of each name in evals (name, triggers): whether both counts are in bounds."""
     out = evals.groupBy("name").agg(F.count_if("triggers").alias("positive"), F.count_if(~F.col("triggers")).alias("near_miss"))

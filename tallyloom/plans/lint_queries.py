@@ -39,6 +39,31 @@ def _linked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "documents").select(rel.alias("rel"), F.concat_ws("\n", text, "text").alias("content"))
 
 
+ROOTS = ["global", "project", "team", "none"]
+
+
+def _rooted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document as a package of one of three discovery roots; three documents share a name. Some have no entry file or one
+    of the faults of _entries, or an open quote."""
+    d = F.col("doc_id")
+    mark = F.when(d % 13 == 0, "\ufeff").otherwise("")
+    name = F.concat(F.lit("p"), F.floor(d / 3).cast("string"))
+    file = F.when(d % 5 == 0, "skill.md").when(d % 5 == 1, "notes.md").otherwise("SKILL.md")
+    said = F.concat(F.when(d % 23 == 0, '"').otherwise(""), F.repeat(F.concat("source", F.lit(" ")), (d % 200).cast("int")))
+    further = F.when(d % 19 == 0, "license: mit\n").otherwise("")
+    fence = F.when(d % 17 == 0, "").otherwise("---\n")
+    return _table(spark, sf_dir, "documents").select(
+        F.element_at(F.array(*map(F.lit, ROOTS)), (d % 3 + 1).cast("int")).alias("root"),
+        F.concat(name, F.lit("/"), file).alias("rel"),
+        F.concat(mark, F.lit("---\nname: "), F.when(d % 7 == 0, F.col("lang")).otherwise(name), F.lit("\ndescription: "), said, F.lit("\n"), further, fence, F.col("text")).alias("content"),
+    )
+
+
+def q37_doctor_roots(spark, sf_dir):
+    roots = spark.createDataFrame([(x, k) for k, x in enumerate(ROOTS)], "root string, rank int")
+    return lint.doctor_roots(_rooted(spark, sf_dir), roots, 1024, ["name", "description"])
+
+
 def q19_byte_order_marks(spark, sf_dir):
     return lint.byte_order_marks(_entries(spark, sf_dir))
 
@@ -122,7 +147,27 @@ _UNREAD = "SELECT rel FROM skills WHERE NOT fenced"
 _SHORT = "SELECT rel, length FROM described WHERE length = 0 OR length > 1024"
 _OTHER = "SELECT rel, key FROM keys WHERE key NOT IN ('name', 'description')"
 
+_ROOTED = """WITH made AS (
+  SELECT ['global', 'project', 'team'][doc_id % 3 + 1] AS root, CAST(doc_id % 3 AS INT) AS rank, 'p' || doc_id // 3 AS name,
+    CASE doc_id % 5 WHEN 0 THEN 'skill.md' WHEN 1 THEN 'notes.md' ELSE 'SKILL.md' END AS base, doc_id AS d, lang,
+    CASE WHEN doc_id % 23 = 0 THEN 0 ELSE length(rtrim(repeat(source || ' ', doc_id % 200))) END AS said
+  FROM documents),
+judged AS (
+  SELECT *, CASE WHEN base = 'notes.md' THEN ['no entry file'] ELSE list_filter([
+      CASE WHEN base <> 'SKILL.md' THEN 'wrong case' END, CASE WHEN d % 13 = 0 THEN 'byte-order mark' END,
+      CASE WHEN d % 17 = 0 OR d % 23 = 0 THEN 'unreadable front matter' END,
+      CASE WHEN d % 17 <> 0 AND d % 7 = 0 THEN 'name is not its folder' END,
+      CASE WHEN d % 17 <> 0 AND (said = 0 OR said > 1024) THEN 'description' END,
+      CASE WHEN d % 17 <> 0 AND d % 23 <> 0 AND d % 19 = 0 THEN 'unknown key' END], lambda x: x IS NOT NULL) END AS causes
+  FROM made),
+best AS (SELECT name, arg_min(root, rank) AS winner FROM judged WHERE len(causes) = 0 GROUP BY name)
+SELECT root, rank, name, CASE WHEN base <> 'notes.md' THEN name || '/' || base END AS rel, unnest(CASE WHEN len(causes) = 0 THEN [NULL] ELSE causes END) AS cause,
+  len(causes) = 0 AS loads, winner FROM judged LEFT JOIN best USING (name)
+UNION ALL SELECT 'none', 3, NULL, NULL, NULL, NULL, NULL
+"""
+
 SQL = {
+    "q37_doctor_roots": _ROOTED,
     "q33_long_bodies": _ENTRIES + "SELECT rel, CAST(ceil(length(body) / 4.0) AS BIGINT) AS tokens FROM skills WHERE fenced AND ceil(length(body) / 4.0) > 500",
     "q34_descriptions": _ENTRIES + _SHORT,
     "q35_unknown_keys": _ENTRIES + _OTHER,

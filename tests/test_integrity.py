@@ -8,6 +8,7 @@ from tallyloom.functions import paths
 from tallyloom.operators import integrity
 from tallyloom.plans import commands, queries, verdicts
 from tallyloom.sources.manifest import manifest_rows, parse_manifest
+from tallyloom.sources import tree as tree_source
 from tallyloom.sources.tree import read_tree
 from tallyloom.streaming.drift import arriving_edits
 
@@ -32,6 +33,24 @@ def test_tree_lists_what_file_sources_drop(spark, tree):
     assert read_tree(spark, str(tree / "missing")).count() == 0
 
 
+def test_tree_is_listed_by_level(spark, tmp_path, monkeypatch):
+    want = {}
+    for k in range(60):
+        rel = "/".join(f"d{k % m}" for m in range(1, 1 + k % 7)) + f"/f{k}"
+        (tmp_path / rel.lstrip("/")).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / rel.lstrip("/")).write_bytes(b"x" * (k * 50))
+        want[rel.lstrip("/")] = k * 50
+    os.symlink(tmp_path / "d0", tmp_path / "link")
+    monkeypatch.setattr(tree_source, "PACK_BYTES", 5000)
+    monkeypatch.setattr(tree_source, "BATCH_BYTES", 500)
+    rows = {r["rel"]: r["content"] for r in read_tree(spark, str(tmp_path)).collect()}
+    assert rows.pop("link") is None and {k: len(v) for k, v in rows.items()} == want
+    listed = {r["rel"]: r["bytes"] for r in tree_source.list_tree(spark, str(tmp_path), only=["d0"]).collect()}
+    assert listed == {k: n for k, n in want.items() if k.startswith("d0/")}
+    both = tree_source.scan_roots(spark, {"x": str(tmp_path / "d0"), "y": str(tmp_path / "gone")})
+    assert both.count() == len(listed) and {r["root"] for r in both.collect()} == {"x"}
+
+
 @pytest.mark.parametrize("text", ["", "null", "[]", '"s"', "{'a': 1}", "{} x", "﻿{}", '{"a": NaN}'])
 def test_unreadable_manifests(text):
     assert parse_manifest(text) is None

@@ -1,6 +1,10 @@
+import time
+
 import duckdb
 import pytest
 
+from tallyloom.functions import markdown
+from tallyloom.functions.front_matter import read_front
 from tallyloom.operators import lint
 from tallyloom.plans import lint_queries
 
@@ -92,3 +96,81 @@ def test_queries_equal_their_sql(spark, name):
     df = lint_queries.queries()[name](spark, DATA)
     assert sorted(df.columns) == sorted(cols)
     assert sorted(map(str, map(tuple, df.select(*cols).collect()))) == sorted(map(str, cur.fetchall()))
+
+
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("![a](data:image/png;base64," + "A" * 5_000_000 + ") [x](e(1).md)", ["data:image/png;base64," + "A" * 5_000_000, "e(1).md"]),
+        ("[](" * 300_000, []),
+        ("[a](b" * 300_000, []),
+        ("](" * 500_000 + "[x](y)", ["y"]),
+        ("`` ` " * 300_000 + "[x](y)", ["y"]),
+        ("[a](" + "x/../" * 500_000 + "b.md)", ["x/../" * 500_000 + "b.md"]),
+        ("[" * 3_000_000, []),
+        ("[![i](a.png)](b.md) \\[n](x) [k](a b) [s]( c.md ) [t](d(1).md 'x') [u](e(f)g)[v](h) [w]((i)) []() [o](a(b", ["a.png", "b.md", "c.md", "d(1).md", "e(f)g", "h", "(i)"]),
+        ("[a]: <m n.md>\n  [b]: x 'title'\n    [c]: y\n~~~ x\n[d](e)\n~~\n~~~~\n`a\n[f](g)`\n\n`[h](i)", ["m n.md", "x", "i"]),
+    ],
+    ids=range(9),
+)
+def test_targets_in_linear_time(text, want):
+    began = time.time()
+    assert list(markdown.targets(text)) == want
+    assert time.time() - began < 30
+
+
+def test_huge_links_and_descriptions(spark):
+    far = "x/../" * 1_000_000 + "b.md"
+    rows = [
+        ("k/SKILL.md", "---\nname: k\ndescription: a\n" + "  more\n" * 20_000 + "---\n![a](data:image/png;base64," + "A" * 5_000_000 + f") [e](e(1).md) [f]({far})"),
+        ("k/e(1).md", "\ud7ff" * 100_000),
+        ("k/b.md", None),
+    ]
+    tree = spark.createDataFrame(rows, "rel string, content string")
+    assert got(lint.links(tree)) == {("k/SKILL.md", "k/e(1).md"), ("k/SKILL.md", "k/b.md")}
+    assert got(lint.description_lengths(tree, 1024)) == {("k/SKILL.md", 100_001)}
+    assert got(lint.doctor(tree, 1024, ["name", "description"])) == {("k/SKILL.md", "description")}
+    odd = spark.createDataFrame([("k/a.md", bytearray(b"\xff[x](y%zz.md) [z](%ff.md)"))], "rel string, content binary")
+    assert got(lint.links(odd)) == {("k/a.md", "k/y%zz.md"), ("k/a.md", "k/%ff.md")}
+
+
+UNREADABLE = [
+    'description: "abc', "name: [a, b", "\tname: a", "a: 1\na: 2", 'name: "a" b', "name: @x", "name: %x", "name: a\n  b: c", "- a: b: c", "name:x", 'a: "x\\qy"', "a: {b: [c}", "a:\n    b: 1\n  c: 2",
+    "a: |x\n  b", "? a", 'a: ["b" c]', "a: b\n c\nd", "a: *b c", "a: 'b", "a: [`b]", "a:\n\tb: 1", "a: b\n- c", "a: - b", "a: 'b'c", "a: ]", "a: b:", "[a", 'a: "b\nc"', "a:\n  b: 1\n  b: 2",
+]
+READABLE = [
+    "", "d: 'x: y'", "url: http://a.b/c", "t: 10:30", "d: >\n  folded: text\n\n  - more", "d: [a: b]", "d:", "l:\n  - a\n# note\nm: 1", "l:\n- a\n- b: c\n  d: e\n- - x\n  - y\nk: v", "a: {b: c, 'd': [1, 2]} # x",
+    "a: [x,\n  y]\nb: 1", "d: one\n  two\n\n  three", 'd: "one\n  two: \\" x"', "a: &x b\nc: *x", "a: !t b", "'q k': v", "d: a#b", "d: 'it''s: so'", "a:\n  b:\n    c: 1\n  d: 2\ne: 3", "x: -1", "d: |2-\n   a\n  b", "a: b # c: d", "a:   \n  b", "- a\n- b",
+]
+
+
+@pytest.mark.parametrize("text", UNREADABLE)
+def test_front_matter_that_no_parser_reads(text):
+    assert read_front(text)[1]
+
+
+@pytest.mark.parametrize("text", READABLE)
+def test_front_matter_that_parsers_read(text):
+    assert read_front(text)[1] is None
+
+
+def test_front_matter_scalars():
+    found, _ = read_front('name: a b # c\nd: >-\n  x\n  y\ne: "one\n  \\"two\\""\nf: \'it\'\'s\'\nl:\n  - z\ng: one\n  two\nh:\n  three\n  four')
+    assert [(k, " ".join(v.split())) for k, v in found] == [("name", "a b"), ("d", "x y"), ("e", 'one "two"'), ("f", "it's"), ("l", ""), ("g", "one two"), ("h", "three four")]
+
+
+def test_doctor_over_roots(spark):
+    said = "---\nname: {}\ndescription: d\n---\n"
+    rows = [
+        ("here", "a/SKILL.md", said.format("a")), ("here", "b/SKILL.md", "\ufeff" + said.format("c")), ("here", "b/docs/SKILL.md", "x"), ("here", "top.md", "x"), ("here", "d/x.md", None),
+        ("home", "a/SKILL.md", said.format("a")), ("home", "b/skill.md", None), ("home", "b/SKILL.md", said.format("b")), ("lost", "e/SKILL.md", said.format("e")),
+    ]
+    trees = spark.createDataFrame(rows, "root string, rel string, content string")
+    roots = spark.createDataFrame([("home", 0), ("here", 1), ("none", 2)], "root string, rank int")
+    want = {
+        ("home", 0, "a", "a/SKILL.md", None, True, "home"), ("here", 1, "a", "a/SKILL.md", None, True, "home"), ("here", 1, "b", "b/SKILL.md", "byte-order mark", False, "home"),
+        ("here", 1, "b", "b/SKILL.md", "name is not its folder", False, "home"), ("here", 1, "d", None, "no entry file", False, None), ("home", 0, "b", "b/skill.md", "wrong case", False, "home"),
+        ("home", 0, "b", "b/skill.md", "unreadable front matter", False, "home"), ("home", 0, "b", "b/SKILL.md", None, True, "home"), ("none", 2, None, None, None, None, None),
+    }
+    assert got(lint.doctor_roots(trees, roots, 10, ["name", "description"])) == want
+    assert got(lint.doctor_roots(trees.limit(0), roots, 10, [])) == {(r, k, None, None, None, None, None) for k, r in enumerate(["home", "here", "none"])}
