@@ -1,9 +1,11 @@
 """Links inside groups of any size: candidate buckets, clusters of likely links, and their exact comparison.
 
 A group of more than `block` members is dealt to blocks, each of which also gets a few hubs of its group. A
-group of near copies is so settled by its hubs, whatever its size. Only members that are then
-still apart from the largest component of their group meet the other blocks, so no link is
-lost and no group is ever in one task or expanded into all its pairs.
+group of near copies is so settled by its hubs, whatever its size. Large groups that hubs don't settle, as of texts made from one
+template, go on as they are to the exact comparison, where two sets meet only if they share one of their rarest elements: of n
+elements, two sets of the similarity wanted share one of the n - ceil(similarity * n) + 1 that come first in any common order, here by
+rarity. Only what then still is one large group of likely links, all with rare elements in common, has
+its blocks compared pair by pair, so no link is lost.
 """
 
 from __future__ import annotations
@@ -17,10 +19,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, discard, text_slices
+from .common import cut, discard, mix64, text_slices
 from .components import components, roots_of
 
 BLOCK, WEIGHT, HUBS, PAIRS = 1024, 2_000_000, 3, 1 << 20
+#: Counters of the table by which elements are told to be rare; the table has so many longs, whatever the input.
+COUNTERS = 1 << 18
 EDGES, SPREAD = "a long, b long", "place long, id long, key long, far boolean"
 
 
@@ -124,7 +128,8 @@ def settle(start: np.ndarray, size: np.ndarray, side: np.ndarray, label: np.ndar
     """The label of each row once every link that test confirms inside a group is joined.
 
     Rows with equal labels are known to be connected and are not tested. In a group with two sides
-    only pairs across them are. Each group is first compared with up to three of its rows.
+    only pairs across them are. Each group is first compared with up to three of its rows; what then is apart meets in
+    all pairs, or in those of test.near if it has that.
     """
     row, group = np.arange(len(label)), np.repeat(np.arange(len(start)), size)
     across = (np.maximum.reduceat(side, start) > np.minimum.reduceat(side, start))[group]
@@ -145,7 +150,7 @@ def settle(start: np.ndarray, size: np.ndarray, side: np.ndarray, label: np.ndar
         some = ((hub >= 0) & (hub < len(row)))[group]
         join(hub[group][some], row[some])
     left = np.maximum.reduceat(label, start) != np.minimum.reduceat(label, start)
-    for i, j in _pairs(size[left], start[left]):
+    for i, j in getattr(test, "near", _pairs)(size[left], start[left]):
         join(i, j)
     return label
 
@@ -173,18 +178,21 @@ def _solve(tests: Callable[[pa.RecordBatch], Callable[[np.ndarray, np.ndarray],
     return run
 
 
-def group_links(rows: DataFrame, tests: Callable, block: int = BLOCK, weight: int = WEIGHT) -> DataFrame:
+def group_links(rows: DataFrame, tests: Callable, block: int = BLOCK, weight: int = WEIGHT, rest: Callable | None = None) -> DataFrame:
     """(id, component) over the links inside the groups of rows (g, id, w, ...), w being the weight of a member.
 
     tests gets a batch of rows (g, block, id, c, side, ...) and gives a function that tells of rows i, j whether they
-    are linked. A block has at most about `block` members and `weight` weight, or one member.
-    Ids without a link are absent. rows is read several times and should be a table.
+    are linked. A block has at most about `block` members and `weight` weight, or one member. A column c of rows names components
+    that are known already; without it each member is its own. rest answers for the large groups that their hubs don't settle
+    (`_leftover`: all pairs of blocks). Ids without a link are absent. rows is read several times and should be a table.
     """
-    extra = [c for c in rows.columns if c not in ("g", "id", "w")]
+    extra = [c for c in rows.columns if c not in ("g", "id", "w", "c")]
     parts = F.ceil(F.greatest(F.col("n") / block, F.col("total") / weight)).cast("int")
     large = cut(rows.groupBy("g").agg(F.count("*").alias("n"), F.sum("w").alias("total")).filter((F.col("n") > 1) & ((F.col("n") > block) | (F.col("total") > weight))).select("g", parts.alias("blocks")))
     some = not large.isEmpty()
-    base = rows.withColumn("c", F.col("id"))
+    known = rows.filter("id <> c").select(F.col("id").alias("a"), F.col("c").alias("b")).distinct() if "c" in rows.columns else None
+    base = rows if known is not None else rows.withColumn("c", F.col("id"))
+    rows = rows.drop("c")
     if some:
         base = base.join(large, "g", "left")
         dealt = base.withColumn("block", F.coalesce(F.pmod(F.xxhash64("id"), F.col("blocks")), F.lit(0)).cast("int"))
@@ -197,16 +205,34 @@ def group_links(rows: DataFrame, tests: Callable, block: int = BLOCK, weight: in
     order = ["g", "block", "id", "c", "side", *extra]
     base = base.withColumn("side", F.lit(0)).select(order)
     links = base.repartition("g", "block").sortWithinPartitions("g", "block").mapInArrow(_solve(tests), EDGES)
-    comp = components(links)
+    comp = components(links if known is None else links.unionByName(known))
     if some:
-        comp = _leftover(rows, extra, large, comp, tests, block, weight)
+        comp = (rest or _leftover)(rows, extra, large, comp, tests, block, weight)
     discard(large)
     return comp
 
 
+def _placed(rows: DataFrame, large: DataFrame, comp: DataFrame) -> DataFrame:
+    """The rows of the groups of large with c, their component so far."""
+    return rows.join(large, "g").join(comp, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
+
+
+def _known(comp: DataFrame) -> DataFrame:
+    return comp.filter("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b"))
+
+
+def _as_one(rows: DataFrame, extra: list[str], large: DataFrame, comp: DataFrame, *_) -> DataFrame:
+    """comp with each group of large as one component."""
+    per = cut(_placed(rows, large, comp).select("g", "c").distinct())
+    links = per.join(per.groupBy("g").agg(F.min("c").alias("top")), "g").filter("c <> top").select(F.col("c").alias("a"), F.col("top").alias("b"))
+    out = comp if links.isEmpty() else components(links.unionByName(_known(comp)))
+    discard(per)
+    return out
+
+
 def _leftover(rows: DataFrame, extra: list[str], large: DataFrame, comp: DataFrame, tests: Callable, block: int, weight: int) -> DataFrame:
     """comp with the links between blocks of the groups of large that are not yet one component."""
-    placed = rows.join(large, "g").join(comp, "id", "left").withColumn("c", F.coalesce("component", "id"))
+    placed = _placed(rows, large, comp)
     per = placed.groupBy("g", "c").agg(F.count("*").alias("n"), F.sum("w").alias("total"))
     most = F.max(F.struct("n", "total", "c"))
     main = per.groupBy("g").agg(most.alias("m"), (F.sum("n") - F.max("n")).alias("others"), F.sum("total").alias("all")).filter("others > 0")
@@ -229,29 +255,89 @@ def _leftover(rows: DataFrame, extra: list[str], large: DataFrame, comp: DataFra
     which = F.when(y >= 0, F.col("minor").cast("int")).otherwise((F.col("own") == x).cast("int"))
     both = both.select("g", at.alias("block"), "id", "c", which.alias("side"), *extra)
     links = both.repartition("g", "block").sortWithinPartitions("g", "block").mapInArrow(_solve(tests), EDGES)
-    known = comp.filter("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b"))
-    out = components(links.unionByName(known))
+    out = components(links.unionByName(_known(comp)))
     discard(main)
     return out
 
 
+def _distinct(sets: Callable, data: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(flat, size of each row) of the sets of a slice, each sorted and without repeats."""
+    flat, first = sets(data, rows)
+    for a, b in itertools.pairwise(first.tolist()):
+        flat[a:b].sort()
+    own = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    new = np.ones(len(flat), dtype=bool)
+    new[1:] = (flat[1:] != flat[:-1]) | (own[1:] != own[:-1])
+    return flat[new], np.bincount(own[new], minlength=len(first) - 1)
+
+
+def _rarest(flat: np.ndarray, n: np.ndarray, count: np.ndarray, percent: int) -> np.ndarray:
+    """Places in flat of the elements of each set, by rising count, that two sets of the similarity percent / 100 can't both do without.
+
+    n are the sizes of the sets and count the number of sets that have an element, roughly; one that no other set has is left out.
+    """
+    own = np.repeat(np.arange(len(n)), n)
+    order = np.lexsort((flat, count, own))
+    rank = np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)
+    need = n - (n * percent + 99) // 100 + 1
+    return order[(rank < need[own]) & (count[order] > 1)]
+
+
+def _rare_keys(left: DataFrame, sets: Callable, percent: int) -> DataFrame:
+    """Rows of spread with c: keys of the rarest elements of the sets of left (g, id, c, text), within each group g.
+
+    Rarity is by a table of COUNTERS counters, of that size at any input; it only orders the elements, so sharing a counter does no harm.
+    """
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros(COUNTERS, dtype=np.int64)
+        for batch in batches:
+            for _, _, data, rows in text_slices(batch, 0):
+                flat, _ = _distinct(sets, data, rows)
+                out += np.bincount((flat % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
+        some = np.flatnonzero(out)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(out[some])], ["k", "n"])
+
+    counts = left.select("text").mapInArrow(counted, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toPandas()
+    table = np.zeros(COUNTERS, dtype=np.int64)
+    table[counts["k"].to_numpy()] = counts["n"].to_numpy()
+    held = left.sparkSession.sparkContext.broadcast(table)
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            g, ids, c = (batch.column(k).to_numpy() for k in range(3))
+            for lo, hi, data, rows in text_slices(batch, 3, 1 << 19):
+                flat, n = _distinct(sets, data, rows)
+                at = _rarest(flat, n, held.value[(flat % np.uint64(COUNTERS)).astype(np.int64)], percent)
+                own = np.repeat(np.arange(lo, hi), n)[at]
+                keys = mix64(flat[at] ^ mix64(g[own].astype(np.int64).view(np.uint64)))
+                yield spread(keys[:, None], ids[own], c[own])
+
+    return left.select("g", "id", "c", "text").mapInArrow(keyed, SPREAD + ", c long")
+
+
 def exact_test(sets: Callable, percent: int, text: int) -> Callable:
     """tests for group_links by whole sets: sets(data, rows) gives (flat hashes, first of each row) of the texts in column text."""
 
     def tests(batch: pa.RecordBatch) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
-        parts, counts = [], []
-        for _, _, data, rows in text_slices(batch, text):
-            flat, first = sets(data, rows)
-            for a, b in itertools.pairwise(first.tolist()):
-                flat[a:b].sort()
-            own = np.repeat(np.arange(len(first) - 1), np.diff(first))
-            new = np.ones(len(flat), dtype=bool)
-            new[1:] = (flat[1:] != flat[:-1]) | (own[1:] != own[:-1])
-            parts.append(flat[new])
-            counts.append(np.bincount(own[new], minlength=len(first) - 1))
-        flat, n = np.concatenate(parts), np.concatenate(counts)
+        parts = [_distinct(sets, data, rows) for _, _, data, rows in text_slices(batch, text)]
+        flat, n = (np.concatenate(x) for x in zip(*parts, strict=True))
         first = np.concatenate([[0], np.cumsum(n)])
 
+        def near(size: np.ndarray, start: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            """Pairs of rows of a group that share one of their rarest elements in it."""
+            for s, m in zip(start.tolist(), size.tolist(), strict=True):
+                own = flat[first[s] : first[s + m]]
+                _, element, count = np.unique(own, return_inverse=True, return_counts=True)
+                at = _rarest(element, n[s : s + m], count[element], percent)
+                row = np.repeat(np.arange(s, s + m), n[s : s + m])[at]
+                order = np.lexsort((row, element[at]))
+                row, element = row[order], element[at][order]
+                begin = np.flatnonzero(np.concatenate([[True], element[1:] != element[:-1]])) if len(row) else np.zeros(0, dtype=np.int64)
+                for i, j in _pairs(np.diff(np.append(begin, len(row))), begin):
+                    pair = np.unique(row[i] * np.int64(len(n)) + row[j])
+                    yield pair // len(n), pair % len(n)
+
         def test(i: np.ndarray, j: np.ndarray) -> np.ndarray:
             ok = np.minimum(n[i], n[j]) * 100 >= np.maximum(n[i], n[j]) * percent
             ok &= n[i] > 0
@@ -273,6 +359,7 @@ def exact_test(sets: Callable, percent: int, text: int) -> Callable:
                     ok[part] = common * 100 >= (len(one) + m - common) * percent
             return ok
 
+        test.near = near
         return test
 
     return tests
@@ -301,14 +388,34 @@ def signature_test(column: int, most: int, size: int, percent: int) -> Callable:
     return tests
 
 
-def connect(members: DataFrame, likely: Callable, texts: Callable[[DataFrame], DataFrame], sets: Callable, percent: int) -> DataFrame:
+def connect(members: DataFrame, likely: Callable, texts: Callable[[DataFrame], DataFrame], sets: Callable, percent: int, block: int = BLOCK) -> DataFrame:
     """(id, component) over the exact links among members (g, id, w, ...) of the candidate groups g.
 
-    likely are the tests of group_links for members. Clusters of likely links are then compared by their whole
-    texts, which texts gives as (id, text) for a table of (id). An id without a link is absent.
+    likely are the tests of group_links for members, which depend on a member alone and not on its group. Clusters of likely links are
+    then compared by their whole texts, which texts gives as (id, text) for a table of (id). In clusters that hubs don't
+    settle, members are brought together anew by rare elements they share, told by likely and compared. An id without a link is absent.
     """
-    clusters = group_links(members, likely)
+    clusters = group_links(members, likely, block, rest=_as_one)
     whole = cut(clusters.join(texts(clusters.select("id")), "id").select(F.col("component").alias("g"), "id", F.octet_length("text").alias("w"), "text"))
-    comp = group_links(whole, exact_test(sets, percent, 5))
+
+    def by_rare(rows: DataFrame, extra: list[str], large: DataFrame, comp: DataFrame, *_) -> DataFrame:
+        placed = _placed(rows, large, comp).select("g", "id", "w", "c", "text")
+        apart = placed.groupBy("g").agg(F.min("c").alias("x"), F.max("c").alias("y")).filter("x < y").select("g")
+        left = cut(placed.join(apart, "g"))
+        if left.isEmpty():
+            discard(left)
+            return comp
+        shared = cut(shared_members(_rare_keys(left, sets, percent), ", c long"))
+        mixed = shared.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y")).filter("x < y").select("key")
+        told = members.drop("g", "w").join(left.select("id"), "id", "left_semi").dropDuplicates(["id"])
+        again = cut(shared.join(mixed, "key").select(F.col("key").alias("g"), "id", F.lit(1).alias("w")).distinct().join(told, "id").select("g", "id", "w", *told.drop("id").columns))
+        close = group_links(again, likely, block, rest=_as_one)
+        both = cut(left.drop("g").join(close.select("id", F.col("component").alias("g")), "id").select("g", "id", "w", "c", "text"))
+        found = group_links(both, exact_test(sets, percent, 5), block)
+        out = components(_known(found).unionByName(_known(comp)))
+        discard(left, shared, again, close, both, found)
+        return out
+
+    comp = group_links(whole, exact_test(sets, percent, 5), block, rest=by_rare)
     discard(clusters, whole)
     return comp

@@ -58,11 +58,19 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/tallyloom-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    discard(*getattr(df, "tallyloom_needs", ()))
     out = spark.read.schema(df.schema).parquet(path)
     out.tallyloom_table = path
     return out
 
 
+def needing(df: DataFrame, *tables: DataFrame | None) -> DataFrame:
+    """df, which reads these tables of cut: they go once cut has written df itself."""
+    more = [y for x in tables if x is not None for y in getattr(x, "tallyloom_needs", ())]
+    df.tallyloom_needs = [*getattr(df, "tallyloom_needs", ()), *(x for x in tables if x is not None), *more]
+    return df
+
+
 def discard(*tables: DataFrame | None) -> None:
     """Deletes tables that cut has written and nothing reads any more."""
     for df in tables:

@@ -11,12 +11,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .candidates import SPREAD, connect, shared_members, signature_test, spread
-from .common import LAST, cut, discard, mix64, quoted, seeded, shingles, text_slices, unused, words
+from .common import LAST, cut, discard, mix64, needing, quoted, seeded, shingles, text_slices, unused, words
 from .components import components
 
 #: 12 chunks of 4 minima with one error each: all pairs of signatures with at most 12 * 2 - 1 = 23 differences share a key.
 CHUNKS, CHUNK, ERRORS, WIDTH, PERCENT = 12, 4, 1, 5, 75
 MOST = CHUNKS * (ERRORS + 1) - 1
+#: What a text with words holds.
+WORD = r"[^\x20\x09-\x0D]"
 
 
 def signature(hashes: np.ndarray, first: np.ndarray, size: int) -> np.ndarray:
@@ -128,7 +130,8 @@ def near_groups(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) ->
     per = placed.join(least, "c").select("id", "component_id", (F.col("id") == F.col("first")).alias("one"))
     out = prof.select("id", "doc_id", "h", "n_shingles").join(per, "id", "left")
     discard(classes, member, comp, merged, reps, first, members)
-    return out.select("doc_id", "h", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("one", F.lit(True)).alias("kept"))
+    out = out.select("doc_id", "h", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("one", F.lit(True)).alias("kept"))
+    return needing(out, prof, placed, least)
 
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -150,7 +153,7 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     any of their texts is linked with. Other columns are ignored whatever their names; an empty table gives an empty result.
     """
     found = near_groups(docs, width, percent)
-    return found.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(False)).alias("kept"))
+    return needing(found.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(False)).alias("kept")), found)
 
 
 def drop_near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -159,9 +162,9 @@ def drop_near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PER
     Rows without words stay, each of them; of rows equal in doc_id and text one does, if it has words.
     """
     d, h = unused("d", docs), unused("h", docs)
-    n = unused("n", docs)
-    found = near_groups(docs, width, percent).filter("kept").select(F.coalesce("doc_id", F.lit(LAST)).alias(d), F.col("h").alias(h), F.col("n_shingles").alias(n)).distinct()
-    keyed = docs.withColumns({d: F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), h: row_key()}).join(found, [d, h])
-    # of equal rows with words one stays: they have 0 here, all others a number of their own
-    one = keyed.withColumn(n, F.when(F.col(n) > 0, F.lit(0)).otherwise(F.monotonically_increasing_id()))
-    return one.dropDuplicates([d, h, n]).select(*[quoted(c) for c in docs.columns])
+    groups = near_groups(docs, width, percent)
+    found = groups.filter("kept and n_shingles > 0").select(F.coalesce("doc_id", F.lit(LAST)).alias(d), F.col("h").alias(h)).distinct()
+    some = F.coalesce(F.regexp_like(F.col("text").cast("string"), F.lit(WORD)), F.lit(False))
+    keyed = docs.filter(some).withColumns({d: F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), h: row_key()}).join(found, [d, h])
+    kept = keyed.dropDuplicates([d, h]).select(*[quoted(c) for c in docs.columns])
+    return needing(kept.unionByName(docs.filter(~some)), groups)
