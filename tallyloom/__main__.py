@@ -1,4 +1,4 @@
-"""python -m tallyloom: check, install or uninstall a tree."""
+"""python -m tallyloom: check, install or uninstall a tree, or report on packages."""
 
 import sys
 

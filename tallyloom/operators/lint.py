@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.byte_pairs import Ranks, count_tokens
 from ..functions.front_matter import read_front, split_front
 from ..functions.markdown import resolved, targets
 from ..functions.paths import basename
@@ -151,10 +152,24 @@ def _unknown(parsed: DataFrame, allowed: Sequence[str]) -> DataFrame:
     return parsed.select("rel", F.explode(other).alias("key"))
 
 
-def long_bodies(tree: DataFrame, most: int = 5000, characters: float = 4.0, entry: str = ENTRY) -> DataFrame:
-    """(rel, tokens): entry files whose text after the front matter has more than `most` tokens, of so many characters each."""
-    tokens = F.ceil(F.length("body") / characters).cast("long")
-    return front_matter(tree, entry).filter("fenced").select("rel", tokens.alias("tokens")).filter(F.col("tokens") > most)
+def long_bodies(tree: DataFrame, most: int = 5000, characters: float = 4.0, entry: str = ENTRY, ranks: Ranks | None = None) -> DataFrame:
+    """(rel, tokens): entry files whose text after the front matter has more than `most` tokens.
+
+    Tokens are those of a merge table (ranks, as `merge_ranks` gives them); without one, so many characters count as one.
+    """
+    bodies = front_matter(tree, entry).filter("fenced").select("rel", "body")
+    if ranks is None:
+        found = bodies.select("rel", F.ceil(F.length("body") / characters).cast("long").alias("tokens"))
+    else:
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            known: dict[bytes, int] = {}
+            for batch in batches:
+                counts = [count_tokens(x.as_py().encode(), ranks, known) for x in batch.column(1)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64())], ["rel", "tokens"])
+
+        found = bodies.mapInArrow(run, "rel string, tokens long")
+    return found.filter(F.col("tokens") > most)
 
 
 def doctor(tree: DataFrame, most: int | None = None, allowed: Sequence[str] | None = None, entry: str = ENTRY) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.byte_pairs import merge_ranks
 from ..operators import lint
 
 
@@ -105,6 +106,14 @@ def q33_long_bodies(spark, sf_dir):
     return lint.long_bodies(_entries(spark, sf_dir), most=500)
 
 
+#: A merge table of a few frequent pairs.
+MERGES = ["t h", "e r", "o n", "a n", "th e", "e n", "i n", "an d", "r e"]
+
+
+def q43_byte_pair_bodies(spark, sf_dir):
+    return lint.long_bodies(_entries(spark, sf_dir), most=500, ranks=merge_ranks(MERGES))
+
+
 def q34_descriptions(spark, sf_dir):
     return lint.description_lengths(_entries(spark, sf_dir), most=1024)
 
@@ -166,7 +175,14 @@ SELECT root, rank, name, CASE WHEN base <> 'notes.md' THEN name || '/' || base E
 UNION ALL SELECT 'none', 3, NULL, NULL, NULL, NULL, NULL
 """
 
+# in a table that makes no earlier pair anew, merging by rank is replacing pair by pair
+_MERGED = "body"
+for _k, (_a, _b) in enumerate([("t", "h"), ("e", "r"), ("o", "n"), ("a", "n"), ("\x01", "e"), ("e", "n"), ("i", "n"), ("\x04", "d"), ("r", "e")], 1):
+    _ab = [f"chr({ord(x)})" for x in (_a, _b)]
+    _MERGED = f"replace({_MERGED}, {_ab[0]} || {_ab[1]}, chr({_k}))"
+
 SQL = {
+    "q43_byte_pair_bodies": _ENTRIES + f"SELECT rel, tokens FROM (SELECT rel, CAST(strlen({_MERGED}) AS BIGINT) AS tokens FROM skills WHERE fenced) WHERE tokens > 500",
     "q37_doctor_roots": _ROOTED,
     "q33_long_bodies": _ENTRIES + "SELECT rel, CAST(ceil(length(body) / 4.0) AS BIGINT) AS tokens FROM skills WHERE fenced AND ceil(length(body) / 4.0) > 500",
     "q34_descriptions": _ENTRIES + _SHORT,

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,6 +11,9 @@ from pyspark.sql import functions as F
 
 from ..functions.paths import basename, executable, in_list, labelled, top_name, utf16_order
 from ..operators.integrity import as_maps, capped, digests, digests_of, drift, present, rows_of, shadowed, stale, winners
+from ..sources.manifest import read_manifest_shards, write_manifest_shards
+from ..sources.shared import shared_folder
+from ..sources.tree import read_tree, write_tree
 from .verdicts import check_verdict, install_actions, install_verdict, uninstall_verdict
 
 
@@ -145,6 +150,32 @@ def q32_clean_verdict(spark, sf_dir):
     return check_verdict(drift(now, now))
 
 
+def _written(spark: SparkSession, sf_dir: str) -> str:
+    """The folder of a new tree with a file for each document, in folders by number and source; every third file can be run."""
+    d = F.col("doc_id")
+    rel = F.concat_ws("/", F.concat(F.lit("d"), (d % 20).cast("string")), "source", F.concat(F.lit("."), d.cast("string")))
+    root = os.path.join(shared_folder(spark), f"tree-{uuid.uuid4().hex}")
+    write_tree(_docs(spark, sf_dir).select(rel.alias("rel"), F.col("text").cast("binary").alias("content"), F.when(d % 3 == 0, 0o755).otherwise(0o644).alias("mode")), root)
+    return root
+
+
+def q44_tree_scan(spark, sf_dir):
+    found = read_tree(spark, _written(spark, sf_dir))
+    return found.select("rel", F.sha2("content", 256).alias("digest"), F.length("content").cast("long").alias("bytes"), executable(F.col("mode")).alias("runs"))
+
+
+def q45_allow_list_scan(spark, sf_dir):
+    return read_tree(spark, _written(spark, sf_dir), content=False, only=["d1", "d7", "none"]).select("rel")
+
+
+def q46_recorded_manifest(spark, sf_dir):
+    """What the manifest of a tree says once it is written and read again, and whether the tree has it."""
+    root = _written(spark, sf_dir)
+    write_manifest_shards(digests(read_tree(spark, root)), f"file://{root}.manifest", "documents", "1")
+    said = read_manifest_shards(spark, f"file://{root}.manifest")
+    return present(said, read_tree(spark, root, content=False)).select("rel", "digest", "readable", "present")
+
+
 _CTE = """WITH tree AS (SELECT CASE WHEN doc_id % 11 = 0 THEN -1 - doc_id ELSE doc_id END AS rel, sha256(text) AS digest FROM documents),
 manifest AS (
   SELECT CASE WHEN doc_id % 5 = 0 THEN -1 - doc_id ELSE doc_id END AS rel, sha256(CASE WHEN doc_id % 7 = 0 THEN lang ELSE text END) AS digest FROM documents),
@@ -156,7 +187,12 @@ targets AS (
   SELECT CAST(page_id % 40 AS VARCHAR) AS name, CASE WHEN page_id % 3 = 0 THEN 'global' ELSE 'project' END AS scope, url AS path FROM pages)
 """
 
+_FILES = "WITH files AS (SELECT *, 'd' || doc_id % 20 || '/' || source || '/.' || doc_id AS rel FROM documents) "
+
 SQL = {
+    "q44_tree_scan": _FILES + "SELECT rel, sha256(text) AS digest, CAST(strlen(text) AS BIGINT) AS bytes, doc_id % 3 = 0 AS runs FROM files",
+    "q45_allow_list_scan": _FILES + "SELECT rel FROM files WHERE doc_id % 20 IN (1, 7)",
+    "q46_recorded_manifest": _FILES + "SELECT rel, sha256(text) AS digest, TRUE AS readable, TRUE AS present FROM files",
     "q1_digest": "SELECT doc_id, sha256(text) AS digest FROM documents",
     "q2_drift": _CTE + "SELECT rel, kind FROM drift",
     "q3_stale": _CTE + "SELECT rel FROM manifest WHERE rel NOT IN (SELECT rel FROM tree)",

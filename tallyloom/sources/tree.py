@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.paths import safe
+
 SCHEMA = "rel string, content binary, mode int"
 #: Folders that a task lists at least, bytes and files that a task reads at most (or one file), and bytes of a batch.
 FOLDERS, PACK_BYTES, PACK_FILES, BATCH_BYTES = 16, 64 << 20, 4096, 16 << 20
@@ -147,3 +149,31 @@ def scan_roots(spark: SparkSession, roots: dict[str, str], skip: str = "") -> Da
         one = read_tree(spark, folder, skip=skip).select(F.lit(name).alias("root"), "rel", "content")
         out = one if out is None else out.unionByName(one)
     return out if out is not None else spark.createDataFrame([], "root string, rel string, content binary")
+
+
+def write_tree(files: DataFrame, root: str) -> None:
+    """Writes files (rel, content, mode) under root in tasks: each beside its place and then renamed, so a repeated task does no harm.
+
+    With an execute bit a file gets mode 0755, else 0644. A path that is absolute or holds `..` is an error, before anything is written by
+    its task.
+    """
+    root = os.path.abspath(root)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rels = batch.column(0).to_pylist()
+            wrong = [x for x in rels if not x or not safe(x)]
+            if wrong:
+                raise ValueError(f"unsafe path {wrong[0]!r}")
+            for k, rel in enumerate(rels):
+                to = os.path.join(root, rel)
+                os.makedirs(os.path.dirname(to), exist_ok=True)
+                part = f"{to}.{os.getpid()}.new"
+                with open(part, "wb") as f:
+                    f.write(batch.column(1)[k].as_py() or b"")
+                os.chmod(part, 0o755 if (batch.column(2)[k].as_py() or 0) & 0o111 else 0o644)
+                os.replace(part, to)
+            yield pa.RecordBatch.from_arrays([pa.array([len(rels)], pa.int64())], ["n"])
+
+    ready = files.select(F.col("rel").cast("string"), F.col("content").cast("binary"), F.col("mode").cast("int"))
+    ready.mapInArrow(run, "n long").write.format("noop").mode("overwrite").save()

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tallyloom.functions import paths
 from tallyloom.operators import integrity
 from tallyloom.plans import commands, queries, verdicts
-from tallyloom.sources.manifest import manifest_rows, parse_manifest
+from tallyloom.sources.manifest import manifest_rows, parse_manifest, read_manifest_shards, write_manifest_shards
 from tallyloom.sources import tree as tree_source
 from tallyloom.sources.tree import read_tree
 from tallyloom.streaming.drift import arriving_edits
@@ -164,7 +164,50 @@ def test_dispatch(spark, tmp_path, capsys):
     assert e.value.code == 0 and "uninstall" in capsys.readouterr().out
 
 
-@pytest.mark.parametrize("name", ["q28_capped_ten", "q29_blocked_verdict", "q30_forced_verdict", "q31_untracked_verdict", "q32_clean_verdict"])
+def test_reports(spark, tmp_path, capsys):
+    source, home, root = tmp_path / "from", tmp_path / "home", tmp_path / "project"
+    for k in range(25):
+        (source / "kit").mkdir(parents=True, exist_ok=True)
+        (source / "kit" / f"f{k:02}").write_text("one")
+    (source / "kit" / "SKILL.md").write_text("---\nname: kit\ndescription: d\n---\n")
+    install = ["--name", "kit", "--source", str(source / "kit"), "--ship", *sorted(os.listdir(source / "kit")), "--version", "7"]
+    said = lambda *argv: (commands.run(spark, list(argv), home=str(home)), capsys.readouterr().out)
+    assert said(*install) == (0, f"installed: {home / 'kit'}, 0 differing\n  26 files copied, 0 deleted\n")
+    code, out = said(*install, "--project", "--root", str(root))
+    assert code == 0 and f"warning: {home / 'kit'} comes first" in out
+    for k in range(22):
+        (home / "kit" / f"f{k:02}").write_text("mine")
+    code, out = said(*install)
+    assert code == 2 and out.startswith("refused:") and "  f00\n" in out and "  f19\n" in out and "  f20\n" not in out and "... 2 more" in out and "--force" in out
+    code, out = said("--name", "kit", "--check", "--version", "8")
+    assert code == 1 and "version 7, 2" in out and "at hand: version 8" in out and "... 2 more" in out
+    (root / "other").mkdir()
+    (root / "other" / "Skill.md").write_text("---\nname: other\ndescription: d\n---\n")
+    assert said("--doctor", "--check", "--root", str(root)) == (0, "global: kit: loads\nproject: kit: hidden by global\nproject: other: wrong case\n")
+    code, out = said("--name", "kit", "--uninstall")
+    assert code == 0 and "  f09\n" in out and "  f10\n" not in out and "... 12 more" in out
+    assert said("--doctor", "--root", str(tmp_path / "none"))[1] == "global: -: nothing\nproject: -: nothing\n"
+
+
+def test_files_and_manifests_are_written_in_tasks(spark, tmp_path):
+    rows = [(f"a{k % 3}/b/.f{k}", bytes([k]) * k, 0o755 if k % 2 else None) for k in range(40)]
+    files = spark.createDataFrame(rows, "rel string, content binary, mode int").repartition(5)
+    tree_source.write_tree(files, str(tmp_path / "t"))
+    tree_source.write_tree(files, str(tmp_path / "t"))
+    got = {r["rel"]: (bytes(r["content"]), r["mode"]) for r in read_tree(spark, str(tmp_path / "t")).collect()}
+    assert got == {rel: (data, 0o755 if mode else 0o644) for rel, data, mode in rows}
+    for wrong in ("../x", "/x", None):
+        with pytest.raises(Exception, match="unsafe path"):
+            tree_source.write_tree(spark.createDataFrame([(wrong, None, None)], files.schema), str(tmp_path / "t"))
+    entries = integrity.digests(files)
+    write_manifest_shards(entries, str(tmp_path / "m"), "n", "1", most=7)
+    back = read_manifest_shards(spark, str(tmp_path / "m"))
+    assert {tuple(r) for r in back.collect()} == {(*r, True) for r in entries.collect()}
+    (tmp_path / "m" / "part-x.txt").write_text("{'a': 1}\n")
+    assert [tuple(r) for r in read_manifest_shards(spark, str(tmp_path / "m")).filter("not readable").collect()] == [(None, None, False)]
+
+
+@pytest.mark.parametrize("name", ["q44_tree_scan", "q45_allow_list_scan", "q46_recorded_manifest", "q28_capped_ten", "q29_blocked_verdict", "q30_forced_verdict", "q31_untracked_verdict", "q32_clean_verdict"])
 def test_verdict_queries_equal_their_sql(spark, name):
     data = "/root/testdata/sf0.001"
     con = duckdb.connect()
