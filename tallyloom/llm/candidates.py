@@ -1,11 +1,12 @@
 """Links inside groups of any size: candidate buckets, clusters of likely links, and their exact comparison.
 
 A group of more than `block` members is dealt to blocks, each of which also gets a few hubs of its group. A
-group of near copies is so settled by its hubs, whatever its size. Large groups that hubs don't settle, as of texts made from one
+group of near copies is so settled by its hubs, whatever its size. Members still apart from the largest component of their group
+meet the other blocks, as long as those are few. Groups with more of them, as of texts made from one
 template, go on as they are to the exact comparison, where two sets meet only if they share one of their rarest elements: of n
 elements, two sets of the similarity wanted share one of the n - ceil(similarity * n) + 1 that come first in any common order, here by
 rarity. Only what then still is one large group of likely links, all with rare elements in common, has
-its blocks compared pair by pair, so no link is lost.
+all its blocks compared pair by pair, so no link is lost.
 """
 
 from __future__ import annotations
@@ -22,7 +23,9 @@ from pyspark.sql import functions as F
 from .common import cut, discard, mix64, text_slices
 from .components import components, roots_of
 
-BLOCK, WEIGHT, HUBS, PAIRS = 1024, 2_000_000, 3, 1 << 20
+BLOCK, WEIGHT, HUBS, PAIRS, FEW = 1024, 2_000_000, 3, 1 << 20, 64
+#: Pairs of blocks of a group that are compared as they are; a group with more is brought together anew.
+MEETINGS = 64
 #: Counters of the table by which elements are told to be rare; the table has so many longs, whatever the input.
 COUNTERS = 1 << 18
 EDGES, SPREAD = "a long, b long", "place long, id long, key long, far boolean"
@@ -129,7 +132,7 @@ def settle(start: np.ndarray, size: np.ndarray, side: np.ndarray, label: np.ndar
 
     Rows with equal labels are known to be connected and are not tested. In a group with two sides
     only pairs across them are. Each group is first compared with up to three of its rows; what then is apart meets in
-    all pairs, or in those of test.near if it has that.
+    all pairs, or in those of test.near if it has that and the group more than FEW rows.
     """
     row, group = np.arange(len(label)), np.repeat(np.arange(len(start)), size)
     across = (np.maximum.reduceat(side, start) > np.minimum.reduceat(side, start))[group]
@@ -150,8 +153,13 @@ def settle(start: np.ndarray, size: np.ndarray, side: np.ndarray, label: np.ndar
         some = ((hub >= 0) & (hub < len(row)))[group]
         join(hub[group][some], row[some])
     left = np.maximum.reduceat(label, start) != np.minimum.reduceat(label, start)
-    for i, j in getattr(test, "near", _pairs)(size[left], start[left]):
+    near = getattr(test, "near", None)
+    few = left & (size <= FEW) if near else left
+    for i, j in _pairs(size[few], start[few]):
         join(i, j)
+    if near:
+        for i, j in near(size[left & ~few], start[left & ~few]):
+            join(i, j)
     return label
 
 
@@ -183,8 +191,8 @@ def group_links(rows: DataFrame, tests: Callable, block: int = BLOCK, weight: in
 
     tests gets a batch of rows (g, block, id, c, side, ...) and gives a function that tells of rows i, j whether they
     are linked. A block has at most about `block` members and `weight` weight, or one member. A column c of rows names components
-    that are known already; without it each member is its own. rest answers for the large groups that their hubs don't settle
-    (`_leftover`: all pairs of blocks). Ids without a link are absent. rows is read several times and should be a table.
+    that are known already; without it each member is its own. Of groups that their hubs don't settle the blocks meet in pairs; rest, if
+    given, answers for those with more than MEETINGS such pairs. Ids without a link are absent. rows is read several times and should be a table.
     """
     extra = [c for c in rows.columns if c not in ("g", "id", "w", "c")]
     parts = F.ceil(F.greatest(F.col("n") / block, F.col("total") / weight)).cast("int")
@@ -207,7 +215,7 @@ def group_links(rows: DataFrame, tests: Callable, block: int = BLOCK, weight: in
     links = base.repartition("g", "block").sortWithinPartitions("g", "block").mapInArrow(_solve(tests), EDGES)
     comp = components(links if known is None else links.unionByName(known))
     if some:
-        comp = (rest or _leftover)(rows, extra, large, comp, tests, block, weight)
+        comp = _leftover(rows, extra, large, comp, tests, block, weight, rest)
     discard(large)
     return comp
 
@@ -221,7 +229,7 @@ def _known(comp: DataFrame) -> DataFrame:
     return comp.filter("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b"))
 
 
-def _as_one(rows: DataFrame, extra: list[str], large: DataFrame, comp: DataFrame, *_) -> DataFrame:
+def _as_one(rows: DataFrame, large: DataFrame, comp: DataFrame) -> DataFrame:
     """comp with each group of large as one component."""
     per = cut(_placed(rows, large, comp).select("g", "c").distinct())
     links = per.join(per.groupBy("g").agg(F.min("c").alias("top")), "g").filter("c <> top").select(F.col("c").alias("a"), F.col("top").alias("b"))
@@ -230,8 +238,8 @@ def _as_one(rows: DataFrame, extra: list[str], large: DataFrame, comp: DataFrame
     return out
 
 
-def _leftover(rows: DataFrame, extra: list[str], large: DataFrame, comp: DataFrame, tests: Callable, block: int, weight: int) -> DataFrame:
-    """comp with the links between blocks of the groups of large that are not yet one component."""
+def _leftover(rows: DataFrame, extra: list[str], large: DataFrame, comp: DataFrame, tests: Callable, block: int, weight: int, rest: Callable | None) -> DataFrame:
+    """comp with the links between blocks of the groups of large that are not yet one component, by rest where too many blocks meet."""
     placed = _placed(rows, large, comp)
     per = placed.groupBy("g", "c").agg(F.count("*").alias("n"), F.sum("w").alias("total"))
     most = F.max(F.struct("n", "total", "c"))
@@ -241,8 +249,10 @@ def _leftover(rows: DataFrame, extra: list[str], large: DataFrame, comp: DataFra
     if main.isEmpty():
         discard(main)
         return comp
+    meetings = F.col("theirs").cast("long") * (F.col("ours") + F.col("theirs"))
+    beyond = main.filter(meetings > MEETINGS).select("g") if rest else None
     side = (F.col("c") != F.col("mc")).cast("int")
-    both = placed.join(main, "g").withColumn("minor", side == 1)
+    both = placed.join(main.filter(meetings <= MEETINGS) if rest else main, "g").withColumn("minor", side == 1)
     own = F.pmod(F.xxhash64("id"), F.when(F.col("minor"), F.col("theirs")).otherwise(F.col("ours"))).cast("int")
     both = both.withColumn("own", own)
     # pairs of blocks: a minor one (x) with each main one (y >= 0) and with each minor one from itself on (y < 0)
@@ -256,6 +266,8 @@ def _leftover(rows: DataFrame, extra: list[str], large: DataFrame, comp: DataFra
     both = both.select("g", at.alias("block"), "id", "c", which.alias("side"), *extra)
     links = both.repartition("g", "block").sortWithinPartitions("g", "block").mapInArrow(_solve(tests), EDGES)
     out = components(links.unionByName(_known(comp)))
+    if beyond is not None and not beyond.isEmpty():
+        out = rest(rows, beyond, out)
     discard(main)
     return out
 
@@ -398,7 +410,7 @@ def connect(members: DataFrame, likely: Callable, texts: Callable[[DataFrame], D
     clusters = group_links(members, likely, block, rest=_as_one)
     whole = cut(clusters.join(texts(clusters.select("id")), "id").select(F.col("component").alias("g"), "id", F.octet_length("text").alias("w"), "text"))
 
-    def by_rare(rows: DataFrame, extra: list[str], large: DataFrame, comp: DataFrame, *_) -> DataFrame:
+    def by_rare(rows: DataFrame, large: DataFrame, comp: DataFrame) -> DataFrame:
         placed = _placed(rows, large, comp).select("g", "id", "w", "c", "text")
         apart = placed.groupBy("g").agg(F.min("c").alias("x"), F.max("c").alias("y")).filter("x < y").select("g")
         left = cut(placed.join(apart, "g"))

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tallyloom.llm import common
+from tallyloom.llm import candidates, common
 from tallyloom.llm.common import words
 from tallyloom.llm.candidates import connect, exact_test, group_links, shared_members, spread
 from tallyloom.llm.components import components
@@ -326,8 +326,9 @@ def test_template_texts_meet_only_on_rare_elements():
     assert {(3, 5), (8, 9)} <= set(met) and len(met) < 8000
 
 
-@pytest.mark.parametrize("block", [6, 1024])
-def test_large_unsettled_groups_lose_no_link(spark, docs, block):
+@pytest.mark.parametrize("block, meetings", [(6, 0), (6, 40), (1024, 64)])
+def test_large_unsettled_groups_lose_no_link(spark, docs, monkeypatch, block, meetings):
+    monkeypatch.setattr(candidates, "MEETINGS", meetings)
     rnd = random.Random(7)
     head = prose(12)
     lines = [f"{head} {prose(9)}" for _ in range(120)]
