@@ -111,19 +111,33 @@ def _relabel(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return np.where(ids[at] == label, roots[at], label)
 
 
-def _pairs(size: np.ndarray, start: np.ndarray, most: int = PAIRS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """All pairs of rows i < j inside the groups that start at start, about most at a time."""
-    row = np.arange(size.sum())
-    left = np.repeat(start + size, size) - 1 - (np.repeat(start - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + row)
-    row = np.repeat(start - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + row
-    row, left = row[left > 0], left[left > 0]
+def _pairs(size: np.ndarray, start: np.ndarray, label: np.ndarray, most: int = PAIRS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows inside the groups that start at start, about most at a time: all but those whose labels are both the commonest of the group."""
+    total = int(size.sum())
+    if not total:
+        return
+    begin = np.cumsum(size) - size
+    group = np.repeat(np.arange(len(size)), size)
+    row = np.repeat(start - begin, size) + np.arange(total)
+    order = np.lexsort((label[row], group))
+    own = label[row][order]
+    head = np.flatnonzero(np.concatenate([[True], (own[1:] != own[:-1]) | (group[1:] != group[:-1])]))
+    count = np.diff(np.append(head, total))
+    first = np.searchsorted(group[head], np.arange(len(size)))
+    common = np.lexsort((-count, group[head]))[first]
+    minor = label[row] != own[head[common]][group]
+    row = row[np.lexsort((~minor, group))]
+    minor = np.sort(np.where(minor, 2 * group, 2 * group + 1)) % 2 == 0
+    at = np.arange(total)
+    left = np.where(minor, np.repeat(begin + size, size) - 1 - at, 0)
+    at, left = at[left > 0], left[left > 0]
     ends = np.cumsum(left)
     a = 0
-    while a < len(row):
+    while a < len(at):
         b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + most, side="right")))
         n = left[a:b]
-        i = np.repeat(row[a:b], n)
-        yield i, i + 1 + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        i = np.repeat(at[a:b], n)
+        yield row[i], row[i + 1 + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
         a = b
 
 
@@ -132,7 +146,7 @@ def settle(start: np.ndarray, size: np.ndarray, side: np.ndarray, label: np.ndar
 
     Rows with equal labels are known to be connected and are not tested. In a group with two sides
     only pairs across them are. Each group is first compared with up to three of its rows; what then is apart meets in
-    all pairs, or in those of test.near if it has that and the group more than FEW rows.
+    all pairs but those of its largest part, or in those of test.near if it has that and the group more than FEW rows.
     """
     row, group = np.arange(len(label)), np.repeat(np.arange(len(start)), size)
     across = (np.maximum.reduceat(side, start) > np.minimum.reduceat(side, start))[group]
@@ -155,10 +169,10 @@ def settle(start: np.ndarray, size: np.ndarray, side: np.ndarray, label: np.ndar
     left = np.maximum.reduceat(label, start) != np.minimum.reduceat(label, start)
     near = getattr(test, "near", None)
     few = left & (size <= FEW) if near else left
-    for i, j in _pairs(size[few], start[few]):
+    for i, j in _pairs(size[few], start[few], label):
         join(i, j)
     if near:
-        for i, j in near(size[left & ~few], start[left & ~few]):
+        for i, j in near(size[left & ~few], start[left & ~few], label):
             join(i, j)
     return label
 
@@ -336,19 +350,30 @@ def exact_test(sets: Callable, percent: int, text: int) -> Callable:
         flat, n = (np.concatenate(x) for x in zip(*parts, strict=True))
         first = np.concatenate([[0], np.cumsum(n)])
 
-        def near(size: np.ndarray, start: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-            """Pairs of rows of a group that share one of their rarest elements in it."""
+        def near(size: np.ndarray, start: np.ndarray, label: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            """Those of _pairs that share one of their rarest elements in the group, unless sharing brings more of them than there are."""
             for s, m in zip(start.tolist(), size.tolist(), strict=True):
-                own = flat[first[s] : first[s + m]]
-                _, element, count = np.unique(own, return_inverse=True, return_counts=True)
-                at = _rarest(element, n[s : s + m], count[element], percent)
-                row = np.repeat(np.arange(s, s + m), n[s : s + m])[at]
-                order = np.lexsort((row, element[at]))
-                row, element = row[order], element[at][order]
-                begin = np.flatnonzero(np.concatenate([[True], element[1:] != element[:-1]])) if len(row) else np.zeros(0, dtype=np.int64)
-                for i, j in _pairs(np.diff(np.append(begin, len(row))), begin):
-                    pair = np.unique(row[i] * np.int64(len(n)) + row[j])
-                    yield pair // len(n), pair % len(n)
+                values, count = np.unique(label[s : s + m], return_counts=True)
+                minor = label[s : s + m] != values[count.argmax()]
+                every = int(minor.sum()) * m
+                if every > FEW * FEW:
+                    _, element, count = np.unique(flat[first[s] : first[s + m]], return_inverse=True, return_counts=True)
+                    at = _rarest(element, n[s : s + m], count[element], percent)
+                    row = np.repeat(np.arange(m), n[s : s + m])[at]
+                    element = element[at]
+                    order = np.argsort(element, kind="stable")
+                    row, element = row[order], element[order]
+                    a, b = np.searchsorted(element, element, side="left"), np.searchsorted(element, element, side="right")
+                    k = np.flatnonzero(minor[row])
+                    many = (b - a)[k]
+                    if many.sum() < every:
+                        j = np.arange(many.sum()) + np.repeat(a[k] - np.cumsum(many) + many, many)
+                        x, y = np.repeat(row[k], many), row[j]
+                        pair = np.unique(np.minimum(x, y)[x != y] * np.int64(m) + np.maximum(x, y)[x != y])
+                        for c in range(0, len(pair), PAIRS):
+                            yield s + pair[c : c + PAIRS] // m, s + pair[c : c + PAIRS] % m
+                        continue
+                yield from _pairs(np.array([m]), np.array([s]), label)
 
         def test(i: np.ndarray, j: np.ndarray) -> np.ndarray:
             ok = np.minimum(n[i], n[j]) * 100 >= np.maximum(n[i], n[j]) * percent

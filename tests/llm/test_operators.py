@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from tallyloom.llm import candidates, common
 from tallyloom.llm.common import words
-from tallyloom.llm.candidates import connect, exact_test, group_links, shared_members, spread
+from tallyloom.llm.candidates import _pairs, connect, exact_test, group_links, shared_members, spread
 from tallyloom.llm.components import components
 from tallyloom.llm.decontaminate import contamination, drop_contaminated
 from tallyloom.llm.embedding_dedup import near_vectors
@@ -316,13 +316,29 @@ def test_exact_test_of_sets():
     assert test(np.array([0, 1]), np.array([4, 2])).tolist() == [False, False]
 
 
+def test_pairs_of_groups():
+    rnd = np.random.default_rng(3)
+    size = rnd.integers(1, 9, 40)
+    start = np.cumsum(size) - size + 5
+    label = rnd.integers(0, 3, size.sum() + 5)
+    got = [tuple(sorted(p)) for i, j in _pairs(size, start, label, 17) for p in zip(i.tolist(), j.tolist())]
+    assert len(got) == len(set(got))
+    for s, m in zip(start, size):
+        own = {p for p in got if s <= p[0] < s + m}
+        every = {p for p in itertools.combinations(range(s, s + m), 2) if label[p[0]] != label[p[1]]}
+        same = [p for p in own if label[p[0]] == label[p[1]]]
+        common = max(np.bincount(label[s : s + m]))
+        assert every <= own and all(s <= x < s + m for p in own for x in p) and not any(sum(label[s : s + m] == label[x]) == common for x, _ in same if sum(np.bincount(label[s : s + m]) == common) == 1)
+    assert list(_pairs(size[:0], start[:0], label)) == []
+
+
 def test_template_texts_meet_only_on_rare_elements():
     # 8000 lines of one template, two of which are near-duplicates of others: their pairs are 32 million
     rnd = random.Random(4)
     lines = ["this entry was posted in the general section by user: " + "".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=44)) for _ in range(8000)]
     lines[5], lines[9] = lines[3] + ".", lines[8][:-2] + "zz"
     test = exact_test(_line_sets, 75, 0)(pa.RecordBatch.from_pydict({"text": lines}))
-    met = [(a, b) for i, j in test.near(np.array([8000]), np.array([0])) for a, b in zip(i.tolist(), j.tolist())]
+    met = [(a, b) for i, j in test.near(np.array([8000]), np.array([0]), np.arange(8000)) for a, b in zip(i.tolist(), j.tolist())]
     assert {(3, 5), (8, 9)} <= set(met) and len(met) < 8000
 
 
