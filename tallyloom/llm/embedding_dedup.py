@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 from .common import cut, list_column, mix64, seeded
 from .components import components, roots_of
 
-TABLES, POLYTOPES, PROBES, LEAST, BLOCK = 14, 2, 3, 0.95, 1024
+TABLES, POLYTOPES, PROBES, LEAST, BLOCK = 14, 2, 3, 0.95, 8192
+#: Pairs of vectors whose products a task holds at a time.
+PAIRS = 1 << 20
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -100,25 +102,34 @@ def _block(group: pa.RecordBatch, least: float, probes: int) -> tuple[np.ndarray
     keys = np.asarray(group.column(7).flatten()).reshape(len(ids), -1, probes)
     block, key = group.column(3).to_numpy(), group.column(8)[0].as_py()
     main = keys[:, t, 0] == key
-    near = x @ x.T >= least
-    near &= main[:, None] | main[None, :]
-    near &= ids[:, None] < ids[None, :]
-    if cross:
-        near &= block[:, None] != block[None, :]
-    i, j = np.nonzero(near)
-    fresh = np.ones(len(i), dtype=bool)
-    for s in range(t):
-        fresh &= ~((keys[j, s] == keys[i, s, :1]).any(axis=1) | (keys[i, s] == keys[j, s, :1]).any(axis=1))
-    # in one table two vectors may meet in each other's own bucket too: the smaller number of the two counts
-    both = (keys[i, t] == keys[j, t, :1]).any(axis=1) & (keys[j, t] == keys[i, t, :1]).any(axis=1)
-    fresh &= ~both | (np.minimum(keys[i, t, 0], keys[j, t, 0]) == key)
-    i, j = i[fresh], j[fresh]
-    if not len(i):
+    m = len(ids)
+    links, ends = np.zeros(m, dtype=np.int64), []
+    step = max(1, PAIRS // m)
+    for a in range(0, m, step):
+        # some rows against all: the products of a group never stand in memory together
+        part = slice(a, a + step)
+        near = x[part] @ x.T >= least
+        near &= main[part, None] | main[None, :]
+        near &= ids[part, None] < ids[None, :]
+        if cross:
+            near &= block[part, None] != block[None, :]
+        i, j = np.nonzero(near)
+        i += a
+        fresh = np.ones(len(i), dtype=bool)
+        for s in range(t):
+            fresh &= ~((keys[j, s] == keys[i, s, :1]).any(axis=1) | (keys[i, s] == keys[j, s, :1]).any(axis=1))
+        # in one table two vectors may meet in each other's own bucket too: the smaller number of the two counts
+        both = (keys[i, t] == keys[j, t, :1]).any(axis=1) & (keys[j, t] == keys[i, t, :1]).any(axis=1)
+        fresh &= ~both | (np.minimum(keys[i, t, 0], keys[j, t, 0]) == key)
+        i, j = i[fresh], j[fresh]
+        if len(i):
+            links += np.bincount(i, n[j], minlength=m).astype(np.int64) + np.bincount(j, n[i], minlength=m).astype(np.int64)
+            ends.append(roots_of(ids[i], ids[j]))
+    if not ends:
         return ids[:0], n[:0], ids[:0]
-    links = np.bincount(i, n[j], minlength=len(ids)) + np.bincount(j, n[i], minlength=len(ids))
-    own, root = roots_of(ids[i], ids[j])
+    own, root = roots_of(*(np.concatenate(e) for e in zip(*ends, strict=True)))
     at = np.argsort(ids)
-    return own, links[at[np.searchsorted(ids[at], own)]].astype(np.int64), root
+    return own, links[at[np.searchsorted(ids[at], own)]], root
 
 
 def _compare(least: float, probes: int):
@@ -160,7 +171,8 @@ def near_vectors(vectors: DataFrame, least: float = LEAST, block: int = BLOCK) -
     counts the linked vectors, copies included. Candidates share a bucket of one of 14 tables of two cross-polytope hashes,
     where a vector stands in its own bucket and in the 2 next likely ones, and meets those that own it. Each is
     confirmed by its cosine. A bucket of more than `block` vectors is split into blocks by a hash, and pairs of blocks are
-    compared in tasks of their own, by matrix products that give counts and local roots instead of pairs.
+    compared in tasks of their own, by matrix products of some rows at a time that give counts and local roots instead of pairs. So
+    a vector is sent once for each `block` vectors of its bucket.
 
     Edge cases: vectors that are null, empty, zero or hold null or non-finite values link with nothing (n_links 0, their
     own component); vectors of different lengths never link; a null vec_id comes back with component_id null and kept false
