@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 from ..functions.paths import basename, executable, in_list, labelled, top_name, utf16_order
 from ..operators.integrity import as_maps, capped, digests, digests_of, drift, present, rows_of, shadowed, stale, winners
 from ..sources.manifest import read_manifest_shards, write_manifest_shards
-from ..sources.shared import shared_folder
+from ..sources.shared import shared_folder, shared_location
 from ..sources.tree import read_tree, write_tree
+from ..streaming.drift import arriving_edits
 from .verdicts import check_verdict, install_actions, install_verdict, uninstall_verdict
 
 
@@ -176,6 +177,18 @@ def q46_recorded_manifest(spark, sf_dir):
     return present(said, read_tree(spark, root, content=False)).select("rel", "digest", "readable", "present")
 
 
+def q47_arriving_edits(spark, sf_dir):
+    """Documents as they arrive, against the manifest: one run of the stream over all that is there, kept as a table."""
+    docs = _docs(spark, sf_dir)
+    out = f"{shared_location(spark)}/edits-{uuid.uuid4().hex}"
+    # a pattern, as the path of a single file is taken for a folder
+    stream = spark.readStream.schema(docs.schema).parquet(f"{sf_dir}/documents.parque[t]")
+    found = arriving_edits(stream.select(_renamed(11), F.col("text").alias("content")), _manifest(spark, sf_dir))
+    query = found.writeStream.format("parquet").trigger(availableNow=True).option("checkpointLocation", f"{out}.state").start(out)
+    query.awaitTermination()
+    return spark.read.schema(found.schema).parquet(out)
+
+
 _CTE = """WITH tree AS (SELECT CASE WHEN doc_id % 11 = 0 THEN -1 - doc_id ELSE doc_id END AS rel, sha256(text) AS digest FROM documents),
 manifest AS (
   SELECT CASE WHEN doc_id % 5 = 0 THEN -1 - doc_id ELSE doc_id END AS rel, sha256(CASE WHEN doc_id % 7 = 0 THEN lang ELSE text END) AS digest FROM documents),
@@ -190,6 +203,7 @@ targets AS (
 _FILES = "WITH files AS (SELECT *, 'd' || doc_id % 20 || '/' || source || '/.' || doc_id AS rel FROM documents) "
 
 SQL = {
+    "q47_arriving_edits": _CTE + "SELECT rel FROM drift WHERE kind = 'edited'",
     "q44_tree_scan": _FILES + "SELECT rel, sha256(text) AS digest, CAST(strlen(text) AS BIGINT) AS bytes, doc_id % 3 = 0 AS runs FROM files",
     "q45_allow_list_scan": _FILES + "SELECT rel FROM files WHERE doc_id % 20 IN (1, 7)",
     "q46_recorded_manifest": _FILES + "SELECT rel, sha256(text) AS digest, TRUE AS readable, TRUE AS present FROM files",

@@ -8,11 +8,8 @@ from urllib.parse import urlparse
 from pyspark.sql import SparkSession
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The path of the folder that spark.checkpoint.dir names; a local session without one gets a temporary folder, a cluster an error.
-
-    Files are written there with the file system's own calls, so it has to be mounted under the same path everywhere.
-    """
+def shared_location(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names, for Spark's own readers and writers; a local session without one gets a temporary folder, a cluster an error."""
     sc = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not folder:
@@ -20,7 +17,12 @@ def shared_folder(spark: SparkSession) -> str:
             raise ValueError("spark.checkpoint.dir must name a folder that the whole cluster shares")
         folder = tempfile.mkdtemp(prefix="tree-")
         sc.setCheckpointDir(folder)
-    at = urlparse(folder)
+    return folder
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The path of that folder for files written with the file system's own calls: it has to be mounted under the same path everywhere."""
+    at = urlparse(folder := shared_location(spark))
     if at.scheme not in ("", "file"):
         raise ValueError(f"a tree of files needs a mounted folder, not {folder!r}")
     return at.path
