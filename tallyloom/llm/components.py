@@ -51,29 +51,35 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(id, component) of every vertex of edges (a, b); component is the smallest id reachable.
 
-    Each round contracts LINKS links of a task at a time to stars, brings the stars of a vertex
+    Each round contracts LINKS links of a task at a time to stars and brings equal ones together. Once no more than LINKS are
+    left, one task contracts them all, which settles them. Else a round brings the stars of a vertex
     together (at most one of each such lot), links their centres to the least of them, and lets every vertex point to the
     centre of its centre. Links always point to a smaller id, so a vertex has as many links here as lots held it, never
-    as it has neighbours. It ends once every vertex has one centre and no centre has another. Only that answer reaches
+    as it has neighbours. It ends once every vertex has one centre and no centre has another. Only counts and that answer reach
     the driver. The result is a table in the shared folder. Null ends and loops are ignored; an empty input gives an empty result.
     """
     e = edges.filter("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     before = None
     for _ in range(most_rounds):
-        stars = e.mapInArrow(_contract, "u long, v long").distinct()
+        stars = cut(e.mapInArrow(_contract, "u long, v long").distinct())
+        discard(before)
+        if stars.count() <= LINKS:
+            before = stars
+            e = stars.repartition(1).mapInArrow(_contract, "u long, v long")
+            break
         own = Window.partitionBy("u")
         least = F.min("v").over(own)
         links = cut(stars.select(F.when(F.col("v") == least, F.col("u")).otherwise(F.col("v")).alias("u"), least.alias("v"), (F.max("v").over(own) > least).alias("several")))
         up = links.groupBy("u").agg(F.min("v").alias("top")).withColumnRenamed("u", "c")
         jumped = links.join(up, links["v"] == up["c"], "left")
         now = cut(jumped.select("u", F.coalesce("top", "v").alias("v"), (F.col("several") | F.col("top").isNotNull()).alias("open")))
-        discard(before, links)
+        discard(stars, links)
         before, e = now, now.select("u", "v")
         if now.filter("open").isEmpty():
             break
     else:
         raise RuntimeError("components did not settle")
     ends = F.explode(F.array(F.struct(F.col("u").alias("id"), F.col("v").alias("component")), F.struct(F.col("v").alias("id"), F.col("v").alias("component")))).alias("x")
-    out = cut(before.select(ends).select("x.id", "x.component").distinct())
+    out = cut(e.select(ends).select("x.id", "x.component").distinct())
     discard(before)
     return out

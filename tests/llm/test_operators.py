@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tallyloom.llm import candidates, common
+from tallyloom.llm import components as components_module
 from tallyloom.llm.common import words
 from tallyloom.llm.candidates import _pairs, connect, exact_test, group_links, shared_members, spread
 from tallyloom.llm.components import components
@@ -534,8 +535,9 @@ def test_pipeline_against_brute_force(spark, docs, tmp_path):
     assert corpus_pipeline.run(spark, empty).count() == 0
 
 
-@pytest.mark.parametrize("lots", [1, 24])
-def test_components_against_union_find(spark, lots):
+@pytest.mark.parametrize("lots, most", [(1, 1 << 19), (24, 1 << 19), (1, 30), (24, 30)])
+def test_components_against_union_find(spark, monkeypatch, lots, most):
+    monkeypatch.setattr(components_module, "LINKS", most)
     random.seed(lots)
     links = [(k, k + 1) for k in range(100, 140)] + [(500, 500 + k) for k in range(60)] + [(random.randrange(1000, 1400), random.randrange(1000, 1400)) for _ in range(250)]
     links += links[:20] + [(None, 7), (8, None), (9, 9)]
