@@ -65,7 +65,7 @@ def q41_store_violations(spark, sf_dir):
         Reference("documents have labels", "labels", ("doc_id",), "documents", ("doc_id",), both=True),
         Located("chunks are where they say", "chunks", "doc_id", "start", "length", "digest", "documents", "doc_id", "text"),
     ]
-    return check_store(tables, constraints)
+    return check_store(tables, constraints).withColumnRenamed("constraint", "rule")
 
 
 def q42_certificates(spark, sf_dir):
@@ -110,7 +110,7 @@ SELECT 'book' || page_id // {PAGES} AS book, unit, CAST(CASE WHEN k = 0 THEN 1 E
     "q41_store_violations": _CHUNKS
     + """, s AS (
   SELECT doc_id AS d, CASE WHEN doc_id % 17 = 0 AND no = 0 THEN -1 - doc_id ELSE doc_id END AS doc_id, CASE WHEN doc_id % 31 = 0 AND no = 1 THEN 0 ELSE no END AS no, (doc_id + no) % 29 = 0 AS wrong FROM pieces)
-SELECT 'one chunk a place' AS "constraint", 'repeated key' AS kind, doc_id || chr(31) || no AS key, count(*) AS n FROM s GROUP BY doc_id, no HAVING count(*) > 1
+SELECT 'one chunk a place' AS rule, 'repeated key' AS kind, doc_id || chr(31) || no AS key, count(*) AS n FROM s GROUP BY doc_id, no HAVING count(*) > 1
 UNION ALL SELECT 'chunks have documents', 'no target', CAST(doc_id AS VARCHAR), count(*) FROM s WHERE doc_id < 0 GROUP BY doc_id
 UNION ALL SELECT 'documents have labels', 'no source', CAST(doc_id AS VARCHAR), count(*) FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) GROUP BY doc_id
 UNION ALL SELECT 'chunks are where they say', CASE WHEN doc_id < 0 THEN 'no target' ELSE 'wrong digest' END, CAST(doc_id AS VARCHAR), count(*) FROM s WHERE doc_id < 0 OR wrong GROUP BY doc_id""",

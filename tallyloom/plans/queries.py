@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.paths import basename, executable, in_list, labelled, top_name, utf16_order
+from ..functions.paths import basename, comment_text, executable, in_list, labelled, top_name, utf16_order
 from ..operators.integrity import as_maps, capped, digests, digests_of, drift, present, rows_of, shadowed, stale, winners
 from ..sources.manifest import read_manifest_shards, write_manifest_shards
 from ..sources.shared import shared_folder, shared_location
@@ -177,6 +177,13 @@ def q46_recorded_manifest(spark, sf_dir):
     return present(said, read_tree(spark, root, content=False)).select("rel", "digest", "readable", "present")
 
 
+def q48_comment_text(spark, sf_dir):
+    """The text of each line that starts with a comment mark, of all lines of documents, a third of which have it after a space."""
+    lines = _docs(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n")).alias("no", "line"))
+    marked = F.concat(F.when(F.col("no") % 3 == 0, "// ").when(F.col("no") % 3 == 1, "//").otherwise(" // "), "line")
+    return lines.select("doc_id", "no", comment_text(marked).alias("said")).filter("said is not null")
+
+
 def q47_arriving_edits(spark, sf_dir):
     """Documents as they arrive, against the manifest: one run of the stream over all that is there, kept as a table."""
     docs = _docs(spark, sf_dir)
@@ -203,6 +210,9 @@ targets AS (
 _FILES = "WITH files AS (SELECT *, 'd' || doc_id % 20 || '/' || source || '/.' || doc_id AS rel FROM documents) "
 
 SQL = {
+    "q48_comment_text": """WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents),
+n AS (SELECT doc_id, parts, unnest(range(len(parts))) AS no FROM l)
+SELECT doc_id, CAST(no AS INT) AS no, regexp_replace(CASE no % 3 WHEN 0 THEN '// ' ELSE '//' END || parts[no + 1], '^//\\s?', '') AS said FROM n WHERE no % 3 < 2""",
     "q47_arriving_edits": _CTE + "SELECT rel FROM drift WHERE kind = 'edited'",
     "q44_tree_scan": _FILES + "SELECT rel, sha256(text) AS digest, CAST(strlen(text) AS BIGINT) AS bytes, doc_id % 3 = 0 AS runs FROM files",
     "q45_allow_list_scan": _FILES + "SELECT rel FROM files WHERE doc_id % 20 IN (1, 7)",

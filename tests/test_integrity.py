@@ -207,7 +207,7 @@ def test_files_and_manifests_are_written_in_tasks(spark, tmp_path):
     assert [tuple(r) for r in read_manifest_shards(spark, str(tmp_path / "m")).filter("not readable").collect()] == [(None, None, False)]
 
 
-@pytest.mark.parametrize("name", ["q47_arriving_edits", "q44_tree_scan", "q45_allow_list_scan", "q46_recorded_manifest", "q28_capped_ten", "q29_blocked_verdict", "q30_forced_verdict", "q31_untracked_verdict", "q32_clean_verdict"])
+@pytest.mark.parametrize("name", ["q48_comment_text", "q47_arriving_edits", "q44_tree_scan", "q45_allow_list_scan", "q46_recorded_manifest", "q28_capped_ten", "q29_blocked_verdict", "q30_forced_verdict", "q31_untracked_verdict", "q32_clean_verdict"])
 def test_verdict_queries_equal_their_sql(spark, name):
     data = "/root/testdata/sf0.001"
     con = duckdb.connect()
