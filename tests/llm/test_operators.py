@@ -5,6 +5,7 @@ import itertools
 import os
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -556,3 +557,30 @@ def test_components_against_union_find(spark, monkeypatch, lots, most):
     got = components(spark.createDataFrame(links, "a long, b long").repartition(lots)).collect()
     assert sorted(map(tuple, got)) == sorted((x, find(x)) for x in root)
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def _peak(f):
+    tracemalloc.start()
+    f()
+    out = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    return out
+
+
+def test_kernels_take_little_memory_besides_their_results(monkeypatch):
+    texts = [prose(300) + "\n \nÄ" for _ in range(900)] + ["", None, " ", prose(60_000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])
+    slices = list(common.text_slices(batch, 0))
+    assert max(len(data) for _, _, data, _ in slices) > 1_500_000
+    with monkeypatch.context() as m:
+        m.setattr(common, "PIECE", 1 << 40, raising=False)
+        whole = [words(data, rows) for _, _, data, rows in slices]
+    common._POWERS.clear()
+    got = []
+    # hashed at once these slices took 71 MB, and the sets 134 MB below
+    assert _peak(lambda: got.extend(words(data, rows) for _, _, data, rows in slices)) < 45e6
+    assert all(np.array_equal(x, y) for a, b in zip(whole, got, strict=True) for x, y in zip(a, b, strict=True))
+    test = {}
+    # the sets themselves are 8 bytes for each of 2 million characters
+    assert _peak(lambda: test.update(f=exact_test(_line_sets, 75, 0)(batch))) < 70e6
+    assert test["f"](np.array([0, 900]), np.array([0, 0])).tolist() == [True, False]
