@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.paths import labelled, utf16_order
 
 
+#: Rows of each side in a cell of a join that lists pairs, and pairs that a task lists, about.
+CELL, TASK = 1024, 1 << 23
+
+
 def digests(tree: DataFrame) -> DataFrame:
     """(rel, digest): the SHA-256 of content, in lower-case hex."""
     return tree.select("rel", F.sha2("content", 256).alias("digest"))
@@ -40,10 +46,29 @@ def present(files: DataFrame, tree: DataFrame) -> DataFrame:
     return files.join(there, "rel", "left").withColumn("present", F.coalesce("present", F.lit(False)))
 
 
-def shadowed(targets: DataFrame) -> DataFrame:
-    """Project copies (name, scope, path) that a global copy of the same name at another path hides."""
-    top = targets.filter("scope = 'global'").select("name", F.col("path").alias("winner"))
-    return targets.filter("scope = 'project'").join(top, "name").filter("path <> winner")
+def shadowed(targets: DataFrame, cell: int = CELL, task: int = TASK) -> DataFrame:
+    """Project copies (name, scope, path) that a global copy of the same name at another path hides.
+
+    The result has a row for each such pair, so it grows with the square of a name's copies. Both sides of a name are dealt
+    to cells of about `cell` rows of each, and the cells to so many tasks that each lists about `task` pairs, however many copies
+    a name has; the tasks are counted first. Fewer pairs are joined as they are.
+    """
+    per = targets.groupBy("name").agg(F.count_if(F.col("scope") == "project").alias("ours"), F.count_if(F.col("scope") == "global").alias("tops"))
+    pairs = per.agg(F.sum(F.col("ours").cast("double") * F.col("tops"))).first()[0] or 0
+    ours, tops = targets.filter("scope = 'project'"), targets.filter("scope = 'global'").select("name", F.col("path").alias("winner"))
+    if pairs <= task:
+        return ours.join(tops, "name").filter("path <> winner")
+    parts, tasks = lambda n: F.ceil(F.col(n) / cell).cast("int"), math.ceil(pairs / task)
+    grid = per.filter("ours > 0 and tops > 0").select("name", parts("ours").alias("across"), parts("tops").alias("down"))
+
+    def dealt(rows: DataFrame, own: str, other: str) -> DataFrame:
+        # by number, as copies may be equal in all they hold
+        own_part = F.pmod(F.xxhash64("no"), F.col(own)).cast("int")
+        both = rows.withColumn("no", F.monotonically_increasing_id()).join(grid, "name").withColumn(own, own_part)
+        return both.withColumn(other, F.explode(F.sequence(F.lit(0), F.col(other) - 1))).drop("no").repartition(tasks, "name", "across", "down")
+
+    found = dealt(ours, "across", "down").join(dealt(tops, "down", "across"), ["name", "across", "down"]).filter("path <> winner")
+    return found.select(*targets.columns, "winner")
 
 
 def winners(targets: DataFrame) -> DataFrame:

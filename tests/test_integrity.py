@@ -217,3 +217,15 @@ def test_verdict_queries_equal_their_sql(spark, name):
     cols = [c[0] for c in cur.description]
     got = queries.queries()[name](spark, data).select(*cols).collect()
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, cur.fetchall()))
+
+
+def test_shadowed_copies_are_dealt_to_cells(spark):
+    rows = [(f"n{k % 2}", "global" if k % 3 == 0 else "project", f"u{k % 7}") for k in range(600)] + [("one", "project", "x"), (None, "global", "y"), (None, "project", "z"), ("n0", "project", None)]
+    targets = spark.createDataFrame(rows, "name string, scope string, path string").repartition(3)
+    want = sorted(tuple(r) for r in integrity.shadowed(targets).collect())
+    found = integrity.shadowed(targets, cell=16, task=1000)
+    assert found.columns == ["name", "scope", "path", "winner"] and sorted(tuple(r) for r in found.collect()) == want
+    per = [r[0] for r in found.groupBy(F.spark_partition_id()).count().select("count").collect()]
+    # 40,000 pairs of two names: two tasks had half of them each
+    assert len(want) > 30_000 and len(per) > 30 and max(per) < 4000
+    assert integrity.shadowed(targets.limit(0), task=0).count() == 0
