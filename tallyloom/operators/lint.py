@@ -10,6 +10,7 @@ import functools
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,36 +29,60 @@ def _text(cell: bytes | None) -> str:
 _CELLS = pa.list_(pa.struct([("key", pa.string()), ("value", pa.string())]))
 
 
-def _with_front(files: DataFrame) -> DataFrame:
-    """files with fenced, reason, entries and body in place of content, whose place is last."""
+#: Bytes of contents that are read at a time.
+SLICE = 1 << 20
+
+
+def _with_front(files: DataFrame, bodies: bool = False) -> DataFrame:
+    """files with fenced, reason, entries and, if bodies, body in place of content, whose place is last.
+
+    Rows leave once about SLICE bytes are read, so a worker holds them besides the batch that came, never what a whole batch becomes.
+    """
     kept = len(files.columns) - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fenced, reasons, cells, bodies = [], [], [], []
-            for content in batch.column(kept):
-                front, body = split_front(_text(content.as_py()))
-                entries, reason = read_front(front) if front is not None else ([], "no front matter between two fences")
-                fenced.append(front is not None)
-                reasons.append(reason)
-                cells.append([{"key": key, "value": " ".join(value.split())} for key, value in entries])
-                bodies.append(body)
-            made = [pa.array(fenced, pa.bool_()), pa.array(reasons, pa.string()), pa.array(cells, _CELLS), pa.array(bodies, pa.large_string())]
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(kept)), *made], [*batch.schema.names[:kept], "fenced", "reason", "entries", "body"])
+            for part in _slices(batch, kept):
+                fenced, reasons, cells, rests = [], [], [], []
+                for content in part.column(kept):
+                    front, body = split_front(_text(content.as_py()))
+                    entries, reason = read_front(front) if front is not None else ([], "no front matter between two fences")
+                    fenced.append(front is not None)
+                    reasons.append(reason)
+                    cells.append([{"key": key, "value": " ".join(value.split())} for key, value in entries])
+                    if bodies:
+                        rests.append(body)
+                made = [pa.array(fenced, pa.bool_()), pa.array(reasons, pa.string()), pa.array(cells, _CELLS), *([pa.array(rests, pa.large_string())] if bodies else [])]
+                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(kept)), *made], [*part.schema.names[:kept], *MADE[: len(made)]])
 
     had = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in files.schema.fields[:kept])
-    return files.mapInArrow(run, f"{had}, fenced boolean, reason string, entries array<struct<key:string,value:string>>, body string")
+    return files.mapInArrow(run, f"{had}, fenced boolean, reason string, entries array<struct<key:string,value:string>>" + ", body string" * bodies)
+
+
+MADE = ["fenced", "reason", "entries", "body"]
+
+
+def _slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """batch in slices of about SLICE bytes of a binary column, or one longer cell."""
+    start = held = 0
+    for k, n in enumerate(pc.binary_length(batch.column(column)).to_pylist()):
+        held += n or 0
+        if held >= SLICE:
+            yield batch.slice(start, k + 1 - start)
+            start, held = k + 1, 0
+    if start < batch.num_rows:
+        yield batch.slice(start)
 
 
-def front_matter(tree: DataFrame, entry: str = ENTRY) -> DataFrame:
-    """(rel, fenced, reason, entries (key, value), body) of the entry files that have a content.
+def front_matter(tree: DataFrame, entry: str = ENTRY, bodies: bool = True) -> DataFrame:
+    """(rel, fenced, reason, entries (key, value), body) of the entry files that have a content; without body unless bodies.
 
     fenced: front matter stands between two fences at the start, after a byte-order mark or not. entries are its keys at the top, as
     far as they can be read, with their scalars in one line (empty for lists and the like); reason says why the rest can't be
     read, or is null. body is what follows, or the whole text without fences.
     """
     found = tree.filter((basename(F.col("rel")) == entry) & F.col("content").isNotNull())
-    return _with_front(found.select(F.col("rel").cast("string"), F.col("content").cast("binary").alias("content")))
+    return _with_front(found.select(F.col("rel").cast("string"), F.col("content").cast("binary").alias("content")), bodies)
 
 
 def _value(key: str) -> Column:
@@ -81,7 +106,7 @@ def mismatched_names(tree: DataFrame, entry: str = ENTRY) -> DataFrame:
 
     Files at the top have no folder to compare with, and files without a name are left to other rules.
     """
-    return _named(front_matter(tree, entry))
+    return _named(front_matter(tree, entry, bodies=False))
 
 
 def _named(parsed: DataFrame) -> DataFrame:
@@ -91,7 +116,7 @@ def _named(parsed: DataFrame) -> DataFrame:
 
 def unreadable_front_matter(tree: DataFrame, entry: str = ENTRY) -> DataFrame:
     """(rel): entry files without both fences, or whose front matter is beyond the YAML subset of `functions.front_matter`."""
-    return front_matter(tree, entry).filter("reason is not null").select("rel")
+    return front_matter(tree, entry, bodies=False).filter("reason is not null").select("rel")
 
 
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,7 +159,7 @@ def description_lengths(tree: DataFrame, most: int, entry: str = ENTRY) -> DataF
 
     Quotes and block marks around it don't count, and a description over several lines is one of single spaces.
     """
-    return _described(front_matter(tree, entry), most)
+    return _described(front_matter(tree, entry, bodies=False), most)
 
 
 def _described(parsed: DataFrame, most: int) -> DataFrame:
@@ -144,7 +169,7 @@ def _described(parsed: DataFrame, most: int) -> DataFrame:
 
 def unknown_keys(tree: DataFrame, allowed: Sequence[str], entry: str = ENTRY) -> DataFrame:
     """(rel, key): keys at the top of an entry file's front matter that are not allowed."""
-    return _unknown(front_matter(tree, entry), allowed)
+    return _unknown(front_matter(tree, entry, bodies=False), allowed)
 
 
 def _unknown(parsed: DataFrame, allowed: Sequence[str]) -> DataFrame:
@@ -174,7 +199,7 @@ def long_bodies(tree: DataFrame, most: int = 5000, characters: float = 4.0, entr
 
 def doctor(tree: DataFrame, most: int | None = None, allowed: Sequence[str] | None = None, entry: str = ENTRY) -> DataFrame:
     """(rel, cause): why an entry file may not load, all rules in one report; description and keys only where limits are given."""
-    parsed = front_matter(tree, entry)
+    parsed = front_matter(tree, entry, bodies=False)
     found = [(byte_order_marks(tree), "byte-order mark"), (wrong_case(tree, entry), "wrong case"), (_named(parsed), "name is not its folder"), (parsed.filter("reason is not null"), "unreadable front matter")]
     if most is not None:
         found.append((_described(parsed, most), "description"))

@@ -1,6 +1,8 @@
 import time
+import tracemalloc
 
 import duckdb
+import pyarrow as pa
 import pytest
 
 from tallyloom.functions import markdown
@@ -174,3 +176,29 @@ def test_doctor_over_roots(spark):
     }
     assert got(lint.doctor_roots(trees, roots, 10, ["name", "description"])) == want
     assert got(lint.doctor_roots(trees.limit(0), roots, 10, [])) == {(r, k, None, None, None, None, None) for k, r in enumerate(["home", "here", "none"])}
+
+
+class _Given:
+    """Stands for a DataFrame whose mapInArrow runs here, on one batch."""
+
+    def __init__(self, schema, batch):
+        self.schema, self.columns, self.batch = schema, schema.names, batch
+
+    def mapInArrow(self, run, schema):
+        for out in run(iter([self.batch])):
+            self.rows = getattr(self, "rows", 0) + out.num_rows
+        return self
+
+
+@pytest.mark.parametrize("script", ["a", "\u044f"])
+def test_front_matter_holds_no_whole_batch(spark, script):
+    schema = spark.createDataFrame([], "rel string, content binary").schema
+    contents = [f"---\nname: p{k}\n---\n{script * 40_000}".encode() for k in range(400)] + [None, b"", b"---\nopen"]
+    batch = pa.RecordBatch.from_arrays([pa.array([str(k) for k in range(len(contents))]), pa.array(contents)], ["rel", "content"])
+    tracemalloc.start()
+    before = pa.total_allocated_bytes()
+    given = lint._with_front(_Given(schema, batch))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # the texts of the batch are 16 or 32 MB in Python
+    assert given.rows == 403 and peak < 5e6 and pa.total_allocated_bytes() - before < 5e6
