@@ -15,13 +15,14 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from tallyloom.llm import candidates, common
 from tallyloom.llm import components as components_module
-from tallyloom.llm.common import words
-from tallyloom.llm.candidates import _pairs, connect, exact_test, group_links, shared_members, spread
+from tallyloom.llm.common import mix64, words
+from tallyloom.llm.candidates import _marks, _may_link, _pairs, connect, exact_test, group_links, pack, shared_members, shared_packed, spread
 from tallyloom.llm.components import components
 from tallyloom.llm.decontaminate import contamination, drop_contaminated
 from tallyloom.llm.embedding_dedup import near_vectors
 from tallyloom.llm.license_scan import license_places
-from tallyloom.llm.line_dedup import _line_sets, near_lines, remove_lines
+from tallyloom.llm.line_dedup import BANDS, _band_keys, _line_sets, near_lines, remove_lines
+from tallyloom.llm.line_dedup import _keys as line_keys
 from tallyloom.llm.mixing import mix
 from tallyloom.llm.near_dedup import drop_near_duplicates, near_duplicates
 from tallyloom.llm.preferences import preference_pairs
@@ -584,3 +585,65 @@ def test_kernels_take_little_memory_besides_their_results(monkeypatch):
     # the sets themselves are 8 bytes for each of 2 million characters
     assert _peak(lambda: test.update(f=exact_test(_line_sets, 75, 0)(batch))) < 70e6
     assert test["f"](np.array([0, 900]), np.array([0, 0])).tolist() == [True, False]
+
+
+def test_line_keys_travel_packed_by_bucket(spark, docs):
+    # 40 lines of which one stands in every document: a key has at most two near rows of a task, and a task sends a row for each bucket, not for each key
+    lines = [prose(12) for _ in range(40)]
+    near = [lines[0][:-1] + c for c in "12345678"]
+    table = spark.createDataFrame([("\n".join([*lines, x, "short"]),) for x in near], "text string").repartition(2)
+    rows = line_keys(table, 3)
+    assert rows.columns == ["bucket", "rows"] and rows.count() <= 12
+    triples = sum(len(r["rows"]) // 24 for r in rows.collect())
+    assert 48 * BANDS <= triples <= 2 * 48 * BANDS
+    got = shared_packed(rows, "sketch").groupBy("key").agg(F.collect_set("id").alias("ids")).collect()
+    assert got and all(len(r["ids"]) > 1 for r in got)
+    ids = {i for r in got for i in r["ids"]}
+    assert len(ids) == 9  # the line and its near copies; chance keys of others would be more
+
+
+def test_packed_rows_equal_spread_rows(spark, docs):
+    rnd = np.random.default_rng(5)
+    parts = []
+    for k in range(6):
+        keys = mix64(rnd.integers(0, 400, (300, 4)).astype(np.uint64) + np.uint64(1000) * np.arange(4, dtype=np.uint64))
+        ids = np.arange(300 * k, 300 * (k + 1)).astype(np.uint64) % np.uint64(1500)
+        parts.append((keys, ids, ids * np.uint64(7)))
+    table = lambda batches, names: spark.createDataFrame(pa.Table.from_batches(batches)).toDF(*names)
+    old = table([spread(k, i.view(np.int64), m.view(np.int64)) for k, i, m in parts], ["place", "id", "key", "far", "more"])
+    new = table([pack([p], 7) for p in parts], ["bucket", "rows"])
+    want = {tuple(r) for r in shared_members(old, ", more long").collect()}
+    assert {tuple(r) for r in shared_packed(new, "more").collect()} == want and len(want) > 1000
+
+
+@pytest.mark.parametrize("size", [4, 12, 40, 200])
+def test_bands_miss_few_lines_at_the_threshold(size):
+    # pairs of sets of which three quarters are shared: bands of minima of their own share a key with probability 0.9986
+    rnd = np.random.default_rng(size)
+    pairs = 8000
+    own = rnd.integers(0, 1 << 64, (pairs, size), dtype=np.uint64)
+    common, one = size * 3 // 4, size // 8
+    sides = [np.concatenate([own[:, :common], x], axis=1) for x in (own[:, common : common + one], own[:, common + one :])]
+    keys = []
+    for x in sides:
+        gap = np.zeros((pairs, 8), dtype=np.uint64)
+        lo = np.arange(pairs) * (x.shape[1] + 8)
+        keys.append(_band_keys(np.concatenate([x, gap], axis=1).ravel(), lo, lo + x.shape[1])[0])
+    assert (keys[0] == keys[1]).any(axis=1).mean() >= 0.9975
+
+
+def test_marks_only_rule_out_what_cannot_link():
+    rnd = np.random.default_rng(9)
+    base = rnd.integers(0, 1 << 64, 400, dtype=np.uint64)
+    sets = []
+    for k in range(120):
+        x = base[: rnd.integers(250, 400)].copy()
+        edit = rnd.random(len(x)) < (k % 12) / 30
+        x[edit] = rnd.integers(0, 1 << 64, edit.sum(), dtype=np.uint64)
+        sets.append(np.unique(x))
+    flat, n = np.concatenate(sets), np.array([len(x) for x in sets])
+    i, j = np.array(list(itertools.combinations(range(len(sets)), 2))).T
+    common = np.array([len(np.intersect1d(sets[a], sets[b], assume_unique=True)) for a, b in zip(i, j)])
+    linked = common * 100 >= (n[i] + n[j] - common) * 75
+    may = _may_link(_marks(flat, n), n, i, j, 75)
+    assert linked.sum() > 100 and may[linked].all() and may.sum() < 2 * linked.sum()
