@@ -560,6 +560,26 @@ def test_components_against_union_find(spark, monkeypatch, lots, most):
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
 
 
+def test_settled_components_leave_the_rounds(spark, monkeypatch):
+    # 3000 pairs that one round settles, and a path that takes several
+    monkeypatch.setattr(components_module, "LINKS", 64)
+    rows = []
+
+    def cut(df):
+        out = common.cut(df)
+        rows.append((df.columns, out.count()))
+        return out
+
+    monkeypatch.setattr(components_module, "cut", cut)
+    path = [(10_000 + 7 * x % 2003, 10_000 + 7 * (x + 1) % 2003) for x in range(2002)]
+    links = path + [(100_000 + 2 * x, 100_001 + 2 * x) for x in range(3000)]
+    got = dict(map(tuple, components(spark.createDataFrame(links, "a long, b long").repartition(6)).collect()))
+    assert all(got[x] == x - x % 2 for x in range(100_000, 106_000))
+    assert {got[x] for a in path for x in a} == {10_000} and len(got) == 6000 + 2003
+    stars = [n for columns, n in rows if columns == ["u", "v"]]
+    assert stars[0] > 3000 and max(stars[1:]) < 3000  # the pairs went through every round before
+
+
 def _peak(f):
     tracemalloc.start()
     f()
