@@ -5,6 +5,7 @@ import itertools
 import os
 import random
 import re
+import time
 import tracemalloc
 
 import numpy as np
@@ -580,6 +581,23 @@ def test_settled_components_leave_the_rounds(spark, monkeypatch):
     assert stars[0] > 3000 and max(stars[1:]) < 3000  # the pairs went through every round before
 
 
+def test_cut_leaves_no_shuffle_files(spark, docs):
+    jvm = spark.sparkContext._jvm
+    folders = jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+
+    def files():
+        return {os.path.join(d, x) for top in folders for d, _, names in os.walk(top) for x in names if x.startswith("shuffle_")}
+
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was, before = spark.conf.get(key), files()
+    out = common.cut(spark.range(200_000).withColumn("k", F.xxhash64("id") % 1000).repartition("k").groupBy("k").count())
+    began = time.time()
+    while (left := files() - before) and time.time() < began + 5:  # they go in the background; the driver's next collection may be 30 minutes off
+        time.sleep(0.1)
+    assert not left
+    assert out.agg(F.sum("count")).first()[0] == 200_000 and spark.conf.get(key) == was
+
+
 def _peak(f):
     tracemalloc.start()
     f()
